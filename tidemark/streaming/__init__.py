@@ -1,0 +1 @@
+"""The engine is batch only: point-in-time research replays history, and no operator of the inventory is a stream."""
