@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import (count_if, hurdle, pearson, pearson_sums, require_columns, safe_div,
                                         significance)
@@ -36,7 +37,7 @@ def centered_rank(df: DataFrame, x: str, out: str, keys: Sequence[str] = (), bou
     return d.withColumn(out, F.col("_pct") - 0.5 * (1 + safe_div(F.lit(1.0), F.col("_cnt")))).drop("_pct", "_cnt")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
     """Least-squares coefficients from cross-products, one small system per row."""
     def one(a, b):
