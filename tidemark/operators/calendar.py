@@ -31,22 +31,22 @@ def trading_days(df: DataFrame, date: str, holidays: Sequence[str] = (), weekday
 
 
 def date_dimension(sessions: DataFrame) -> DataFrame:
-    """E1. Every civil date with: is_session, the session on or after it and the one strictly after it, and their
-    positions ``idx`` (sessions before the date) and ``idx_after``."""
+    """E1. Every civil date with: is_session, the session on or after it, the one strictly after it, and ``idx``, the
+    number of sessions before the date."""
     spark = sessions.sparkSession
     days = spark.range(1).select(F.explode(F.sequence(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")))
                                  .alias("day"))
     s = sessions.select(F.col("session").alias("day"), F.lit(True).alias("is_session")).distinct()
     d = days.join(s, "day", "left").withColumn("is_session", F.coalesce("is_session", F.lit(False)))
-    # one partition of a fixed 73 thousand rows
-    one = Window.partitionBy(F.lit(0)).orderBy("day")
+    # one partition of a fixed 73 thousand rows; growing frames only, so each window is one pass
+    one = Window.partitionBy(F.lit(0))
     at = F.when(F.col("is_session"), F.col("day"))
-    before = one.rowsBetween(Window.unboundedPreceding, -1)
+    forward, backward = one.orderBy("day"), one.orderBy(F.desc("day"))
+    upto, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
     return d.select("day", "is_session",
-                    F.first(at, ignorenulls=True).over(one.rowsBetween(0, Window.unboundedFollowing)).alias("on_or_after"),
-                    F.first(at, ignorenulls=True).over(one.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
-                    F.count(at).over(before).alias("idx"),
-                    F.count(at).over(one.rowsBetween(Window.unboundedPreceding, 0)).alias("idx_after"))
+                    F.last(at, ignorenulls=True).over(backward.rowsBetween(*upto)).alias("on_or_after"),
+                    F.last(at, ignorenulls=True).over(backward.rowsBetween(*before)).alias("after"),
+                    F.count(at).over(forward.rowsBetween(*before)).alias("idx"))
 
 
 def _attach(df: DataFrame, day: Column, dim: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import require_columns, safe_div
@@ -19,18 +21,22 @@ def _between(c: str, lo: str, hi: str) -> Column:
     return F.col(c).between(F.lit(lo).cast("date"), F.lit(hi).cast("date"))
 
 
-def universe(view: DataFrame, spec: PanelSpec) -> DataFrame:
+def universe(view: DataFrame, spec: PanelSpec, bounded: bool = False) -> DataFrame:
     """G5. The most active entities of the formation window, which ends before the panel starts."""
     if spec.formation[1] >= spec.start:
         raise ValueError("the formation window must end before the panel starts")
     return top_by_median(view.where(_between("decision_time", *spec.formation)), "entity", spec.scale_field,
-                         spec.universe_n)
+                         spec.universe_n, bounded)
 
 
-def liquidity_proxy(view: DataFrame, scale: str, window: int, least: int, tie: tuple[str, ...] = ()) -> DataFrame:
+def liquidity_proxy(view: DataFrame, scale: str, window: int, least: int, tie: tuple[str, ...] = (),
+                    bounded: bool = False) -> DataFrame:
     """G6. Adds adv_proxy: mean scale over the entity's last records, up to and including each."""
     order = ["decision_time", "source_time", *tie]
-    d, w, own = record_chunks(view, ["entity"], order, window - 1)
+    if bounded:
+        d, w, own = view, Window.partitionBy("entity").orderBy(*order), F.lit(True)
+    else:
+        d, w, own = record_chunks(view, ["entity"], order, window - 1)
     frame = w.rowsBetween(-(window - 1), 0)
     x = F.col(scale).cast("double")
     adv = F.when(F.count(x).over(frame) >= least, F.avg(x).over(frame))
@@ -51,22 +57,27 @@ def asof_value(panel: DataFrame, facts: DataFrame, item: str, out: str, id_col:
     return asof_join(panel, f, id_col, "date", "_avail", [out], ["end", out])
 
 
-def build_panel(view: DataFrame, spec: PanelSpec, values: tuple[str, ...], symbols: DataFrame, facts: DataFrame,
-                tie: tuple[str, ...] = ()) -> DataFrame:
+SIZES = {"size_float": "public_float", "size_assets": "assets"}
+
+
+def build_panel(view: DataFrame, spec: PanelSpec, values: tuple[str, ...], symbols: DataFrame,
+                facts: DataFrame | None = None, sizes: Mapping[str, str] = SIZES, tie: tuple[str, ...] = (),
+                bounded: bool = False) -> DataFrame:
     """G9. The panel of the universe over the spec's dates: values, quality flag, liquidity, sector and sizes.
 
     The universe has at most ``spec.universe_n`` names and is broadcast; it also bounds every date's cross-section.
+    ``bounded`` says the view has one record per entity and source time.
     """
     require_columns(view, "entity", "decision_time", "source_time", spec.scale_field, *values)
-    names = universe(view, spec)
+    names = universe(view, spec, bounded)
     v = view.join(F.broadcast(names), "entity", "left_semi")
-    v = liquidity_proxy(v, spec.scale_field, spec.adv_window, spec.adv_min, tie)   # warm-up before the start counts
+    v = liquidity_proxy(v, spec.scale_field, spec.adv_window, spec.adv_min, tie, bounded)   # warm-up counts
     v = latest_per_date(v.where(_between("decision_time", spec.start, spec.end)), tie)
     p = v.select(F.col("decision_time").alias("date"), "entity", *values, "quality_flag", "adv_proxy")
     sym = top_rows(symbols.select("entity", "cik", "sector"), ["entity"], [F.asc("cik"), F.asc("sector")], 1)
     p = p.join(sym, "entity", "left").withColumn("sector", F.coalesce("sector", F.lit(UNKNOWN)))
-    p = asof_value(p, facts, "public_float", "size_float")
-    p = asof_value(p, facts, "assets", "size_assets")
+    for out, item in (sizes if facts is not None else {}).items():
+        p = asof_value(p, facts, item, out)
     return p.drop("cik")
 
 
@@ -102,6 +113,3 @@ def conditioner(name: str) -> Column:
     c = F.col(name).cast("double")
     return F.when(c > 0, F.log(c))
 
-
-__all__ = ["CONDITIONERS", "CATEGORICAL", "UNKNOWN", "universe", "liquidity_proxy", "latest_per_date", "asof_value",
-           "build_panel", "panel_meta", "describe_panel", "entities_per_sector", "conditioner"]

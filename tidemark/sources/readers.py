@@ -11,25 +11,27 @@ from tidemark.functions.scalars import finite, require_columns, safe_div
 from tidemark.operators.order import top_rows
 
 
-def read_trailer_files(spark: SparkSession, path: str, columns: Sequence[str], integers: Sequence[str] = (),
-                       dates: Sequence[str] = (), date_format: str = "yyyyMMdd", sep: str = "|",
-                       ) -> tuple[DataFrame, DataFrame]:
-    """A5. Delimited files with a header and a record count as their last line: (rows, file log).
+def read_trailer_files(spark: SparkSession, path: str, columns: Sequence[str], **typing) -> tuple[DataFrame, DataFrame]:
+    """A5. Delimited files with a header and a record count as their last line: (rows, file log)."""
+    lines = spark.read.text(path).select(
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file_name"), "value")
+    return parse_trailer_lines(lines, columns, **typing)
 
-    Every file is one unsplit record of lines here, so a file's header and trailer are told by position; files are
-    daily extracts and spread over tasks.  A file with another header fails the query.
+
+def parse_trailer_lines(lines: DataFrame, columns: Sequence[str], integers: Sequence[str] = (),
+                        dates: Sequence[str] = (), date_format: str = "yyyyMMdd",
+                        sep: str = "|") -> tuple[DataFrame, DataFrame]:
+    """A5. (file_name, value) lines in any order -> (rows, file log).
+
+    A line of digits only is a trailer (a record has separators), so files may be split and lines spread over tasks.
+    Reading the log of a file without the expected header fails the query.
     """
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-                                                         .alias("file_name"), "value")
-    lines = files.select("file_name", F.split(F.rtrim("value"), r"\r?\n").alias("lines"))
-    header = sep.join(columns)
-    checked = F.when(F.get("lines", F.lit(0)) == header, F.col("lines")).otherwise(
-        F.raise_error(F.concat(F.lit("unexpected header in "), "file_name")))
-    lines = lines.withColumn("lines", checked)
-    body = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 2, F.lit(0)))
-    pattern = "\\Q" + sep + "\\E"
-    cells = lines.select("file_name", F.explode(body).alias("line")).select(
-        "file_name", F.split("line", pattern).alias("c"))
+    require_columns(lines, "file_name", "value")
+    text = F.regexp_replace("value", r"\r$", "")
+    is_header, is_trailer = text == sep.join(columns), F.trim(text).rlike(r"^\d+$")
+    kind = F.when(is_header, "header").when(is_trailer, "trailer").when(text == "", "blank").otherwise("record")
+    d = lines.select("file_name", text.alias("line"), kind.alias("kind"))
+    cells = d.where(F.col("kind") == "record").select("file_name", F.split("line", "\\Q" + sep + "\\E").alias("c"))
     def typed(i, name):
         c = F.get("c", F.lit(i))
         if name in integers:
@@ -38,19 +40,27 @@ def read_trailer_files(spark: SparkSession, path: str, columns: Sequence[str], i
             return F.to_date(F.try_to_timestamp(c, F.lit(date_format))).alias(name)
         return c.alias(name)
     rows = cells.select("file_name", *[typed(i, n) for i, n in enumerate(columns)])
-    trailer = F.trim(F.element_at("lines", -1))
-    log = lines.select(
-        "file_name", F.to_date(F.try_to_timestamp(F.regexp_extract("file_name", r"(\d{8})\.[^.]*$", 1),
-                                                  F.lit("yyyyMMdd"))).alias("file_date"),
-        F.greatest(F.size("lines") - 2, F.lit(0)).cast("long").alias("n_records"),
-        F.when(trailer.rlike(r"^\d+$"), trailer.try_cast("long")).alias("trailer_count"))
+    log = d.groupBy("file_name").agg(
+        F.count(F.when(F.col("kind") == "record", 1)).alias("n_records"),
+        F.max(F.when(F.col("kind") == "trailer", F.trim("line").try_cast("long"))).alias("trailer_count"),
+        F.count(F.when(F.col("kind") == "header", 1)).alias("_headers"))
+    day = F.to_date(F.try_to_timestamp(F.regexp_extract("file_name", r"(\d{8})\.[^.]*$", 1), F.lit("yyyyMMdd")))
+    checked = F.when(F.col("_headers") == 1, F.col("n_records")).otherwise(
+        F.raise_error(F.concat(F.lit("unexpected header in "), "file_name")).cast("long"))
+    log = log.select("file_name", day.alias("file_date"), checked.alias("n_records"), "trailer_count")
     return rows, log.withColumn("trailer_ok", F.coalesce(F.col("trailer_count") == F.col("n_records"), F.lit(False)))
 
 
 def read_tsv(spark: SparkSession, path: str, date_cols: Sequence[str] = (), num_cols: Sequence[str] = (),
              date_format: str = "dd-MMM-yyyy") -> DataFrame:
-    """A6. Tab-separated text without quoting; named dates and numbers are coerced, what does not parse is null."""
+    """A6. Tab-separated text without quoting; named dates and numbers are coerced."""
     df = spark.read.csv(path, sep="\t", header=True, quote="", escape="", inferSchema=False)
+    return coerce_text(df, date_cols, num_cols, date_format)
+
+
+def coerce_text(df: DataFrame, date_cols: Sequence[str] = (), num_cols: Sequence[str] = (),
+                date_format: str = "dd-MMM-yyyy") -> DataFrame:
+    """A6. Text columns to dates (01-JAN-2025) and numbers; what does not parse is null."""
     require_columns(df, *date_cols, *num_cols)
     fixes = {c: F.to_date(F.try_to_timestamp(F.initcap(F.lower(c)), F.lit(date_format))) for c in date_cols}
     fixes.update({c: finite(F.col(c).try_cast("double")) for c in num_cols})
