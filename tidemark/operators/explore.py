@@ -417,7 +417,7 @@ def category_shares(df: DataFrame, time: str, field: str, freq: str = "M", split
     rows = cells.groupBy("period").agg(F.sum("n").alias("_rows"))
     if split_on:
         parts = F.split("v", F.concat(F.lit(r"\Q"), F.lit(split_on), F.lit(r"\E")))
-        cells = (cells.select("period", F.trim(F.explode(parts)).alias("v"), "n")
+        cells = (cells.select("period", F.explode(F.transform(parts, F.trim)).alias("v"), "n")
                  .groupBy("period", "v").agg(F.sum("n").alias("n")))
     return cells.join(rows, "period").select("period", F.col("v").alias("value"), "n",
                                              (F.col("n") / F.col("_rows")).alias("share"))

@@ -42,6 +42,7 @@ def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], wei
     Rows with a null key are dropped, as a grouping does in the reference semantics.  ``order`` should identify a row
     within its group; cut points are a hash-chosen, hence repeatable, sample of the order values themselves.
     """
+    added = [] if keys else ["_all"]
     base, keys = _keyed(df, keys)
     for k in keys:
         base = base.where(F.col(k).isNotNull())
@@ -50,7 +51,7 @@ def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], wei
         wt = F.lit(1) if weight is None else weight
         upto = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return base.withColumns({"before": F.coalesce(F.sum(wt).over(upto), F.lit(0)),
-                                 "total": F.sum(wt).over(w)}).drop("_all")
+                                 "total": F.sum(wt).over(w)}).drop(*added)
     base = base.withColumns({"_w": F.lit(1) if weight is None else weight, "_o": F.struct(*order)})
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split_rows)
     hot = sizes.orderBy(F.desc("_n")).limit(MAX_SPLIT_GROUPS).select(*keys)
@@ -71,7 +72,7 @@ def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], wei
     base = _join(base, totals, [*keys, "_b"], "inner")
     within = (Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     out = base.withColumn("before", F.col("_off") + F.coalesce(F.sum("_w").over(within), F.lit(0)))
-    return out.drop("_w", "_o", "_b", "_off", "_all")
+    return out.drop("_w", "_o", "_b", "_off", *added)
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos",

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.plans import registry
 
-MODULES = ("tables",)
+MODULES = ("tables", "profiles", "explorations", "cleanings")
 
 
 def _load() -> None:
