@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import safe_div, safe_sqrt
 from tidemark.operators.order import positions, quantiles, with_group_quantile, with_rank
 from tidemark.operators.predict import finding_ics
+from tidemark.session import cut
 from tidemark.specs import Finding
 
 # Half-spread bounds, sessions a year, and the capacity range in dollars.
@@ -51,15 +52,16 @@ def fill_half_spread(df: DataFrame, keys: Sequence[str] = (), bounded: bool = Fa
     d = d if keys else d.withColumn("_one", F.lit(0))
     d = d.join(quantiles(d, ks, "half_spread", {"_all_med": .5}).drop("n"), ks, "left")
     hs = F.coalesce("half_spread", "_fill", "_all_med")
-    return d.withColumn("hs", F.when(hs.isNotNull(), F.greatest(F.least(hs, F.lit(MAX_HALF)), F.lit(MIN_HALF)))).drop(
-        "_pct", "_terc", "_fill", "_all_med", "_one")
+    d = d.withColumn("hs", F.when(hs.isNotNull(), F.greatest(F.least(hs, F.lit(MAX_HALF)), F.lit(MIN_HALF))))
+    return d.select(*df.columns, "hs")
 
 
 def _leg_rows(df: DataFrame, keys: Sequence[str], n: int, bounded: bool) -> DataFrame:
-    d = fill_half_spread(legs(df, keys, n, bounded).where(F.col("fwd").isNotNull()), keys, bounded)
+    """The held rows with their spread and period.  Every statistic below reads them, so they are materialised."""
+    d = cut(legs(df, keys, n, bounded).where(F.col("fwd").isNotNull()))
     w = Window.partitionBy(*keys).orderBy("date")
     order = d.select(*keys, "date").distinct().withColumn("period", F.row_number().over(w))   # one row per date
-    return d.join(order, [*keys, "date"])
+    return cut(fill_half_spread(d, keys, bounded).join(order, [*keys, "date"]))
 
 
 def period_returns(df: DataFrame, keys: Sequence[str], n: int = 5, bounded: bool = False) -> DataFrame:

@@ -229,8 +229,8 @@ def ecdf(df: DataFrame, field: str, denominator: str | None = None) -> DataFrame
     """C11. (x, share of known values at or below x), one row per distinct value."""
     d = df.select(_field(df, field, denominator).alias("x"))
     r = value_ranks(d.withColumn("_one", F.lit(0)), ["_one"], "x")
-    return r.select("x", (F.col("before") + F.col("ties")).alias("n_at_or_below"),
-                    ((F.col("before") + F.col("ties")) / F.col("total")).alias("share"))
+    upto = F.col("_before") + F.col("_ties")
+    return r.select("x", upto.alias("n_at_or_below"), (upto / F.col("_total")).alias("share"))
 
 
 def part_exceeds_whole(df: DataFrame, part: str, whole: str) -> DataFrame:

@@ -66,9 +66,11 @@ def key_flags(check: DataFrame, redundant: DataFrame | None = None) -> DataFrame
                                   F.concat("column", F.lit(" is not needed in the key"))))
 
 
-def break_flags(zero: DataFrame, clusters: DataFrame) -> DataFrame:
+def break_flags(zero: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     starts = _facts(zero, F.lit(True), F.concat(F.lit("starts_"), "series"), F.concat(
         "series", F.lit(" is zero until "), F.col("starts").cast("string"), F.lit(", then non-zero")))
+    if clusters is None:
+        return starts
     first = clusters.where(F.col("cluster") <= 4)
     return starts.unionByName(_facts(
         first, F.lit(True), F.concat(F.lit("break_"), F.date_format("first_date", "yyyy-MM")),

@@ -21,6 +21,7 @@ from tidemark.functions.scalars import require_columns
 
 SPLIT_ROWS = 2_000_000   # a group with more ordered items than this is cut into ranges
 MAX_SPLIT_GROUPS = 2048  # the largest groups only: any other group is then smaller than 1/2048 of all items
+SAMPLED = 2_000          # sampled items that a group of SPLIT_ROWS items has on average
 CUT_SLOTS = 256          # cut points per split group; the broadcast cuts hold at most 2048 * 256 values
 
 
@@ -53,13 +54,14 @@ def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], wei
         return base.withColumns({"before": F.coalesce(F.sum(wt).over(upto), F.lit(0)),
                                  "total": F.sum(wt).over(w)}).drop(*added)
     base = base.withColumns({"_w": F.lit(1) if weight is None else weight, "_o": F.struct(*order)})
-    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split_rows)
-    hot = sizes.orderBy(F.desc("_n")).limit(MAX_SPLIT_GROUPS).select(*keys)
-    # one order value per hash slot, the one with the smallest hash: the same values on every evaluation
-    slots = (_join(base.select(*keys, "_o"), F.broadcast(hot), keys, "left_semi")
-             .groupBy(*keys, F.pmod(F.xxhash64("_o"), F.lit(CUT_SLOTS)).alias("_slot"))
-             .agg(F.min_by("_o", F.xxhash64(F.lit(17), F.col("_o"))).alias("_cut")))
-    cuts = slots.groupBy(*keys).agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
+    # a thin hash sample tells which groups are large, and supplies one order value per hash slot: the same rows and
+    # values on every evaluation, so the ranges do not move when a lost task is run again
+    rate = max(1, split_rows // SAMPLED)
+    thin = base.select(*keys, "_o").where(F.pmod(F.xxhash64(F.lit(5), F.col("_o")), F.lit(rate)) == 0)
+    slots = (thin.groupBy(*keys, F.pmod(F.xxhash64(F.lit(11), F.col("_o")), F.lit(CUT_SLOTS)).alias("_slot"))
+             .agg(F.count(F.lit(1)).alias("_c"), F.min_by("_o", F.xxhash64(F.lit(17), F.col("_o"))).alias("_cut")))
+    cuts = slots.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sort_array(F.collect_list("_cut")).alias("_cuts"))
+    cuts = cuts.where(F.col("_n") > split_rows / rate).orderBy(F.desc("_n")).limit(MAX_SPLIT_GROUPS).drop("_n")
     base = _join(base, F.broadcast(cuts), keys)
     bucket = F.when(F.col("_cuts").isNull(), 0).otherwise(
         F.size(F.filter("_cuts", lambda c: c <= F.col("_o"))))
@@ -84,12 +86,13 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, split_rows: int = SPLIT_ROWS,
                 bounded: bool = False) -> DataFrame:
-    """One row per distinct known value of a group: ``ties``, ``before`` (smaller rows), ``total``, and the average
-    rank ``rank`` and percentile rank ``pct`` of the tied rows.  Heavy ties are counted before any ordering."""
-    d = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties")))
-    p = ordered_prefix(d, keys, [value], F.col("ties"), split_rows, bounded)
-    rank = F.col("before") + (F.col("ties") + 1) / 2
-    return p.withColumn("rank", rank).withColumn("pct", rank / F.col("total"))
+    """One row per distinct known value of a group: ``_ties``, ``_before`` (smaller rows), ``_total``, and the average
+    rank ``_rank`` and percentile rank ``_pct`` of the tied rows.  Heavy ties are counted before any ordering."""
+    d = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties")))
+    p = ordered_prefix(d, keys, [value], F.col("_ties"), split_rows, bounded).withColumnsRenamed(
+        {"before": "_before", "total": "_total"})
+    rank = F.col("_before") + (F.col("_ties") + 1) / 2
+    return p.withColumn("_rank", rank).withColumn("_pct", rank / F.col("_total"))
 
 
 def _window_rank(keys: Sequence[str], value: str, measure: str) -> Column:
@@ -111,7 +114,7 @@ def with_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, measure:
     """Adds the same-group rank of a value (null where the value or a key is null)."""
     if bounded:
         return df.withColumn(out, _window_rank(keys, value, measure))
-    r = value_ranks(df, keys, value, split_rows).select(*keys, value, F.col(measure).alias(out))
+    r = value_ranks(df, keys, value, split_rows).select(*keys, value, F.col("_" + measure).alias(out))
     return _join(df, r, [*keys, value])
 
 
@@ -124,10 +127,10 @@ def rank_columns(df: DataFrame, keys: Sequence[str], values: Sequence[str], meas
     row_id = list(dict.fromkeys([*row_id, *keys]))
     long = df.select(*row_id, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(
         row_id, list(values), "_col", "_val").where(F.col("_val").isNotNull())
-    r = value_ranks(long, ["_col", *keys], "_val", split_rows).select("_col", *keys, "_val", measure)
+    r = value_ranks(long, ["_col", *keys], "_val", split_rows).select("_col", *keys, "_val", F.col("_" + measure).alias("_m"))
     ranked = _join(long, r, ["_col", *keys, "_val"], "inner")
     wide = ranked.groupBy(*row_id).agg(
-        *[F.max(F.when(F.col("_col") == v, F.col(measure))).alias(v + suffix) for v in values])
+        *[F.max(F.when(F.col("_col") == v, F.col("_m"))).alias(v + suffix) for v in values])
     return _join(df, wide, row_id)
 
 
@@ -151,13 +154,13 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
 
 
 def pick_quantiles(p: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Quantiles from distinct values that carry ``before``, their weight ``ties`` and the group's ``total``."""
+    """Quantiles from distinct values that carry ``_before``, their weight ``_ties`` and the group's ``_total``."""
     v = F.col(value).cast("double")
-    aggs = [F.max("total").alias("n")]
+    aggs = [F.max("_total").alias("n")]
     for name, q in probs.items():
-        h = (F.col("total") - 1) * F.lit(float(q))
+        h = (F.col("_total") - 1) * F.lit(float(q))
         def at(i):
-            return F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("ties")), v))
+            return F.max(F.when((F.col("_before") <= i) & (i < F.col("_before") + F.col("_ties")), v))
         aggs += [at(F.floor(h)).alias(f"_{name}_lo"), at(F.ceil(h)).alias(f"_{name}_hi"),
                  F.max(h - F.floor(h)).alias(f"_{name}_f")]
     cols = [(F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f")).alias(n) for n in probs]
@@ -168,8 +171,9 @@ def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: s
                        bounded: bool = False) -> DataFrame:
     """Quantiles of values that stand for ``weight`` rows each (counts aggregated beforehand)."""
     base, ks = _keyed(df, keys)
-    d = base.where(F.col(value).isNotNull()).groupBy(*ks, value).agg(F.sum(weight).alias("ties"))
-    p = ordered_prefix(d, ks, [value], F.col("ties"), bounded=bounded)
+    d = base.where(F.col(value).isNotNull()).groupBy(*ks, value).agg(F.sum(weight).alias("_ties"))
+    p = ordered_prefix(d, ks, [value], F.col("_ties"), bounded=bounded).withColumnsRenamed(
+        {"before": "_before", "total": "_total"})
     return pick_quantiles(p, ks, value, probs).select(*keys, "n", *probs)
 
 

@@ -76,7 +76,8 @@ def residualize(df: DataFrame, x: str, controls: Sequence[str], out: str = "resi
         for i, c in enumerate(xs):
             fit = fit + F.get("_beta", F.lit(i)) * c
         y = y - fit
-    return df.join(d.select(*ids, y.alias(out)), ids, "left")
+    # the last bits of a fit are noise; residuals equal to twelve digits stay ties
+    return df.join(d.select(*ids, F.round(y, 12).alias(out)), ids, "left")
 
 
 def daily_ic(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), min_names: int = MIN_NAMES,

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidemark.functions.scalars import (count_if, identifier_class, is_numeric, is_temporal, require_columns, safe_div,
                                         share)
 from tidemark.operators.calendar import to_exchange_time
-from tidemark.operators.order import ordered_prefix, pick_quantiles, top_rows, weighted_quantiles
+from tidemark.operators.order import top_rows, weighted_quantiles
 from tidemark.specs import AvailabilityRule
 
 FEW_VALUES = 40   # a column with at most this many distinct values is listed by value
@@ -171,9 +171,8 @@ def opaque_code_columns(df: DataFrame, max_distinct: int = FEW_VALUES, max_media
     numbered = F.col("value").rlike(r"^[A-Za-z]{1,2}\d+(\s*,\s*[A-Za-z]{1,2}\d+)*$")
     per = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"),
                                        F.min(flag.cast("int")).alias("all_flags"), share(numbered).alias("numbered"))
-    lengths = counts.groupBy("column", F.length("value").alias("len")).agg(F.sum("n").alias("ties"))
-    p = ordered_prefix(lengths, ["column"], ["len"], F.col("ties"), bounded=True)   # lengths, not rows
-    med = pick_quantiles(p, ["column"], "len", {"median_length": .5})
+    lengths = counts.select("column", F.length("value").alias("len"), "n")
+    med = weighted_quantiles(lengths, ["column"], "len", "n", {"median_length": .5}, bounded=True)   # distinct lengths
     opaque = ((F.col("n_distinct") <= max_distinct) & (F.col("median_length") <= max_median_length) &
               (F.col("all_flags") == 0) & (F.col("numbered") < max_numbered))
     return per.join(med, "column").select("column", "n_distinct", "median_length", opaque.alias("opaque"))

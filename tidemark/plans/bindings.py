@@ -16,6 +16,7 @@ from tidemark.operators.pit import pit_view
 from tidemark.operators.returns import forward_returns
 from tidemark.operators.segments import segment_frame
 from tidemark.operators.vintages import with_realtime_end
+from tidemark.session import cut
 from tidemark.sources.prices import market_return
 from tidemark.sources.tables import read_table
 from tidemark.specs import AvailabilityRule, ControlWindows, FeatureSpec, PanelSpec, Split, ViewRoles
@@ -100,8 +101,9 @@ class Data:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """Liquidity and sector only: at most 1,000 names on every date."""
-        return build_panel(self.view, PANEL, ("qty", "px", "n"), self.symbols, bounded=True)
+        """Liquidity and sector only: at most 1,000 names on every date.  Built once and read many times, so it is
+        materialised in the shared folder."""
+        return cut(build_panel(self.view, PANEL, ("qty", "px", "n"), self.symbols, bounded=True))
 
     @cached_property
     def sized_panel(self) -> DataFrame:
@@ -124,23 +126,25 @@ class Data:
     def plain_returns(self) -> DataFrame:
         return self.returns.drop("bid", "ask")
 
-    @cached_property
-    def features(self) -> DataFrame:
-        names = [s.name for s in SPECS if s.name != "unit_price"]
+    def features_of(self, *names: str) -> DataFrame:
+        """Features whose last bits are rounded away, for the statistics that rank them."""
         f = build_features(self.panel, SPECS, names, bounded=True)
         return f.select("date", "entity", *[F.round(c, 9).alias(c) for c in names])
 
-    def segment(self, name: str) -> DataFrame:
-        d = segment_frame(self.features, self.panel.select("date", "entity", "sector"), self.plain_returns, SPLIT, name,
-                          horizons=HORIZONS, windows=WINDOWS)
+    def raw_segment(self, name: str, *features: str) -> DataFrame:
+        return segment_frame(self.features_of(*features), self.panel.select("date", "entity", "sector"),
+                             self.plain_returns, SPLIT, name, horizons=HORIZONS, windows=WINDOWS)
+
+    def segment(self, name: str, *features: str) -> DataFrame:
+        """One segment's frame.  Statistics read it several times, so it is materialised once, in the shared folder."""
+        d = self.raw_segment(name, *features)
         # both engines rank these, so the last bits of sums are rounded away first
         fixed = [c for c in d.columns if c.startswith("fwd_")] + ["size", "reversal", "momentum", "beta", "dollar_adv",
                                                                   "vol20", "half_spread"]
-        return d.withColumns({c: F.round(c, 9) for c in fixed})
+        return cut(d.withColumns({c: F.round(c, 9) for c in fixed}))
 
-    @cached_property
-    def discovery(self) -> DataFrame:
-        return self.segment("discovery")
+    def discovery(self, *features: str) -> DataFrame:
+        return self.segment("discovery", *features)
 
     @cached_property
     def forward(self) -> DataFrame:
@@ -158,6 +162,11 @@ class Data:
             F.to_date("l_shipdate").alias("realtime_start")).agg(F.max("l_extendedprice").alias("value"))
         return with_realtime_end(v)
 
+    @cached_property
+    def vintage_table(self) -> DataFrame:
+        """The vintages as a table, for measurements that read them several times."""
+        return cut(self.vintages)
+
     # ---------------------------------------------------------------- filings
     @cached_property
     def trans(self) -> DataFrame:

@@ -281,9 +281,9 @@ def _(x: Data):
     return B.structural_breaks(_late_gaps(x), "l_shipdate", "tax", "l_suppkey", "M", window=5)
 
 
-_ZERO = """ix AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY period) - 1 AS i,
+_ZERO = """zx AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY period) - 1 AS i,
   count(*) OVER (PARTITION BY series) AS c FROM ps),
-zu AS (SELECT series, min(period) FILTER (value > 0) AS starts FROM ix GROUP BY 1
+zu AS (SELECT series, min(period) FILTER (value > 0) AS starts FROM zx GROUP BY 1
   HAVING bool_and(i >= floor(c / 2) OR value = 0) AND min(period) FILTER (value > 0) IS NOT NULL)"""
 
 
@@ -421,12 +421,11 @@ UNION ALL (SELECT 'new_name_' || value, 'name value ' || value || ' first appear
   WHERE late AND NOT regexp_matches(value, '[,;|]') ORDER BY value LIMIT 8)""")
 def _(x: Data):
     gappy, li = _gappy(x), x.t("lineitem")
-    no_breaks = B.break_clusters(_late_stats(x).where("false"))
     return G.all_flags(
         G.coverage_flags(_dips(x)),
         G.missing_flags(X.missingness(gappy, ["disc", "tax", "qty", "code"]),
                         X.missingness_over_time(gappy, ["disc", "tax", "code"], "l_shipdate", "M"),
                         X.presence(li, "l_shipdate", "l_suppkey")),
         G.part_flags(X.part_exceeds_whole(li, "l_tax", "l_discount")), G.key_flags(X.key_check(li, _KEY)),
-        G.break_flags(B.zero_until(_late_stats(x)), no_breaks),
+        G.break_flags(B.zero_until(_late_stats(x))),
         G.category_flags(X.category_mix(_named_lines(x), "l_shipdate", "name", "Q", " ", top=None), "name"))

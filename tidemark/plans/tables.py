@@ -251,7 +251,7 @@ def _(x: Data):
     return d_.join(last, ["permno", "date"], "left_semi").select("permno", "date", "ret")
 
 
-@query("a15_market_return", f"SELECT {d('date', 'date')}, {r('max(mkt)', 'mkt')} FROM rets GROUP BY date")
+@query("a15_market_return", f"SELECT {d('date', 'date')}, {r('max(mkt)', 'mkt', 9)} FROM rets GROUP BY date", digits=9)
 def _(x: Data):
     return x.returns.groupBy("date").agg(F.max("mkt").alias("mkt"))
 
