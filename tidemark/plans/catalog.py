@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.plans import registry
 
-MODULES = ("tables", "profiles", "explorations", "cleanings", "calendars", "pits", "featured", "predictions")
+MODULES = ("tables", "profiles", "explorations", "cleanings", "calendars", "pits", "featured", "predictions", "documents")
 
 
 def _load() -> None:

@@ -360,9 +360,8 @@ def _(x: Data):
 
 
 # ---------------------------------------------------------------- costs
-def _legs_sql(source: str, sig: str, h: int, sign: int, key: str = "") -> str:
+def _legs_sql(source: str, sig: str, h: int, sign: int, spread: str = "half_spread") -> str:
     top, bottom = (5, 1) if sign > 0 else (1, 5)
-    k = f"{key}, " if key else ""
     return f"""rb AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM {source}))
   WHERE i % {h} = 0),
 lr AS (SELECT *, least(greatest(ceil(i / c * 5), 1), 5) AS q FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY {sig}, entity) AS i,
@@ -371,8 +370,8 @@ lg0 AS (SELECT *, CASE q WHEN {top} THEN 1 ELSE -1 END AS leg, fwd_{h} AS fwd FR
 lg1 AS (SELECT * FROM lg0 WHERE fwd IS NOT NULL),
 lt AS (SELECT *, coalesce(CAST(floor(least(CASE WHEN dollar_adv IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY dollar_adv NULLS LAST)
   + (count(*) OVER (PARTITION BY date, dollar_adv) - 1) / 2) / count(dollar_adv) OVER (PARTITION BY date) END * 3, 2.999)) AS INT), 1) AS terc FROM lg1),
-ls AS (SELECT *, least(greatest(coalesce(half_spread, quantile_cont(half_spread, 0.5) OVER (PARTITION BY date, terc),
-  (SELECT quantile_cont(half_spread, 0.5) FROM lt)), 0.0001), 0.02) AS hs, dense_rank() OVER (ORDER BY date) AS period FROM lt)"""
+ls AS (SELECT *, least(greatest(coalesce({spread}, quantile_cont({spread}, 0.5) OVER (PARTITION BY date, terc),
+  (SELECT quantile_cont({spread}, 0.5) FROM lt)), 0.0001), 0.02) AS hs, dense_rank() OVER (ORDER BY date) AS period FROM lt)"""
 
 
 _LEGS = _legs_sql("disc", _X, 2, 1)
@@ -449,16 +448,17 @@ def _(x: Data):
     return K.portfolio(_cost_rows(x), bounded=True)
 
 
-# the same frame with costs at the floor, so that an edge is left to trade on
-_CHEAP = _PERIODS.replace("coalesce(half_spread, ", "coalesce(half_spread * 0.0, ")
+# sorted by the return itself and with costs at the floor, so that an edge is left to trade on
+_CHEAP = _PERIODS.replace(_LEGS, _legs_sql("disc", "fwd_2", 2, 1, "half_spread * 0.0"))
 
 
-@query("k7_capacity", f"WITH {_CHEAP.replace('ORDER BY ' + _X, 'ORDER BY fwd_2')}, " + _portfolio_sql(2).split("SELECT {keys}")[0]
-       .replace("{", "{{").replace("}", "}}").format() + f"SELECT {r('avg(nrt) * 1e4', 'edge_bp', 4)}, {r(_CAP, 'capacity_per_leg_usd', 2)} FROM g", digits=4)
+@query("k7_capacity", f"WITH {_CHEAP}, " + _portfolio_sql(2).split("SELECT {keys}")[0]
+       + f"SELECT {r('avg(nrt) * 1e4', 'edge_bp', 4)}, {r(_CAP, 'capacity_per_leg_usd', 2)} FROM g", digits=4)
 def _(x: Data):
     rows = _cost_rows(x).withColumns({"sig": F.col("fwd"), "half_spread": F.col("half_spread") * 0.0})
-    p = K.portfolio(rows.where(F.col("sig").isNotNull()), bounded=True)
-    return p.select(F.col("net_round_trip_mean_bp").alias("edge_bp"), F.round("capacity_per_leg_usd", 2).alias("capacity_per_leg_usd"))
+    p = K.portfolio(rows, bounded=True)
+    return p.select(F.col("net_round_trip_mean_bp").alias("edge_bp"),
+                    F.round("capacity_per_leg_usd", 2).alias("capacity_per_leg_usd"))
 
 
 def _check_sql(segment: str, source: str) -> str:
