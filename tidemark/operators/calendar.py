@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import is_temporal, require_columns, share
-from tidemark.operators.order import top_rows
+from tidemark.operators.order import positions, top_rows
 from tidemark.specs import AvailabilityRule
 
 # The span of the date dimension, the exchange's zone, and its open and close in minutes of the day.
 FIRST_DAY, LAST_DAY = "1900-01-01", "2100-12-31"
 EXCHANGE_ZONE = "America/New_York"
 OPEN_MINUTE, CLOSE_MINUTE = 570, 960
+PARTIAL_LIMIT = 1000   # Spark limits a group before the shuffle up to this many rows
 
 
 def trading_days(df: DataFrame, date: str, holidays: Sequence[str] = (), weekdays_only: bool = False) -> DataFrame:
@@ -174,8 +175,12 @@ def stratified_sample(df: DataFrame, stratum: str, n: int, key: Sequence[str] |
     d = df.withColumn("_h", h)
     sizes = df.where(F.col(stratum).isNotNull()).groupBy(F.lit(0).alias("_one")).agg(
         F.count_distinct(stratum).alias("_k"))
-    # no stratum takes more than n, so the per-stratum limit runs before the shuffle
-    ranked = top_rows(d.where(F.col(stratum).isNotNull()), [stratum], [F.asc("_h")], n)
+    # no stratum takes more than n; a small n is limited before the shuffle, a large one by split positions
+    d = d.where(F.col(stratum).isNotNull())
+    if n <= PARTIAL_LIMIT:
+        ranked = top_rows(d, [stratum], [F.asc("_h")], n)
+    else:
+        ranked = positions(d, [stratum], ["_h", *keys], "_at").where(F.col("_at") < n).drop("_at", "group_n")
     w = Window.partitionBy(stratum).orderBy("_h")
     ranked = ranked.withColumns({"_r": F.row_number().over(w), "_one": F.lit(0)}).join(F.broadcast(sizes), "_one")
     ranked = ranked.withColumn("_extra", F.col("_r") > F.floor(F.lit(n) / F.col("_k")))

@@ -32,6 +32,11 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn("_all", F.lit(0)), ["_all"]
 
 
+def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """Broadcasts a frame known to have at most ``rows`` rows if that is few enough; else AQE decides by size."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     return left.join(right, list(keys), how)
 
@@ -53,28 +58,28 @@ def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], wei
         upto = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return base.withColumns({"before": F.coalesce(F.sum(wt).over(upto), F.lit(0)),
                                  "total": F.sum(wt).over(w)}).drop(*added)
-    base = base.withColumns({"_w": F.lit(1) if weight is None else weight, "_o": F.struct(*order)})
+    base = base.withColumns({"__w": F.lit(1) if weight is None else weight, "__o": F.struct(*order)})
     # a thin hash sample tells which groups are large, and supplies one order value per hash slot: the same rows and
     # values on every evaluation, so the ranges do not move when a lost task is run again
     rate = max(1, split_rows // SAMPLED)
-    thin = base.select(*keys, "_o").where(F.pmod(F.xxhash64(F.lit(5), F.col("_o")), F.lit(rate)) == 0)
-    slots = (thin.groupBy(*keys, F.pmod(F.xxhash64(F.lit(11), F.col("_o")), F.lit(CUT_SLOTS)).alias("_slot"))
-             .agg(F.count(F.lit(1)).alias("_c"), F.min_by("_o", F.xxhash64(F.lit(17), F.col("_o"))).alias("_cut")))
-    cuts = slots.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sort_array(F.collect_list("_cut")).alias("_cuts"))
-    cuts = cuts.where(F.col("_n") > split_rows / rate).orderBy(F.desc("_n")).limit(MAX_SPLIT_GROUPS).drop("_n")
+    thin = base.select(*keys, "__o").where(F.pmod(F.xxhash64(F.lit(5), F.col("__o")), F.lit(rate)) == 0)
+    slots = (thin.groupBy(*keys, F.pmod(F.xxhash64(F.lit(11), F.col("__o")), F.lit(CUT_SLOTS)).alias("__slot"))
+             .agg(F.count(F.lit(1)).alias("__c"), F.min_by("__o", F.xxhash64(F.lit(17), F.col("__o"))).alias("__cut")))
+    cuts = slots.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.sort_array(F.collect_list("__cut")).alias("__cuts"))
+    cuts = cuts.where(F.col("__n") > split_rows / rate).orderBy(F.desc("__n")).limit(MAX_SPLIT_GROUPS).drop("__n")
     base = _join(base, F.broadcast(cuts), keys)
-    bucket = F.when(F.col("_cuts").isNull(), 0).otherwise(
-        F.size(F.filter("_cuts", lambda c: c <= F.col("_o"))))
-    base = base.withColumn("_b", bucket).drop("_cuts")
-    totals = base.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"))
+    bucket = F.when(F.col("__cuts").isNull(), 0).otherwise(
+        F.size(F.filter("__cuts", lambda c: c <= F.col("__o"))))
+    base = base.withColumn("__b", bucket).drop("__cuts")
+    totals = base.groupBy(*keys, "__b").agg(F.sum("__w").alias("__bw"))
     # at most CUT_SLOTS + 1 rows per key
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_b", F.coalesce(F.sum("_bw").over(earlier), F.lit(0)).alias("_off"),
-                           F.sum("_bw").over(Window.partitionBy(*keys)).alias("total"))
-    base = _join(base, totals, [*keys, "_b"], "inner")
-    within = (Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    out = base.withColumn("before", F.col("_off") + F.coalesce(F.sum("_w").over(within), F.lit(0)))
-    return out.drop("_w", "_o", "_b", "_off", *added)
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "__b", F.coalesce(F.sum("__bw").over(earlier), F.lit(0)).alias("__off"),
+                           F.sum("__bw").over(Window.partitionBy(*keys)).alias("total"))
+    base = _join(base, totals, [*keys, "__b"], "inner")
+    within = (Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = base.withColumn("before", F.col("__off") + F.coalesce(F.sum("__w").over(within), F.lit(0)))
+    return out.drop("__w", "__o", "__b", "__off", *added)
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos",
@@ -249,6 +254,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: Sequence[str] | str, left_
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
-    """The first n rows of each group.  Spark limits each group before the shuffle, so hot groups stay small."""
+    """The first n rows of each group.  Spark limits each group before the shuffle, so hot groups stay small (for n up
+    to spark.sql.optimizer.windowGroupLimitThreshold, 1000 by default)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import require_columns, safe_div
-from tidemark.operators.order import asof_join, record_chunks, top_rows
+from tidemark.operators.order import asof_join, record_chunks, small, top_rows
 from tidemark.operators.signals import top_by_median
 from tidemark.specs import PanelSpec, definition_hash
 
@@ -65,12 +65,12 @@ def build_panel(view: DataFrame, spec: PanelSpec, values: tuple[str, ...], symbo
                 bounded: bool = False) -> DataFrame:
     """G9. The panel of the universe over the spec's dates: values, quality flag, liquidity, sector and sizes.
 
-    The universe has at most ``spec.universe_n`` names and is broadcast; it also bounds every date's cross-section.
+    The universe has at most ``spec.universe_n`` names, which bounds every date's cross-section.
     ``bounded`` says the view has one record per entity and source time.
     """
     require_columns(view, "entity", "decision_time", "source_time", spec.scale_field, *values)
     names = universe(view, spec, bounded)
-    v = view.join(F.broadcast(names), "entity", "left_semi")
+    v = view.join(small(names, spec.universe_n), "entity", "left_semi")
     v = liquidity_proxy(v, spec.scale_field, spec.adv_window, spec.adv_min, tie, bounded)   # warm-up counts
     v = latest_per_date(v.where(_between("decision_time", spec.start, spec.end)), tie)
     p = v.select(F.col("decision_time").alias("date"), "entity", *values, "quality_flag", "adv_proxy")

@@ -28,11 +28,9 @@ def _upto() -> Window:
 def densify(df: DataFrame) -> DataFrame:
     """J1. Every session of the frame for every entity, from the entity's first row on (before it all is missing)."""
     require_columns(df, "date", "entity")
-    days = df.select("date").distinct().agg(F.sort_array(F.collect_list("date")).alias("_days")).withColumn(
-        "_one", F.lit(0))   # the calendar
-    ents = df.groupBy("entity").agg(F.min("date").alias("_first")).withColumn("_one", F.lit(0))
-    grid = ents.join(F.broadcast(days), "_one").select(
-        "entity", F.explode(F.filter("_days", lambda d: d >= F.col("_first"))).alias("date"))
+    days = df.select("date").distinct().agg(F.sort_array(F.collect_list("date"))).scalar()   # the calendar, one value
+    ents = df.groupBy("entity").agg(F.min("date").alias("_first")).withColumn("_days", days)
+    grid = ents.select("entity", F.explode(F.filter("_days", lambda d: d >= F.col("_first"))).alias("date"))
     return grid.join(df, ["date", "entity"], "left")
 
 

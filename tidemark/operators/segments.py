@@ -22,8 +22,7 @@ def split_errors(split: Split, sessions: DataFrame, embargo: int = EMBARGO_SESSI
         if lo > hi:
             raise ValueError(f"segment {name} ends before it starts")
     gaps = spark.createDataFrame(rows, "before string, after string, ends string, starts string")
-    cal = sessions.agg(F.sort_array(F.collect_set("session")).alias("_days")).withColumn("_one", F.lit(0))
-    g = gaps.withColumn("_one", F.lit(0)).join(F.broadcast(cal), "_one")
+    g = gaps.withColumn("_days", sessions.agg(F.sort_array(F.collect_set("session"))).scalar())
     between = F.size(F.filter("_days", lambda d: (d > F.col("ends").cast("date")) & (d < F.col("starts").cast("date"))))
     return g.select("before", "after", between.cast("long").alias("gap_sessions"),
                     ((F.col("starts") > F.col("ends")) & (between >= embargo)).alias("ok"))

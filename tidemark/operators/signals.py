@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import require_columns, rolling, safe_div
 from tidemark.operators.calendar import first_open_after, next_session, roll_forward, to_exchange_time
-from tidemark.operators.order import quantiles
+from tidemark.operators.order import quantiles, small
 from tidemark.operators.vintages import end_of_period, releases
 
 EVENT_VARIANTS = ("clean", "transdate", "filingdate", "noclose")
@@ -71,9 +71,8 @@ def top_by_median(df: DataFrame, entity: str, scale: str, n: int, bounded: bool
 
 def session_grid(entities: DataFrame, sessions: DataFrame, key: str) -> DataFrame:
     """Every (entity, session): one array of sessions, exploded per entity."""
-    days = sessions.agg(F.sort_array(F.collect_set("session")).alias("_days")).withColumn("_one", F.lit(0))
-    e = entities.select(key, F.lit(0).alias("_one")).join(F.broadcast(days), "_one")
-    return e.select(key, F.explode("_days").alias("date"))
+    days = sessions.agg(F.sort_array(F.collect_set("session"))).scalar()
+    return entities.select(key).withColumn("_days", days).select(key, F.explode("_days").alias("date"))
 
 
 def pressure_reference(df: DataFrame, sessions: DataFrame, formation: tuple[str, str], start: str, end: str,
@@ -89,7 +88,7 @@ def pressure_reference(df: DataFrame, sessions: DataFrame, formation: tuple[str,
     formed = df.where((F.col("date") >= day(formation[0])) & (F.col("date") < day(formation[1])))
     universe = top_by_median(formed, "symbol", "total_volume", universe_n, bounded=True)
     inside = F.col("date").between(day(start), day(end))
-    x = df.where(inside & (F.col("total_volume") > 0)).join(F.broadcast(universe), "symbol", "left_semi").select(
+    x = df.where(inside & (F.col("total_volume") > 0)).join(small(universe, universe_n), "symbol", "left_semi").select(
         "symbol", "date", safe_div(F.col("short_volume"), F.col("total_volume")).alias("ratio"))
     days = sessions.where(F.col("session").between(day(start), day(end)))
     g = session_grid(universe, days, "symbol").join(x, ["symbol", "date"], "left")

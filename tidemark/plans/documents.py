@@ -73,7 +73,8 @@ def _manual(x: Data):
     number = F.concat((F.col("p_size") % 9 + 1).cast("string"), F.lit("."), F.col("p_size").cast("string"))
     size = F.col("p_size") % 50 + 1
     other = F.concat((size % 9 + 1).cast("string"), F.lit("."), size.cast("string"))
-    return p.select(F.col("p_brand").alias("doc"), F.col("p_size").alias("page"), F.col("p_partkey").alias("seq"),
+    page = F.floor(F.col("p_partkey") / 200).cast("int")   # a page holds a few parts of a brand, whatever the table's size
+    return p.select(F.col("p_brand").alias("doc"), page.alias("page"), F.col("p_partkey").alias("seq"),
                     F.concat(number, F.lit(" "), F.initcap("p_type"), F.lit(" List")).alias("section"),
                     F.concat("p_name", F.lit("\ncodes are in Appendix section "), other).alias("text"))
 
@@ -93,9 +94,9 @@ def _(x: Data):
     return s.select("query_id", "rank", "doc", "page", "section", "score", F.length("text").alias("chars"))
 
 
-@query("m4_whole_sections", f"""SELECT p_brand AS doc, {n('p_size', 'page')}, (p_size % 9 + 1) || '.' || p_size || ' ' ||
+@query("m4_whole_sections", f"""SELECT p_brand AS doc, {n('p_partkey // 200', 'page')}, (p_size % 9 + 1) || '.' || p_size || ' ' ||
 upper(p_type[1]) || lower(p_type[2:]) || ' List' AS section, {n('min(p_partkey)', 'seq')}, {n('count(*)', 'passages')}
-FROM part GROUP BY 1, p_size, 3""")
+FROM part GROUP BY 1, p_partkey // 200, 3""")
 def _(x: Data):
     # a passage adds its name line and, as every passage of a section ends with the same reference, that line again
     w = D.whole_sections(_manual(x))
