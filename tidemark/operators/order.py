@@ -23,6 +23,7 @@ SPLIT_ROWS = 2_000_000   # a group with more ordered items than this is cut into
 MAX_SPLIT_GROUPS = 2048  # the largest groups only: any other group is then smaller than 1/2048 of all items
 SAMPLED = 2_000          # sampled items that a group of SPLIT_ROWS items has on average
 CUT_SLOTS = 256          # cut points per split group; the broadcast cuts hold at most 2048 * 256 values
+CUT_STEP = 16            # a value is placed among the cuts in two steps of 16 comparisons
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -58,7 +59,8 @@ def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], wei
         upto = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return base.withColumns({"before": F.coalesce(F.sum(wt).over(upto), F.lit(0)),
                                  "total": F.sum(wt).over(w)}).drop(*added)
-    base = base.withColumns({"__w": F.lit(1) if weight is None else weight, "__o": F.struct(*order)})
+    value = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    base = base.withColumns({"__w": F.lit(1) if weight is None else weight, "__o": value})
     # a thin hash sample tells which groups are large, and supplies one order value per hash slot: the same rows and
     # values on every evaluation, so the ranges do not move when a lost task is run again
     rate = max(1, split_rows // SAMPLED)
@@ -67,10 +69,14 @@ def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], wei
              .agg(F.count(F.lit(1)).alias("__c"), F.min_by("__o", F.xxhash64(F.lit(17), F.col("__o"))).alias("__cut")))
     cuts = slots.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.sort_array(F.collect_list("__cut")).alias("__cuts"))
     cuts = cuts.where(F.col("__n") > split_rows / rate).orderBy(F.desc("__n")).limit(MAX_SPLIT_GROUPS).drop("__n")
-    base = _join(base, F.broadcast(cuts), keys)
-    bucket = F.when(F.col("__cuts").isNull(), 0).otherwise(
-        F.size(F.filter("__cuts", lambda c: c <= F.col("__o"))))
-    base = base.withColumn("__b", bucket).drop("__cuts")
+    every = F.filter("__cuts", lambda c, i: i % CUT_STEP == CUT_STEP - 1)
+    base = _join(base, F.broadcast(cuts.withColumn("__steps", every)), keys)
+    # cuts at or below the value: whole steps first, then inside the step it falls in
+    whole = CUT_STEP * F.size(F.filter("__steps", lambda c: c <= F.col("__o")))
+    base = base.withColumn("__whole", F.when(F.col("__cuts").isNull(), 0).otherwise(whole))
+    rest = F.size(F.filter(F.slice("__cuts", F.col("__whole") + 1, F.lit(CUT_STEP)), lambda c: c <= F.col("__o")))
+    bucket = F.when(F.col("__cuts").isNull(), 0).otherwise(F.col("__whole") + rest)
+    base = base.withColumn("__b", bucket).drop("__cuts", "__steps", "__whole")
     totals = base.groupBy(*keys, "__b").agg(F.sum("__w").alias("__bw"))
     # at most CUT_SLOTS + 1 rows per key
     earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
