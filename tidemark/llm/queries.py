@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linededup, mixing, quality
+from tidemark.llm import linededup, mixing, ngramjoin, quality
 from tidemark.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _of(table: str, op: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_jaccard": _of("documents", ngramjoin.linked_documents),
         "op4_line_dedup": _of("documents", linededup.line_report),
         "op8_quality_outliers": _of("documents", quality.document_quality),
         "op10_curriculum": _of("documents", mixing.mixture),
