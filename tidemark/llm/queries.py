@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linededup, mixing, ngramjoin, quality
+from tidemark.llm import linededup, mixing, ngramjoin, packing, quality, transport
 from tidemark.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +19,13 @@ def _of(table: str, op: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": _of("documents", ngramjoin.linked_documents),
+        "op3_transport_stream": _of("documents", transport.media_report),
         "op4_line_dedup": _of("documents", linededup.line_report),
+        "op6_packing": _of("documents", packing.pieces),
         "op8_quality_outliers": _of("documents", quality.document_quality),
         "op10_curriculum": _of("documents", mixing.mixture),
     }
+
+
+def oracles() -> dict[str, str]:
+    return {}
