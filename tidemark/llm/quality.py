@@ -62,10 +62,13 @@ def statistics(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
         F.size("q_lines").cast("long").alias("n_full_lines"),
         F.coalesce(_covered(F.col("q_marked")), F.lit(0)).cast("long").alias("n_repeat_words"))
+    # no row has a partition below 0; the expression keeps a later filter from being moved below this point, where the
+    # statistics would be computed again inside it
+    here = F.spark_partition_id() < 0
     share = lambda a, b: F.sqrt(F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0)))
     return t.select(
         "*",
-        ((F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
+        ((F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")) | here).alias("base_failed"),
         F.log((F.col("word_chars") + 1) / (F.col("n_words") + 1)).alias("x_length"), share("n_symbols", "word_chars").alias("x_symbols"),
         share("n_repeat_words", "n_words").alias("x_repeats"), share("n_dup_lines", "n_full_lines").alias("x_lines"))
 
