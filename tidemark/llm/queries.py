@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linededup, mixing, ngramjoin, packing, quality, transport
+from tidemark.llm import chat, linededup, mixing, ngramjoin, packing, quality, transport, urlfilter
 from tidemark.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +19,10 @@ def _of(table: str, op: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": _of("documents", ngramjoin.linked_documents),
+        "op2_chat_format": lambda spark, sf_dir: chat.chat_report(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")),
         "op3_transport_stream": _of("documents", transport.media_report),
         "op4_line_dedup": _of("documents", linededup.line_report),
+        "op5_url_filter": _of("pages", urlfilter.judged),
         "op6_packing": _of("documents", packing.pieces),
         "op8_quality_outliers": _of("documents", quality.document_quality),
         "op10_curriculum": _of("documents", mixing.mixture),
@@ -28,4 +30,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": linededup.ORACLE, "op5_url_filter": urlfilter.ORACLE}
