@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, disclosure, linededup, mixing, ngramjoin, packing, quality, transport, urlfilter
+from tidemark.llm import chat, disclosure, linededup, mixing, ngramjoin, ngramlm, packing, quality, transport, urlfilter
 from tidemark.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op4_line_dedup": _of("documents", linededup.line_report),
         "op5_url_filter": _of("pages", urlfilter.judged),
         "op6_packing": _of("documents", packing.pieces),
+        "op7_lm_score": _of("documents", ngramlm.scored),
         "op8_quality_outliers": _of("documents", quality.document_quality),
         "op9_pii_disclosure": _of("documents", disclosure.disclosure_report),
         "op10_curriculum": _of("documents", mixing.mixture),
