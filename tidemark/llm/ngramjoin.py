@@ -46,7 +46,7 @@ PERCENT = 75
 DISTANCE = 1 - PERCENT / 100
 #: N-grams that a task gathers before it sends them, and the size of a block that one task joins.
 FLUSH = 3_000_000
-LEAF_DOCUMENTS, LEAF_SHINGLES = 2048, 3_000_000
+LEAF_DOCUMENTS, LEAF_SHINGLES = 8192, 3_000_000
 #: Pivots of a large region: a share of its documents within bounds.  Documents of a region that one task compares with them.
 PIVOTS_LEAST, PIVOTS_MOST, PIVOTS_SHARE, CELL = 32, 1024, 32, 2048
 
@@ -238,16 +238,25 @@ def links(n: int, sizes: np.ndarray, overlap: np.ndarray) -> np.ndarray:
 
 
 def _groups(sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """The first member of each one's group, in a block that is joined whole."""
-    group = np.arange(len(sets))
+    """The first member of each one's group, in a block that is joined whole.  One after another, members become pivots and
+    are compared with all, but for those that the largest group holds: each pair of two groups has a member that was one."""
+    group, compared = np.arange(len(sets)), np.zeros(len(sets), bool)
     postings = Postings(sets)
-    for i, one in enumerate(sets):
-        near = links(int(sizes[i]), sizes, postings.overlap(one))
-        near[i] = True
-        meets = np.unique(group[near])
-        if len(meets) > 1:
-            group[np.isin(group, meets)] = meets[0]
-    return group
+    while True:
+        largest = np.bincount(group, minlength=len(sets)).argmax()
+        waiting = np.flatnonzero(~compared & (group != largest))
+        if not len(waiting):
+            return group
+        # before the largest group is looked for again, as many as would make it anew
+        for i in waiting[:max(1, len(waiting) // 8)]:
+            if group[i] == largest:
+                continue
+            near = links(int(sizes[i]), sizes, postings.overlap(sets[i]))
+            near[i] = compared[i] = True
+            meets = np.unique(group[near])
+            if len(meets) > 1:
+                group[np.isin(group, meets)] = meets[0]
+                largest = meets[0] if largest in meets else largest
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -284,7 +293,7 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _join_blocks(blocks: DataFrame) -> DataFrame:
     """blocks: block, node, n, shared; (node, component) of what is linked within them."""
     n = shuffle_partitions(blocks.sparkSession)
-    rows = blocks.select("block", "node", "n", "shared").repartition(2 * n, "block").sortWithinPartitions("block")
+    rows = blocks.select("block", "node", "n", "shared").repartition(n, "block").sortWithinPartitions("block")
     return rows.mapInArrow(_block_links, "node long, component long")
 
 
@@ -293,9 +302,15 @@ _NEAR = "region long, node long, n long, shared binary, near array<struct<pivot:
 
 def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a cell: its pivots (kind 0), then its documents; a row for each document with its distance to every pivot."""
-    cell, pivots, postings, sizes, out = None, [], None, None, []
-    schema = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shared", pa.binary()),
-                        ("near", pa.list_(pa.struct([("pivot", pa.int64()), ("d", pa.float64()), ("linked", pa.bool_())])))])
+    cell, pivots, postings = None, [], None
+    ids = sizes = np.empty(0, np.int64)
+    rows: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        ends = np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32)
+        near = pa.StructArray.from_arrays([pa.array(np.concatenate([r[k] for r in rows])) for k in (4, 5, 6)], names=["pivot", "d", "linked"])
+        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))),
+                                           pa.ListArray.from_arrays(pa.array(ends), near)], names=["region", "node", "n", "shared", "near"])
     for batch in batches:
         for region, salt, kind, node, n, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if cell != (region, salt):
@@ -305,17 +320,15 @@ def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pivots.append((node, n, one))
                 continue
             if postings is None:
-                postings, sizes = Postings([p[2] for p in pivots]), np.array([p[1] for p in pivots])
+                postings = Postings([p[2] for p in pivots])
+                ids, sizes = np.array([p[0] for p in pivots]), np.array([p[1] for p in pivots])
             overlap = postings.overlap(one)
-            far = 1 - overlap / (n + sizes - overlap)
-            linked = links(n, sizes, overlap)
-            out.append({"region": region, "node": node, "n": n, "shared": shared,
-                        "near": [{"pivot": p[0], "d": float(d), "linked": bool(x)} for p, d, x in zip(pivots, far, linked, strict=True)]})
-            if len(out) >= 500:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out = []
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema)
+            rows.append((region, node, n, shared, ids, 1 - overlap / (n + sizes - overlap), links(n, sizes, overlap)))
+            if len(rows) >= 500:
+                yield made()
+                rows = []
+    if rows:
+        yield made()
 
 
 def _split_large(rows: DataFrame, leaf: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -374,8 +387,8 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     small = (F.col("members") <= LEAF_DOCUMENTS) & (F.col("grams") <= LEAF_SHINGLES) | (F.col("members") <= 2)
     sized = members.join(sizes.select("block", small.alias("small")), "block")
     linked = _join_blocks(sized.where("small"))
-    large = sized.where("not small").select(F.col("block").alias("region"), "node", "n", "shared")
-    linked = linked.unionByName(_split_large(large, _join_blocks))
+    if not sizes.where(~small).isEmpty():
+        linked = linked.unionByName(_split_large(sized.where("not small").select(F.col("block").alias("region"), "node", "n", "shared"), _join_blocks))
     # from sets to documents: the smallest document of all sets of a component
     named = stands.withColumn("at", F.xxhash64("set_key")).join(linked.withColumnRenamed("node", "at"), "at", "left")
     named = named.where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "at"))
