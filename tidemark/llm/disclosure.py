@@ -108,14 +108,18 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     seen = found.select("doc_id", "text_hash", F.explode("nearby").alias("n")).select("doc_id", "text_hash", "n.entity", "n.term").distinct()
     both = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
     own = seen.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    pairs = cut(both.join(own, "entity"))
+    total = found.select("doc_id", "text_hash").distinct().count()
+    # the share reaches GENERALISE only if the whole corpus holds the term at most this often; near entities alone it may
+    # already stand more often
+    most = F.col("both") * F.pow(F.lit(float(total)) / F.col("with_entity"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    beside = seen.select("term", "doc_id", "text_hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
+    pairs = cut(both.join(own, "entity").join(beside, "term").where(F.col("beside") <= most).drop("beside"))
     terms = broadcast_checked(cut(pairs.select("term").distinct()), 100)
     # over the whole corpus, how many documents hold each of these terms
     said = docs.select("doc_id", text_of().alias("q_text")).select("doc_id", F.xxhash64("q_text").alias("text_hash"), F.array_distinct(F.transform(
         F.regexp_extract_all("q_text", F.lit(f"({TERM})"), F.lit(1)), F.lower)).alias("terms"))
     held = said.select("doc_id", "text_hash", F.explode("terms").alias("term")).join(terms, "term")
     held = held.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    total = docs.select("doc_id", F.xxhash64(text_of()).alias("h")).distinct().count()
     info = F.log(F.lit(float(total)) / F.col("with_entity"))
     point = F.log(F.col("both") * F.lit(float(total)) / (F.col("with_entity") * F.col("with_term")))
     return (pairs.join(held, "term").withColumn("share", F.coalesce(point / F.nullif(info, F.lit(0.0)), F.lit(0.0)))
