@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.hashing import mix
 from tidemark.session import cut
 
 #: (host, path, verdict)
@@ -66,9 +67,10 @@ class Cascade:
 
 
 def _salted(one: np.ndarray, two: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Another pair of hashes on each level."""
+    """Another pair of hashes on each level; every bit depends on the whole key, so that keys which collide on one level
+    do not on the next."""
     turn = np.uint64(0x9E3779B97F4A7C15 * (level + 1) % 2**64)
-    return (one ^ turn) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1), (two ^ turn) * np.uint64(0x94D049BB133111EB) >> np.uint64(1) | np.uint64(1)
+    return mix(one ^ turn), mix(two + turn) | np.uint64(1)
 
 
 def _positions(level: int, bits: int, hashes: int):
