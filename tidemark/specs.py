@@ -142,5 +142,5 @@ def definition_hash(obj) -> str:
     return hashlib.sha256(json.dumps(body, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
-__all__ = ["AvailabilityRule", "Predicate", "CleaningStep", "FeatureSpec", "PanelSpec", "ViewRoles", "Split", "RobustnessTest", "ViewRoles",
+__all__ = ["AvailabilityRule", "Predicate", "CleaningStep", "FeatureSpec", "PanelSpec", "ViewRoles", "Split", "RobustnessTest",
            "Finding", "ControlWindows", "definition_hash"]
