@@ -11,7 +11,8 @@ the vocabulary, made monotone by their context's place; and for each a one-byte
 Looking up finds context and word, then searches the successors between the context's pointers.
 
 A task sends, for a batch of documents, its distinct words and bigrams with their training counts to the shards; a shard
-counts, builds its trie, and answers each batch.  The batch combines the answers into the scores of its documents.
+counts, builds its trie, and answers each batch.  The batch, gathered from its documents once more, combines the answers
+into their scores.
 
 Defined results: a null or empty text is one end; a document without id is a training document; repeated rows count each;
 without training documents every count is 0.  Words are told apart by 64-bit hashes, contexts and successors of a shard by
@@ -23,11 +24,10 @@ from __future__ import annotations
 import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +45,7 @@ _END, _BEGIN = np.uint64(0xE11D), np.uint64(0xB391)
 _NO_ID = np.iinfo(np.int64).min
 _ROW = "batch string, kind int, bucket int, a binary, b binary, c binary, d binary, e binary"
 _HEAD, _WORDS, _PAIRS = 0, 1, 2
+_ZSTD = pa.Codec("zstd", 1)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -177,23 +178,27 @@ def quantised(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.uint8), values
 
 
-def _five(x: np.ndarray) -> bytes:
-    """The upper 40 bits of 64, as two planes."""
-    return (x >> np.uint64(32)).astype(np.uint32).tobytes() + ((x >> np.uint64(24)) & np.uint64(255)).astype(np.uint8).tobytes()
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bytes as compressed byte planes, their amount before them."""
+    raw = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return struct.pack("<Q", len(x)) + _ZSTD.compress(raw, asbytes=True)
 
 
-def _of_five(raw: bytes) -> np.ndarray:
-    n = len(raw) // 5
-    return (np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(raw, np.uint8, n, 4 * n)
+def _of_planes(raw: bytes, width: int) -> np.ndarray:
+    n = struct.unpack_from("<Q", raw)[0]
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(_ZSTD.decompress(raw[8:], n * width, asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").reshape(n)
 
 
-def _three(x: np.ndarray) -> bytes:
-    return (x & 0xFFFF).astype(np.uint16).tobytes() + (x >> 16).astype(np.uint8).tobytes()
+def _steps(x: np.ndarray, width: int) -> bytes:
+    """Ascending numbers by their differences, which take fewer bytes."""
+    return _planes(np.diff(x, prepend=np.uint64(0)), width)
 
 
-def _of_three(raw: bytes) -> np.ndarray:
-    n = len(raw) // 3
-    return np.frombuffer(raw, np.uint16, n).astype(np.int64) | np.frombuffer(raw, np.uint8, n, 2 * n).astype(np.int64) << 16
+def _of_steps(raw: bytes, width: int) -> np.ndarray:
+    return np.cumsum(_of_planes(raw, width), dtype=np.uint64)
 
 
 def _counts(x: np.ndarray) -> bytes:
@@ -238,18 +243,27 @@ class _Batch:
         train = np.repeat([not held_out(d) for d in self.ids], sizes)
         return tokens[2:], sizes, vocabulary, train
 
-    def rows(self, name: str, bits: int) -> Iterator[pa.RecordBatch]:
-        tokens, sizes, vocabulary, train = self.tokens()
+    def head(self, name: str) -> Iterator[pa.RecordBatch]:
+        """What the batch holds."""
+        tokens, sizes, vocabulary, _ = self.tokens()
         ids = np.array([_NO_ID if d is None else d for d in self.ids], np.int64)
-        yield _rows(name, _HEAD, [zlib.crc32(name.encode()) % (1 << bits)], [(ids.tobytes(), sizes.tobytes(), _three(tokens), vocabulary.tobytes(), b"")])
+        yield _rows(name, _HEAD, [0], [(ids.tobytes(), sizes.tobytes(), _planes(tokens, 4), _steps(vocabulary, 8), b"")])
+
+    def words(self, name: str, bits: int) -> Iterator[pa.RecordBatch]:
+        tokens, _, vocabulary, train = self.tokens()
+        yield from _word_rows(name, tokens, vocabulary, train, bits)
+
+    def words_and_pairs(self, name: str, bits: int) -> Iterator[pa.RecordBatch]:
+        tokens, sizes, vocabulary, train = self.tokens()
         yield from _word_rows(name, tokens, vocabulary, train, bits)
         context, word, bucket, place = _pairs(tokens, sizes, vocabulary, bits)
         count = np.bincount(place[train], minlength=len(bucket))
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        short = vocabulary >> np.uint64(24)
         for i in range(0, len(cuts) - 1, 64):
             part = list(zip(cuts[i:i + 64], cuts[i + 1:i + 65], strict=False))
             yield _rows(name, _PAIRS, [int(bucket[s]) for s, _ in part],
-                        [(_five(vocabulary[context[s:e]]), _five(vocabulary[word[s:e]]), _counts(count[s:e]), b"", b"") for s, e in part])
+                        [(_steps(short[context[s:e]], 5), _planes(short[word[s:e]], 5), _counts(count[s:e]), b"", b"") for s, e in part])
 
 
 def _rows(name: str, kind: int, buckets: list[int], bodies: list[tuple]) -> pa.RecordBatch:
@@ -262,37 +276,31 @@ def _word_rows(name: str, tokens: np.ndarray, vocabulary: np.ndarray, train: np.
     bucket = (vocabulary >> np.uint64(64 - bits)).astype(np.int32)
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
     yield _rows(name, _WORDS, [int(bucket[s]) for s in cuts[:-1]],
-                [(vocabulary[s:e].tobytes(), _counts(count[s:e]), b"", b"", b"") for s, e in zip(cuts[:-1], cuts[1:], strict=True)])
+                [(_steps(vocabulary[s:e], 8), _counts(count[s:e]), b"", b"", b"") for s, e in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
-def _gatherer(bits: int, words_only: bool):
+def _gatherer(send: Callable[[_Batch, str], Iterator[pa.RecordBatch]]):
+    """Batches of a partition's documents, named by the partition and their number in it, and what is sent of each."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count, held = TaskContext.get().partitionId(), 0, _Batch()
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            name = f"{part}-{count}"
-            if words_only:
-                tokens, _, vocabulary, train = held.tokens()
-                yield from _word_rows(name, tokens, vocabulary, train, bits)
-            else:
-                yield from held.rows(name, bits)
+        part, count, held = 0, 0, _Batch()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
+                part = some.column(2)[0].as_py()
                 words, starts = hashed_words(some.column(1))
                 for i, doc in enumerate(some.column(0).to_pylist()):
                     held.add(doc, words[starts[i]:starts[i + 1]])
                 if held.size >= FLUSH:
-                    yield from sent()
+                    yield from send(held, f"{part}-{count}")
                     count, held = count + 1, _Batch()
         if held.ids:
-            yield from sent()
+            yield from send(held, f"{part}-{count}")
     return gather
 
 
 def _words_counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """A bucket's words, their training counts, and the words of each row."""
-    asked = [np.frombuffer(x, np.uint64) for x in table["a"].to_pylist()]
+    asked = [_of_steps(x, 8) for x in table["a"].to_pylist()]
     words, place = np.unique(np.concatenate(asked), return_inverse=True)
     count = np.bincount(place, np.concatenate([_of_counts(x) for x in table["b"].to_pylist()]), len(words)).astype(np.int64)
     return words, count, asked
@@ -304,15 +312,14 @@ def _totals(table: pa.Table) -> pa.Table:
 
 
 def _answered(table: pa.Table) -> pa.Table:
-    """Answers of a shard: what the words count, or the codes of the bigrams; rows that say what a batch holds pass."""
+    """Answers of a shard: what the words count, or the codes of the bigrams."""
     kind, nothing = table["kind"][0].as_py(), [b""] * table.num_rows
-    if kind == _HEAD:
-        return table
     if kind == _WORDS:
         words, count, asked = _words_counted(table)
         a, b = [_counts(count[np.searchsorted(words, x)]) for x in asked], nothing
     else:
-        contexts, words, counts = ([f(x) for x in table[c].to_pylist()] for c, f in (("a", _of_five), ("b", _of_five), ("c", _of_counts)))
+        contexts, words, counts = ([f(x) for x in table[c].to_pylist()]
+                                   for c, f in (("a", lambda x: _of_steps(x, 5)), ("b", lambda x: _of_planes(x, 5)), ("c", _of_counts)))
         every = np.concatenate(counts)
         seen = every > 0
         trie = Trie(Trie.build(np.concatenate(contexts)[seen], np.concatenate(words)[seen], every[seen]))
@@ -328,7 +335,7 @@ def _scorer(total: int, distinct: int, bits: int):
     def score(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table[c].to_pylist() for c in ("kind", "bucket", "a", "b", "c", "d")), strict=True), key=lambda r: r[:2])
         _, _, ids, sizes, tokens, vocabulary = rows[0]
-        ids, sizes, tokens, vocabulary = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), _of_three(tokens), np.frombuffer(vocabulary, np.uint64)
+        ids, sizes, tokens, vocabulary = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), _of_planes(tokens, 4).astype(np.int64), _of_steps(vocabulary, 8)
         count = np.concatenate([_of_counts(r[2]) for r in rows if r[0] == _WORDS])
         numerator = np.concatenate([np.frombuffer(r[3], np.float64)[np.frombuffer(r[2], np.uint8)] for r in rows if r[0] == _PAIRS])
         context, _, _, place = _pairs(tokens, sizes, vocabulary, bits)
@@ -350,8 +357,12 @@ def _scorer(total: int, distinct: int, bits: int):
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per document row."""
     bits = min(22, max(6, (4 * shuffle_partitions(docs.sparkSession) - 1).bit_length()))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sums = rows.mapInArrow(_gatherer(bits, True), _ROW).groupBy("bucket").applyInArrow(_totals, "tokens long, words long")
+    # the partition's own number names its batches alike in every pass over the documents
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
+    words = rows.mapInArrow(_gatherer(lambda batch, name: batch.words(name, bits)), _ROW)
+    sums = words.groupBy("bucket").applyInArrow(_totals, "tokens long, words long")
     total, distinct = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    answers = rows.mapInArrow(_gatherer(bits, False), _ROW).groupBy("kind", "bucket").applyInArrow(_answered, _ROW)
-    return answers.groupBy("batch").applyInArrow(_scorer(total, distinct, bits), _SCORES)
+    asked = rows.mapInArrow(_gatherer(lambda batch, name: batch.words_and_pairs(name, bits)), _ROW)
+    answers = asked.groupBy("kind", "bucket").applyInArrow(_answered, _ROW)
+    heads = rows.mapInArrow(_gatherer(lambda batch, name: batch.head(name)), _ROW)   # read again rather than sent through the shards
+    return answers.union(heads).groupBy("batch").applyInArrow(_scorer(total, distinct, bits), _SCORES)
