@@ -181,3 +181,18 @@ def test_dated_link(spark):
     pairs = spark.createDataFrame([(day, s) for s in ("BF/B", "MA", "XYZ", "OLD", "NOPE")], "date date, entity string")
     got = {r.entity: r.rid for r in pit.dated_link(pairs, daily, names).collect()}
     assert got == {"BF/B": "1", "MA": "3", "XYZ": "2", "OLD": None, "NOPE": None}
+
+
+def test_dates_outside_the_calendar(spark):
+    days = [dt.date(1890, 5, 2), dt.date(1995, 3, 1), dt.date(2150, 7, 9)]
+    dim = K.date_dimension(spark.createDataFrame([(x,) for x in days], "session date")).cache()
+    asked = [dt.date(1492, 1, 1), dt.date(1890, 5, 1), *days, dt.date(2150, 7, 10), dt.date(2999, 1, 1), None]
+    df = spark.createDataFrame(list(enumerate(asked)), "i int, d date")
+    at = lambda f, c: [r[c] for r in f.orderBy("i").collect()]
+    a, b, c = days
+    assert at(K.roll_forward(df, "d", dim), "session") == [a, a, a, b, c, None, None, None]
+    assert at(K.next_session(df, "d", dim), "session") == [a, a, b, c, None, None, None, None]
+    assert at(K.session_index(df, "d", dim), "idx") == [0, 0, 0, 1, 2, 3, 3, None]
+    assert at(K.shift_sessions(df, "d", 1, dim), "session") == [b, b, b, c, None, None, None, None]
+    none = K.date_dimension(spark.createDataFrame([], "session date"))
+    assert at(K.roll_forward(df, "d", none), "session") == [None] * 8

@@ -89,6 +89,10 @@ def test_zero_until_and_clusters(spark):
                                ("rows", dt.date(2021, 1, 1))], "series string, period date")
     got = breaks.break_clusters(b).orderBy("cluster").collect()
     assert [r.months for r in got] == ["2020-01, 2020-02, 2020-04", "2021-01"] and got[0].statistics == "p90, rows"
+    late = b.replace({"rows": "median"}, subset=["series"]).where("period <> date'2020-01-01'").unionByName(
+        spark.createDataFrame([("p90", dt.date(2020, 1, 1))], "series string, period date"))
+    # the third date is within 62 days of the second, but not of the first
+    assert breaks.break_clusters(late).orderBy("cluster").first().statistics == "p90"
     assert flags.break_flags(breaks.zero_until(s), breaks.break_clusters(b)).count() == 3
 
 

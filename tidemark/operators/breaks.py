@@ -129,13 +129,16 @@ def zero_until(series: DataFrame) -> DataFrame:
 
 
 def break_clusters(breaks: DataFrame, days: int = 62) -> DataFrame:
-    """C16. Break dates no further than ``days`` from the one before form one event: its dates and its statistics."""
+    """C16. Break dates no further than ``days`` from the one before form one event: its dates, and the statistics that
+    break within ``days`` of its first date."""
     w = Window.partitionBy(F.lit(0)).orderBy("period")   # a handful of break dates
     dates = breaks.select("period").distinct()
     new = F.when(F.datediff("period", F.lag("period").over(w)) <= days, 0).otherwise(1)
     dates = dates.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w))
-    named = breaks.join(dates.select("period", "cluster"), "period")
+    firsts = dates.groupBy("cluster").agg(F.min("period").alias("_first"))
+    named = breaks.join(dates.select("period", "cluster"), "period").join(firsts, "cluster")
+    near = F.datediff("period", "_first") <= days
     return named.groupBy("cluster").agg(
         F.min("period").alias("first_date"), F.max("period").alias("last_date"),
-        F.concat_ws(", ", F.sort_array(F.collect_set("series"))).alias("statistics"),
+        F.concat_ws(", ", F.sort_array(F.collect_set(F.when(near, F.col("series"))))).alias("statistics"),
         F.concat_ws(", ", F.sort_array(F.collect_set(F.date_format("period", "yyyy-MM")))).alias("months"))

@@ -1,7 +1,9 @@
 """Trading calendar and availability rules (inventory E).
 
-A calendar is a *date dimension*: one row per civil date of a fixed span, with the sessions around it.  Its size does
-not depend on the data, so it is broadcast, and every rule is one equality join on the date.
+A calendar is a *date dimension*: one row per civil date from the day before the first session to the day after the
+last, with the sessions around it.  It grows with the years covered, not with the rows, so it is broadcast, and every rule
+is one equality join on the date.  Dates outside the span behave like its ends: an earlier one rolls to the first session,
+a later one has none.
 """
 
 from __future__ import annotations
@@ -16,11 +18,9 @@ from tidemark.functions.scalars import is_temporal, require_columns, share
 from tidemark.operators.order import positions, top_rows
 from tidemark.specs import AvailabilityRule
 
-# The span of the date dimension, the exchange's zone, and its open and close in minutes of the day.
-FIRST_DAY, LAST_DAY = "1900-01-01", "2100-12-31"
+# The exchange's zone, and its open and close in minutes of the day.
 EXCHANGE_ZONE = "America/New_York"
 OPEN_MINUTE, CLOSE_MINUTE = 570, 960
-PARTIAL_LIMIT = 1000   # Spark limits a group before the shuffle up to this many rows
 
 
 def trading_days(df: DataFrame, date: str, holidays: Sequence[str] = (), weekdays_only: bool = False) -> DataFrame:
@@ -32,14 +32,13 @@ def trading_days(df: DataFrame, date: str, holidays: Sequence[str] = (), weekday
 
 
 def date_dimension(sessions: DataFrame) -> DataFrame:
-    """E1. Every civil date with: is_session, the session on or after it, the one strictly after it, and ``idx``, the
-    number of sessions before the date."""
-    spark = sessions.sparkSession
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")))
-                                 .alias("day"))
+    """E1. Every civil date of the sessions' span, and one day more at each end, with: is_session, the session on or after
+    it, the one strictly after it, and ``idx``, the number of sessions before the date."""
+    span = sessions.agg(F.date_sub(F.min("session"), 1).alias("lo"), F.date_add(F.max("session"), 1).alias("hi"))
+    days = span.where(F.col("lo").isNotNull()).select(F.explode(F.sequence("lo", "hi")).alias("day"))
     s = sessions.select(F.col("session").alias("day"), F.lit(True).alias("is_session")).distinct()
     d = days.join(s, "day", "left").withColumn("is_session", F.coalesce("is_session", F.lit(False)))
-    # one partition of a fixed 73 thousand rows; growing frames only, so each window is one pass
+    # one partition of one row per day; growing frames only, so each window is one pass
     one = Window.partitionBy(F.lit(0))
     at = F.when(F.col("is_session"), F.col("day"))
     forward, backward = one.orderBy("day"), one.orderBy(F.desc("day"))
@@ -50,13 +49,16 @@ def date_dimension(sessions: DataFrame) -> DataFrame:
                     F.count(at).over(forward.rowsBetween(*before)).alias("idx"))
 
 
-def _attach(df: DataFrame, day: Column, dim: DataFrame) -> DataFrame:
-    return df.withColumn("_day", day).join(F.broadcast(dim.withColumnRenamed("day", "_day")), "_day", "left").drop("_day")
+def _attach(df: DataFrame, day: Column, dim: DataFrame, cal: DataFrame) -> DataFrame:
+    """dim's columns at each row's date; dates outside the calendar count as its nearest end."""
+    lo, hi = (cal.select(f("day")).scalar() for f in (F.min, F.max))
+    inside = F.when(day.isNotNull(), F.greatest(F.least(day, hi), lo))   # greatest and least skip nulls
+    return df.withColumn("_day", inside).join(F.broadcast(dim.withColumnRenamed("day", "_day")), "_day", "left").drop("_day")
 
 
 def _lookup(df: DataFrame, col: str, cal: DataFrame, source: str, out: str) -> DataFrame:
     require_columns(df, col)
-    return _attach(df, F.to_date(col), cal.select("day", F.col(source).alias(out)))
+    return _attach(df, F.to_date(col), cal.select("day", F.col(source).alias(out)), cal)
 
 
 def roll_forward(df: DataFrame, col: str, cal: DataFrame, out: str = "session") -> DataFrame:
@@ -103,7 +105,7 @@ def first_open_after(df: DataFrame, ts: str, cal: DataFrame, out: str = "first_o
     require_columns(df, ts)
     dim = (_shifted(cal, "after", lag, "_late").join(_shifted(cal, "on_or_after", lag, "_early"), "day")
            .join(cal.select("day", "is_session"), "day"))
-    d = _attach(df, F.to_date(ts), dim)
+    d = _attach(df, F.to_date(ts), dim, cal)
     early = F.col("is_session") & (_minutes(F.col(ts)) < OPEN_MINUTE)
     return d.withColumn(out, F.when(early, F.col("_early")).otherwise(F.col("_late"))).drop(
         "_early", "_late", "is_session")
@@ -112,7 +114,7 @@ def first_open_after(df: DataFrame, ts: str, cal: DataFrame, out: str = "first_o
 def shift_sessions(df: DataFrame, col: str, n: int, cal: DataFrame, out: str = "session") -> DataFrame:
     """E6. n sessions after the session on or after the date."""
     require_columns(df, col)
-    return _attach(df, F.to_date(col), _shifted(cal, "on_or_after", n, out))
+    return _attach(df, F.to_date(col), _shifted(cal, "on_or_after", n, out), cal)
 
 
 def apply_rule(df: DataFrame, rule: AvailabilityRule, cal: DataFrame, out: str = "first_tradable") -> DataFrame:
@@ -125,14 +127,14 @@ def apply_rule(df: DataFrame, rule: AvailabilityRule, cal: DataFrame, out: str =
     kind = df.schema[rule.source].dataType.simpleString()
     if kind == "date":
         source = "after" if rule.tradable_at == "next_trading_day_open" else "on_or_after"
-        return _attach(df, F.col(rule.source), _shifted(cal, source, rule.extra_lag, out))
+        return _attach(df, F.col(rule.source), _shifted(cal, source, rule.extra_lag, out), cal)
     t = (to_exchange_time(F.col(rule.source).cast("timestamp"), rule.source_timezone) if is_temporal(df, rule.source)
          else parse_exchange_time(F.col(rule.source), rule.source_timezone))
     d = df.withColumn("_et", t)
     if rule.tradable_at == "next_open_after":
         return first_open_after(d, "_et", cal, out, rule.extra_lag).drop("_et")
     source = "after" if rule.tradable_at == "next_trading_day_open" else "on_or_after"
-    return _attach(d, F.to_date("_et"), _shifted(cal, source, rule.extra_lag, out)).drop("_et")
+    return _attach(d, F.to_date("_et"), _shifted(cal, source, rule.extra_lag, out), cal).drop("_et")
 
 
 apply_date_rule = apply_rule   # E8: the same call, on a date column
@@ -148,7 +150,7 @@ def filing_times(submissions: DataFrame, transactions: DataFrame, acceptance: Da
 def session_stratum(df: DataFrame, ts: str, cal: DataFrame, out: str = "stratum", holidays: bool = True) -> DataFrame:
     """E10. When an exchange-time timestamp falls: non_trading_day, pre_open, intraday, after_close, and the closes
     before a gap no weekend explains."""
-    d = _attach(df, F.to_date(ts), cal.select("day", "is_session", F.col("after").alias("_next")))
+    d = _attach(df, F.to_date(ts), cal.select("day", "is_session", F.col("after").alias("_next")), cal)
     t = F.col(ts)
     gap = (F.datediff("_next", F.to_date(t)) > 1) & (F.weekday(t) != 4)
     label = F.when(F.col(ts).isNull(), None).when(~F.col("is_session"), "non_trading_day")
@@ -175,16 +177,12 @@ def stratified_sample(df: DataFrame, stratum: str, n: int, key: Sequence[str] |
     d = df.withColumn("_h", h)
     sizes = df.where(F.col(stratum).isNotNull()).groupBy(F.lit(0).alias("_one")).agg(
         F.count_distinct(stratum).alias("_k"))
-    # no stratum takes more than n; a small n is limited before the shuffle, a large one by split positions
-    d = d.where(F.col(stratum).isNotNull())
-    if n <= PARTIAL_LIMIT:
-        ranked = top_rows(d, [stratum], [F.asc("_h")], n)
-    else:
-        ranked = positions(d, [stratum], ["_h", *keys], "_at").where(F.col("_at") < n).drop("_at", "group_n")
-    w = Window.partitionBy(stratum).orderBy("_h")
-    ranked = ranked.withColumns({"_r": F.row_number().over(w), "_one": F.lit(0)}).join(F.broadcast(sizes), "_one")
+    # no stratum takes more than n
+    ranked = positions(d.where(F.col(stratum).isNotNull()), [stratum], ["_h", *keys], "_at").where(F.col("_at") < n)
+    ranked = ranked.withColumns({"_r": F.col("_at") + 1, "_one": F.lit(0)}).drop("_at", "group_n").join(
+        F.broadcast(sizes), "_one")
     ranked = ranked.withColumn("_extra", F.col("_r") > F.floor(F.lit(n) / F.col("_k")))
-    return (ranked.orderBy(F.asc("_extra"), F.asc("_h")).limit(n).drop("_h", "_r", "_one", "_k", "_extra"))
+    return (ranked.orderBy(F.asc("_extra"), F.asc("_h"), *keys).limit(n).drop("_h", "_r", "_one", "_k", "_extra"))
 
 
 def rule_agreement(df: DataFrame, rule: AvailabilityRule, gold: AvailabilityRule, cal: DataFrame,

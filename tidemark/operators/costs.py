@@ -91,7 +91,8 @@ def portfolio(df: DataFrame, keys: Sequence[str] = (), n: int = 5, bounded: bool
     """K6/K7. One row per key: gross and net statistics, break-even half-spread, turnover and capacity.
 
     df: keys, date, entity, sig, sign, h, fwd, half_spread, dollar_adv, vol20, spread_quoted.  Capacity is the capital
-    per leg at which square-root impact eats the net edge, in closed form.
+    per leg at which square-root impact eats the net edge, in closed form.  A key of fewer than MIN_PERIODS rebalance dates
+    keeps its row and its number of periods; its statistics are null.
     """
     ks = list(keys) or ["_one"]
     d = df if keys else df.withColumn("_one", F.lit(0))
@@ -127,7 +128,9 @@ def portfolio(df: DataFrame, keys: Sequence[str] = (), n: int = 5, bounded: bool
         "median_half_spread_bp": F.col("_hs_med") * 1e4,
         "spread_source": F.when(F.col("_quoted"), "quoted").otherwise("roll"),
         "capacity_per_leg_usd": F.when((F.col("_edge") > 0) & need.isNotNull(), cap)})
-    return out.where(F.col("_dates") >= MIN_PERIODS).drop("_edge", "_unit", "_quoted", "_hs_med", "_dates", "_one")
+    told = [c for c in out.columns if c not in (*ks, "periods", "rebalance_every_sessions", "_dates")]
+    out = out.withColumns({c: F.when(F.col("_dates") >= MIN_PERIODS, F.col(c)) for c in told})
+    return out.drop("_edge", "_unit", "_quoted", "_hs_med", "_dates", "_one")
 
 
 def cost_check(findings: Sequence[Finding], segments: dict[str, DataFrame], n: int = 5, bounded: bool = False,

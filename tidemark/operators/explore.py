@@ -424,9 +424,9 @@ def category_shares(df: DataFrame, time: str, field: str, freq: str = "M", split
 
 
 def category_mix(df: DataFrame, time: str, field: str, freq: str = "M", split_on: str | None = None,
-                 top: int | None = 8) -> DataFrame:
+                 top: int | None = None) -> DataFrame:
     """C21. Per value: mean share over all periods, first and last period seen, whether it appears after the start or
-    is gone before the end; the ``top`` values by mean share (None keeps all)."""
+    is gone before the end.  ``top`` keeps only so many values of the largest mean share."""
     s = category_shares(df, time, field, freq, split_on)
     span = s.agg(F.min("period").alias("_lo"), F.max("period").alias("_hi"),
                  F.count_distinct("period").alias("_n")).withColumn("_one", F.lit(0))

@@ -19,9 +19,9 @@ def _pct(x: Column, digits: int = 0) -> Column:
     return F.round(100 * x, digits).cast("int" if digits == 0 else f"decimal(12,{digits})").cast("string")
 
 
-def coverage_flags(dips: DataFrame) -> DataFrame:
-    """The first three dips."""
-    first = top_rows(dips.withColumn("_one", F.lit(0)), ["_one"], [F.asc("period")], 3)
+def coverage_flags(dips: DataFrame, n: int | None = None) -> DataFrame:
+    """The dips; ``n`` keeps the first ones only."""
+    first = dips if n is None else top_rows(dips.withColumn("_one", F.lit(0)), ["_one"], [F.asc("period")], n)
     return _facts(first, F.lit(True), F.concat(F.lit("coverage_dip_"), F.date_format("period", "yyyy-MM")),
                   F.concat(F.lit("coverage in the period starting "), F.col("period").cast("string"), F.lit(" is "),
                            _pct(1 - F.col("value") / F.col("typical")), F.lit("% below its typical level")))
@@ -66,20 +66,22 @@ def key_flags(check: DataFrame, redundant: DataFrame | None = None) -> DataFrame
                                   F.concat("column", F.lit(" is not needed in the key"))))
 
 
-def break_flags(zero: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+def break_flags(zero: DataFrame, clusters: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """Series that start late, and clusters of breaks; ``n`` keeps the first clusters only."""
     starts = _facts(zero, F.lit(True), F.concat(F.lit("starts_"), "series"), F.concat(
         "series", F.lit(" is zero until "), F.col("starts").cast("string"), F.lit(", then non-zero")))
     if clusters is None:
         return starts
-    first = clusters.where(F.col("cluster") <= 4)
+    first = clusters if n is None else clusters.where(F.col("cluster") <= n)
     return starts.unionByName(_facts(
         first, F.lit(True), F.concat(F.lit("break_"), F.date_format("first_date", "yyyy-MM")),
         F.concat(F.lit("abrupt change around "), "months", F.lit(" in "), "statistics")))
 
 
-def category_flags(mix: DataFrame, field: str) -> DataFrame:
+def category_flags(mix: DataFrame, field: str, n: int | None = None) -> DataFrame:
+    """Values that appear after the start; ``n`` keeps the first by name only."""
     new = mix.where(F.col("appears_after_start") & ~F.col("multi_valued"))
-    first = new.orderBy("value").limit(8)
+    first = new if n is None else new.orderBy("value").limit(n)
     return _facts(first, F.lit(True), F.concat(F.lit(f"new_{field}_"), "value"), F.concat(
         F.lit(f"{field} value "), "value", F.lit(" first appears "), F.col("first_seen").cast("string")))
 

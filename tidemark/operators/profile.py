@@ -59,8 +59,10 @@ def profile_table(df: DataFrame, max_top: int = 6) -> DataFrame:
                       "min_number", "max_number", "min_date", "max_date", "top", "examples")
 
 
-def identifier_patterns(df: DataFrame, field: str, weight: str | None = None, max_classes: int = 12) -> DataFrame:
-    """B2/B3. Share of distinct identifiers, rows and weight in each written form, with six examples."""
+def identifier_patterns(df: DataFrame, field: str, weight: str | None = None,
+                        max_classes: int | None = None) -> DataFrame:
+    """B2/B3. Share of distinct identifiers, rows and weight in each written form, with six examples; ``max_classes`` keeps
+    the forms of most identifiers only."""
     require_columns(df, field, weight)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     ids = (df.where(F.col(field).isNotNull()).groupBy(F.col(field).cast("string").alias("id"))
@@ -75,7 +77,8 @@ def identifier_patterns(df: DataFrame, field: str, weight: str | None = None, ma
         "class", "n_distinct", safe_div(F.col("n_distinct"), F.col("_d")).alias("share_of_distinct"),
         safe_div(F.col("n_rows"), F.col("_r")).alias("share_of_rows"),
         safe_div(F.col("weight"), F.col("_w")).alias("share_of_weight"))
-    shares = shares.orderBy(F.desc("n_distinct"), F.asc("class")).limit(max_classes)
+    if max_classes is not None:
+        shares = shares.orderBy(F.desc("n_distinct"), F.asc("class")).limit(max_classes)
     ex = top_rows(ids, ["class"], [F.asc("id")], 6).groupBy("class").agg(
         F.concat_ws(", ", F.sort_array(F.collect_list("id"))).alias("examples"))
     out = shares.join(ex, "class", "left").withColumn("above_1pct", F.col("share_of_distinct") >= 0.01)
@@ -109,8 +112,9 @@ def profile_time(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                     "min_time", "max_time", safe_div(F.col("timed"), F.col("n_parsed")).alias("share_with_time_of_day")))
 
 
-def time_histograms(df: DataFrame, columns: Sequence[str], months: int = 15) -> DataFrame:
-    """B4. (column, kind, bucket, n): weekday counts, the last 15 months, hours where most values carry a time."""
+def time_histograms(df: DataFrame, columns: Sequence[str], months: int | None = None) -> DataFrame:
+    """B4. (column, kind, bucket, n): weekday counts, months (``months`` keeps the last ones only), hours
+    where most values carry a time."""
     cells = _time_cells(df, columns).where(F.col("n") > 0)
     def by(kind, c):
         return cells.groupBy("column", F.lit(kind).alias("kind"), c.cast("string").alias("bucket")).agg(
@@ -118,7 +122,9 @@ def time_histograms(df: DataFrame, columns: Sequence[str], months: int = 15) ->
     # Weekday names, Monday first.
     names = F.array(*[F.lit(d) for d in ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")])
     week = by("weekday", F.element_at(names, F.col("weekday") + 1))
-    month = top_rows(by("month", F.col("month")), ["column", "kind"], [F.desc("bucket")], months)
+    month = by("month", F.col("month"))
+    if months is not None:
+        month = top_rows(month, ["column", "kind"], [F.desc("bucket")], months)
     timed = (cells.groupBy("column").agg(safe_div(F.sum("timed"), F.sum("n")).alias("s")).where(F.col("s") > 0.5)
              .select("column"))
     hour = by("hour", F.col("hour")).join(timed, "column", "left_semi")

@@ -55,11 +55,11 @@ def revision_stats(v: DataFrame, start: str | None = None) -> DataFrame:
         F.percentile("n_vintages", F.lit(0.5)).alias("median_vintages"))
 
 
-def vintage_lookup(v: DataFrame, series: str, date: str, n: int = 40) -> DataFrame:
-    """F10. The published values of one observation in order, the first n of them."""
+def vintage_lookup(v: DataFrame, series: str, date: str, n: int | None = None) -> DataFrame:
+    """F10. The published values of one observation in order; ``n`` keeps the first of them."""
     one = _known(v).where((F.col("series_id") == series) & (F.col("date") == F.lit(date).cast("date")))
-    return one.select("series_id", "date", "realtime_start", "realtime_end", "value").orderBy(
-        "realtime_start", "value").limit(n)
+    out = one.select("series_id", "date", "realtime_start", "realtime_end", "value").orderBy("realtime_start", "value")
+    return out if n is None else out.limit(n)
 
 
 def largest_revision(v: DataFrame, series: str | None = None, since: str | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from tidemark.operators.vintages import with_realtime_end
 from tidemark.session import cut
 from tidemark.sources.prices import market_return
 from tidemark.sources.tables import read_table
-from tidemark.specs import AvailabilityRule, ControlWindows, FeatureSpec, PanelSpec, Split, ViewRoles
+from tidemark.specs import HORIZONS, AvailabilityRule, ControlWindows, FeatureSpec, PanelSpec, Split, ViewRoles
 
 HOLIDAYS = ("01-01", "07-04", "12-25")
 MONTH_RULE = AvailabilityRule("month", "next_trading_day_open")
@@ -28,7 +28,6 @@ PANEL = PanelSpec(("1995-01-01", "1995-12-31"), "1996-01-01", "2001-12-31", "qty
 SPLIT = Split(("1996-01-01", "1998-06-30"), ("1998-09-01", "1999-12-31"), ("2000-03-01", "2001-06-30"))
 # the frame has monthly sessions, so the windows are shorter than the daily defaults
 WINDOWS = ControlWindows((3, 2), (12, 8), 2, (24, 12), (6, 3), (6, 3), (18, 12), (6, 3))
-HORIZONS = (1, 2, 5, 10, 20)
 SPECS = (
     FeatureSpec("unit_price", "ratio", ("px", "qty")),
     FeatureSpec("qty_surprise", "surprise", ("qty",), 6),
@@ -217,6 +216,5 @@ class Data:
 
     @cached_property
     def doc_queries(self) -> DataFrame:
-        """The first words of each benchmark text."""
-        words = F.slice(F.split("text", r"\s+"), 1, 4)
-        return self.t("benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", words).alias("query"))
+        """Each benchmark text."""
+        return self.t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

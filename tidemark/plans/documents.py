@@ -45,7 +45,7 @@ st AS (SELECT count(*) AS cnt, avg(len(toks)) AS av FROM ps),
 po AS (SELECT doc, seq, len(toks) AS l, unnest(toks) AS term FROM ps),
 tf AS (SELECT doc, seq, l, term, count(*) AS tf FROM po GROUP BY 1, 2, 3, 4),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-qs AS (SELECT item_id AS query_id, unnest(list_distinct({_tok("array_to_string(regexp_split_to_array(text, '\\s+')[1:4], ' ')")})) AS term FROM benchmark),
+qs AS (SELECT item_id AS query_id, unnest(list_distinct({_with_parts(_tok("text"))})) AS term FROM benchmark),
 sc AS (SELECT query_id, doc, seq, sum(ln(1 + (cnt - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
   / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / av))) AS score
   FROM qs JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2, 3)"""

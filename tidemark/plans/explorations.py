@@ -388,8 +388,7 @@ def _(x: Data):
 
 
 @query("c21_category_mix", f"""WITH {_WORDS} SELECT value, {r('m', 'mean_share')}, {d('a', 'first_seen')}, {d('b', 'last_seen')},
-late AS appears_after_start, gone AS gone_before_end, regexp_matches(value, '[,;|]') AS multi_valued FROM mix
-ORDER BY m DESC, value LIMIT 8""")
+late AS appears_after_start, gone AS gone_before_end, regexp_matches(value, '[,;|]') AS multi_valued FROM mix""")
 def _(x: Data):
     return X.category_mix(_named_lines(x), "l_shipdate", "name", "Q", " ")
 
@@ -405,7 +404,7 @@ dk AS (SELECT count(*) AS keys, sum(c) AS c FROM (SELECT count(*) AS c FROM line
   HAVING count(*) > 1))
 SELECT 'coverage_dip_' || strftime(p, '%Y-%m') AS id, 'coverage in the period starting ' || strftime(p, '%Y-%m-%d') || ' is '
   || {_PCT.format('(1 - v / typ)')} || '% below its typical level' AS fact, NULL AS remedy
-  FROM (SELECT * FROM dips ORDER BY p LIMIT 3)
+  FROM dips
 UNION ALL SELECT 'zeros_' || field, field || ' is zero in ' || {_PCT.format('zero_share')} || '% of rows', NULL FROM mi
   WHERE zero_share >= 0.2
 UNION ALL SELECT 'zero_spike_' || field, field || ' is zero in ' || {_PCT.format('zero_max')}
@@ -417,8 +416,8 @@ UNION ALL SELECT 'part_exceeds_whole', 'l_tax exceeds l_discount in ' || c || '
   'flag_rows or drop_rows where l_tax >col l_discount' FROM pw WHERE c > 0
 UNION ALL SELECT 'duplicate_keys', CAST(c AS BIGINT) || ' rows share a key (0 exact duplicates)', NULL FROM dk WHERE c > 0
 UNION ALL SELECT 'starts_' || series, series || ' is zero until ' || strftime(starts, '%Y-%m-%d') || ', then non-zero', NULL FROM zu
-UNION ALL (SELECT 'new_name_' || value, 'name value ' || value || ' first appears ' || strftime(a, '%Y-%m-%d'), NULL FROM mix
-  WHERE late AND NOT regexp_matches(value, '[,;|]') ORDER BY value LIMIT 8)""")
+UNION ALL SELECT 'new_name_' || value, 'name value ' || value || ' first appears ' || strftime(a, '%Y-%m-%d'), NULL FROM mix
+  WHERE late AND NOT regexp_matches(value, '[,;|]')""")
 def _(x: Data):
     gappy, li = _gappy(x), x.t("lineitem")
     return G.all_flags(
@@ -428,4 +427,4 @@ def _(x: Data):
                         X.presence(li, "l_shipdate", "l_suppkey")),
         G.part_flags(X.part_exceeds_whole(li, "l_tax", "l_discount")), G.key_flags(X.key_check(li, _KEY)),
         G.break_flags(B.zero_until(_late_stats(x))),
-        G.category_flags(X.category_mix(_named_lines(x), "l_shipdate", "name", "Q", " ", top=None), "name"))
+        G.category_flags(X.category_mix(_named_lines(x), "l_shipdate", "name", "Q", " "), "name"))

@@ -231,7 +231,7 @@ def _(x: Data):
 
 @query("f10_vintage_lookup", f"""SELECT series_id, {d('date', 'date')}, {d('realtime_start', 'realtime_start')},
 strftime(realtime_end, '%Y-%m-%d') AS realtime_end, {r('value', 'value')} FROM vint
-WHERE series_id = 'S3' AND date = DATE '1998-04-01' ORDER BY realtime_start, value LIMIT 40""")
+WHERE series_id = 'S3' AND date = DATE '1998-04-01' ORDER BY realtime_start, value""")
 def _(x: Data):
     return V.vintage_lookup(x.vintages, "S3", "1998-04-01")
 

@@ -428,16 +428,23 @@ def _stat(c: str, name: str, h: int) -> str:
                       r(f"CASE WHEN stddev_samp({c}) > 0 THEN avg({c}) / stddev_samp({c}) * sqrt({py}) END", f"{name}_ann_sharpe", 4)])
 
 
+# what a key of few periods has as null
+_TOLD = (*(f"{a}_{b}" for a in ("gross", "net_round_trip", "net_changes_only") for b in ("mean_bp", "ann_return", "ann_sharpe")),
+         "cost_round_trip_bp", "cost_changes_only_bp", "break_even_half_spread_bp", "turnover_long_leg", "names_per_leg",
+         "median_half_spread_bp", "spread_source", "capacity_per_leg_usd")
+
+
 def _portfolio_sql(h: int) -> str:
     return f"""g AS (SELECT *, gross - rt AS nrt, gross - ch AS nch FROM pr_ WHERE gross IS NOT NULL),
 u AS (SELECT avg(coalesce(vol20, (SELECT quantile_cont(vol20, 0.5) FROM ls)) / sqrt(exp(dollar_adv))) AS unit FROM ls),
-sz AS (SELECT avg(c) AS c FROM (SELECT count(*) AS c FROM ls GROUP BY date, leg))
-SELECT {{keys}}{n('count(*)', 'periods')}, {h}::BIGINT AS rebalance_every_sessions, {_stat('gross', 'gross', h)}, {_stat('nrt', 'net_round_trip', h)},
+sz AS (SELECT avg(c) AS c FROM (SELECT count(*) AS c FROM ls GROUP BY date, leg)),
+al AS (SELECT {{keys}}{n('count(*)', 'periods')}, {h}::BIGINT AS rebalance_every_sessions, {_stat('gross', 'gross', h)}, {_stat('nrt', 'net_round_trip', h)},
 {_stat('nch', 'net_changes_only', h)}, (SELECT {r('avg(rt) * 1e4', 'c', 4)[:-5]} FROM pr_) AS cost_round_trip_bp,
 {r('avg(ch) * 1e4', 'cost_changes_only_bp', 4)}, {r('avg(gross) / 4 * 1e4', 'break_even_half_spread_bp', 4)},
 (SELECT {r('avg(turn)', 'c', 4)[:-5]} FROM pr_) AS turnover_long_leg, (SELECT {r('c', 'c', 4)[:-5]} FROM sz) AS names_per_leg,
 (SELECT {r('quantile_cont(hs, 0.5) * 1e4', 'c', 4)[:-5]} FROM ls) AS median_half_spread_bp, 'roll' AS spread_source,
-{{cap}} FROM g HAVING (SELECT count(DISTINCT date) FROM ls) >= 10"""
+{{cap}}, (SELECT count(DISTINCT date) FROM ls) >= 10 AS ok FROM g)
+SELECT * EXCLUDE (ok) REPLACE ({', '.join(f'CASE WHEN ok THEN {c} END AS {c}' for c in _TOLD)}) FROM al"""
 
 
 _CAP = "CASE WHEN avg(nrt) > 0 THEN greatest(least((SELECT c FROM sz) * pow(avg(nrt) / (4 * (SELECT unit FROM u)), 2), 1e11), 1e3) END"
@@ -452,8 +459,8 @@ def _(x: Data):
 _CHEAP = _PERIODS.replace(_LEGS, _legs_sql("disc", "fwd_2", 2, 1, "half_spread * 0.0"))
 
 
-@query("k7_capacity", f"WITH {_CHEAP}, " + _portfolio_sql(2).split("SELECT {keys}")[0]
-       + f"SELECT {r('avg(nrt) * 1e4', 'edge_bp', 4)}, {r(_CAP, 'capacity_per_leg_usd', 2)} FROM g", digits=4)
+@query("k7_capacity", f"WITH {_CHEAP}, " + _portfolio_sql(2).split(",\nal AS (")[0]
+       + f" SELECT {r('avg(nrt) * 1e4', 'edge_bp', 4)}, {r(_CAP, 'capacity_per_leg_usd', 2)} FROM g", digits=4)
 def _(x: Data):
     rows = _cost_rows(x).withColumns({"sig": F.col("fwd"), "half_spread": F.col("half_spread") * 0.0})
     p = K.portfolio(rows, bounded=True)

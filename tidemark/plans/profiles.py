@@ -75,7 +75,7 @@ g AS (SELECT class, count(*) AS nd, sum(k) AS k, sum(w) AS w FROM u GROUP BY 1)
 SELECT class, {n('nd', 'n_distinct')}, {r('nd / (SELECT sum(nd) FROM g)', 'share_of_distinct')},
 {r('k / (SELECT sum(k) FROM g)', 'share_of_rows')}, {r('w / (SELECT sum(w) FROM g)', 'share_of_weight')},
 (SELECT string_agg(id, ', ' ORDER BY id) FROM (SELECT id FROM u WHERE u.class = g.class ORDER BY id LIMIT 6)) AS examples,
-nd / (SELECT sum(nd) FROM g) >= 0.01 AS above_1pct FROM g ORDER BY nd DESC, class LIMIT 12""")
+nd / (SELECT sum(nd) FROM g) >= 0.01 AS above_1pct FROM g""")
 def _(x: Data):
     return P.identifier_patterns(_ids(x), "id", "p_retailprice")
 
@@ -99,8 +99,7 @@ def _(x: Data):
 
 @query("b4_time_histograms", f"""WITH {_TIME_LONG}, k AS (SELECT * FROM l WHERE t IS NOT NULL)
 SELECT "column", 'weekday' AS kind, dayname(t)[1:3] AS bucket, {n('count(*)', 'n')} FROM k GROUP BY 1, 3
-UNION ALL (SELECT "column", 'month', strftime(t, '%Y-%m') AS b, count(*) FROM k GROUP BY 1, 3
-  QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY b DESC) <= 15)
+UNION ALL SELECT "column", 'month', strftime(t, '%Y-%m') AS b, count(*) FROM k GROUP BY 1, 3
 UNION ALL SELECT "column", 'hour', CAST(hour(t) AS VARCHAR), count(*) FROM k WHERE "column" = 'ts' GROUP BY 1, 3""")
 def _(x: Data):
     return P.time_histograms(_times(x), ["ts", "day"])
