@@ -55,7 +55,7 @@ class Data:
 
     @cached_property
     def cal(self) -> DataFrame:
-        """The date dimension, built once: 73 thousand rows that most queries join."""
+        """The date dimension, built once: a row per day, which most queries join."""
         return cut(date_dimension(self.sessions))
 
     @cached_property
