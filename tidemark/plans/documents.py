@@ -10,7 +10,32 @@ from tidemark.plans.bindings import Data
 from tidemark.plans.registry import n, query, r
 
 
-@query("m1_passages")   # a fold along each document's lines; checked against a plain loop in the tests
+# passages by recursion over line numbers: all documents take a line in each step
+_PASSAGES = r"""ds AS (SELECT doc_id AS doc, string_split(CASE WHEN suffix(text, chr(10)) THEN left(text, -1) ELSE text END, chr(10)) AS lines
+  FROM documents WHERE text <> ''),
+ln AS (SELECT doc, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM ds),
+li AS (SELECT doc, pos, length(line) AS n, trim(line, E' \t\r') <> '' AS ink, NOT contains(line, '.....')
+  AND regexp_full_match(line, '\s*\d+(\.\d+)+\s+[A-Z][A-Za-z0-9_ ./&,()-]{2,60}?\s*') AS head FROM ln),
+fo AS (SELECT doc, 0::BIGINT AS pos, 1 AS page, 0::BIGINT AS used, 0::BIGINT AS ttl, 1::BIGINT AS lo, 0::BIGINT AS held, FALSE AS ink,
+    0 AS page1, 0::BIGINT AS title1, 0::BIGINT AS first1, 0::BIGINT AS last1, FALSE AS cut2, 0::BIGINT AS first2 FROM ds
+  UNION ALL
+  SELECT doc, pos, page + turn::INT, if(turn, 0, used) + n + 1, if(head, pos, ttl), if(fill, pos, opens), if(fill, n + 1, size),
+    if(fresh OR fill, lineink, ink OR lineink), if(fresh AND ink, page, 0), ttl, lo, pos - 1, fill, opens
+  FROM (SELECT *, if(fresh, 0, held) + n + 1 AS size, if(fresh, 0, held) + n + 1 > 600 AS fill, if(fresh, pos, lo) AS opens
+    FROM (SELECT *, turn OR (head AND ink) AS fresh
+      FROM (SELECT s.doc, l.pos, s.page, s.used, s.ttl, s.lo, s.held, s.ink, l.n, l.ink AS lineink, l.head,
+              s.used > 0 AND s.used + l.n > 2500 AS turn
+            FROM fo s JOIN li l ON l.doc = s.doc AND l.pos = s.pos + 1)))),
+cu AS (SELECT doc, page1 AS page, title1 AS ttl, first1 AS lo, last1 AS hi FROM fo WHERE page1 > 0
+  UNION ALL SELECT doc, page, ttl, first2, pos FROM fo WHERE cut2
+  UNION ALL SELECT doc, page, ttl, lo, pos FROM fo JOIN ds USING (doc) WHERE pos = len(lines) AND ink),
+pa AS (SELECT doc, page, row_number() OVER (PARTITION BY doc ORDER BY lo, hi) - 1 AS seq,
+    CASE WHEN ttl = 0 THEN '' ELSE regexp_replace(trim(lines[ttl]), '\s+', ' ') END AS section,
+    trim(array_to_string(lines[lo:hi], chr(10)), E' \t\r\n') AS text FROM cu JOIN ds USING (doc))"""
+
+
+@query("m1_passages", f"""WITH RECURSIVE {_PASSAGES}
+SELECT {n('doc', 'doc')}, {n('page', 'page')}, {n('count(*)', 'passages')}, {n('sum(length(text))', 'chars')} FROM pa GROUP BY doc, page""")
 def _(x: Data):
     return x.passages.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("passages"),
                                                  F.sum(F.length("text")).alias("chars"))
@@ -51,6 +76,12 @@ sc AS (SELECT query_id, doc, seq, sum(ln(1 + (cnt - df + 0.5::DOUBLE) / (df + 0.
   FROM qs JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2, 3)"""
 
 
+_DOC_BM25 = (_BM25.replace("conv_id AS doc, turn AS seq, ", "doc, page, seq, ").replace("role || ' ' || text", "section || ' ' || text")
+             .replace("FROM conversations", "FROM pa").replace("SELECT doc, seq, len", "SELECT doc, page, seq, len").replace("SELECT doc, seq, l,", "SELECT doc, page, seq, l,")
+             .replace("GROUP BY 1, 2, 3, 4)", "GROUP BY 1, 2, 3, 4, 5)").replace("SELECT query_id, doc, seq, sum", "SELECT query_id, doc, page, seq, sum")
+             .replace("GROUP BY 1, 2, 3)", "GROUP BY 1, 2, 3, 4)"))
+
+
 @query("m3_bm25_scores", f"""WITH {_BM25} SELECT {n('query_id', 'query_id')}, {n('doc', 'doc')}, {n('seq', 'seq')}, {r('score', 'score')} FROM sc""")
 def _(x: Data):
     return D.bm25_scores(_turns(x), x.doc_queries).drop("page")
@@ -62,7 +93,9 @@ def _(x: Data):
     return D.bm25_search(_turns(x), x.doc_queries, 5).drop("page")
 
 
-@query("m3_document_search")   # over the folded passages of whole documents
+@query("m3_document_search", f"""WITH RECURSIVE {_PASSAGES}, {_DOC_BM25}, rk AS (SELECT *, row_number() OVER
+  (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc, page, seq) AS k FROM sc)
+SELECT {n('query_id', 'query_id')}, {n('k', 'rank')}, {n('doc', 'doc')}, {n('page', 'page')}, {n('seq', 'seq')}, {r('score', 'score')} FROM rk WHERE k <= 3""")
 def _(x: Data):
     return D.bm25_search(x.passages, x.doc_queries, 3).select("query_id", "rank", "doc", "page", "seq", "score")
 
