@@ -7,7 +7,8 @@ Cross-sections are exact for any number of names; ``bounded=True`` says a top-N
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,11 +18,45 @@ from tidemark.operators.order import quantiles, with_group_quantile, with_group_
 from tidemark.operators.panel import CATEGORICAL, CONDITIONERS, conditioner
 from tidemark.specs import FEATURE_OPS, FeatureSpec
 
-BINARY = ("ratio", "diff")
-WINDOWED = ("change", "growth", "surprise", "rolling_mean", "rolling_sum", "rolling_std")
-CROSS_SECTIONAL = ("peer_relative", "rank", "residualize")
-NEUTRALIZING = ("peer_relative", "residualize")
-SCALE_FREE = ("ratio", "surprise", "growth", "rank")
+@dataclass(frozen=True)
+class Operation:
+    """What an operation takes, how it reads in words, and what it removes.
+
+    words: {a} and {b} are the inputs, {w} the window, {g} the group.
+    """
+
+    words: str
+    arity: int = 1
+    windowed: bool = False
+    groups: tuple[str | None, ...] = ()    # what its cross-section may be split by; empty: no cross-section
+    scale_free: bool = False
+    neutral: bool = False                  # removes a dependence on its group
+
+
+_PEERS = (None, "", "sector")
+OPERATIONS = {
+    "field": Operation("{a}"),
+    "ratio": Operation("{a} / {b}", arity=2, scale_free=True),
+    "diff": Operation("{a} - {b}", arity=2),
+    "log1p": Operation("log(1 + {a})"),
+    "change": Operation("{a} less {a} {w} records earlier", windowed=True),
+    "growth": Operation("growth of {a} over {w} records", windowed=True, scale_free=True),
+    "surprise": Operation("{a} against its {w} records before, in their standard deviations", windowed=True, scale_free=True),
+    "rolling_mean": Operation("average {a}, {w} records", windowed=True),
+    "rolling_sum": Operation("total {a}, {w} records", windowed=True),
+    "rolling_std": Operation("spread of {a}, {w} records", windowed=True),
+    "peer_relative": Operation("{a} above the day's median{g}", groups=_PEERS, neutral=True),
+    "rank": Operation("the day's rank of {a}{g}", groups=_PEERS, scale_free=True),
+    "residualize": Operation("{a} with the day's effect removed{g}", groups=tuple(CONDITIONERS), neutral=True),
+}
+
+
+def _where(trait: Callable[[Operation], object]) -> tuple[str, ...]:
+    return tuple(name for name, op in OPERATIONS.items() if trait(op))
+
+
+WINDOWED, CROSS_SECTIONAL, NEUTRALIZING = (_where(lambda o: o.windowed), _where(lambda o: o.groups),
+                                           _where(lambda o: o.neutral))
 NOT_INPUTS = ("date", "entity", "quality_flag", *CATEGORICAL)
 
 
@@ -49,7 +84,7 @@ def feature_op(df: DataFrame, op: str, inputs: Sequence[str], name: str, window:
                group: str | None = None, bounded: bool = False) -> DataFrame:
     """H1-H14. Adds one feature to the panel; infinities and NaN become null."""
     if op not in FEATURE_OPS:
-        raise ValueError(f"unknown operation {op!r}; one of {FEATURE_OPS}")
+        raise ValueError(f"{op!r} is no operation; there are {FEATURE_OPS}")
     require_columns(df, "date", "entity", *inputs)
     x = F.col(inputs[0]).cast("double")
     y = F.col(inputs[1]).cast("double") if len(inputs) > 1 else None
@@ -89,17 +124,7 @@ def _cross_section(df: DataFrame, op: str, x, name: str, group: str | None, boun
 
 def formula(s: FeatureSpec) -> str:
     """A spec in words."""
-    a, b, w = s.inputs[0], s.inputs[-1], s.window
-    within = f"within {s.group}" if s.group else "of all entities"
-    return {"field": a, "ratio": f"{a} / {b}", "diff": f"{a} - {b}", "log1p": f"log(1 + {a})",
-            "change": f"{a} minus its value {w} records ago",
-            "growth": f"change of {a} over {w} records, relative to its size then",
-            "surprise": f"{a} in standard deviations from the mean of its previous {w} records",
-            "rolling_mean": f"mean of the last {w} {a}", "rolling_sum": f"sum of the last {w} {a}",
-            "rolling_std": f"standard deviation of the last {w} {a}",
-            "peer_relative": f"{a} minus the same-date median {within}",
-            "rank": f"same-date percentile rank of {a} {within}",
-            "residualize": f"{a} net of the same-date {s.group} effect"}[s.op]
+    return OPERATIONS[s.op].words.format(a=s.inputs[0], b=s.inputs[-1], w=s.window, g=f", by {s.group}" if s.group else "")
 
 
 def lineage(name: str, specs: Mapping[str, FeatureSpec]) -> set[str]:
@@ -108,35 +133,37 @@ def lineage(name: str, specs: Mapping[str, FeatureSpec]) -> set[str]:
     return {name}.union(*[lineage(i, specs) for i in inputs])
 
 
+def _name_errors(s: FeatureSpec, specs: Mapping[str, FeatureSpec], columns: set[str]) -> Iterator[str]:
+    if re.fullmatch(r"[a-z][a-z0-9_]{1,40}", s.name) is None:
+        yield f"{s.name!r} is no feature name: a letter, then 1 to 40 of a-z, 0-9 and _"
+    itself = s.op == "field" and tuple(s.inputs) == (s.name,)
+    if s.name in columns and not itself:
+        yield f"{s.name!r} is a panel column"
+    if specs.get(s.name, s) != s:
+        yield f"{s.name!r} already names another feature"
+
+
+def _input_errors(s: FeatureSpec, op: Operation, specs: Mapping[str, FeatureSpec], columns: set[str]) -> Iterator[str]:
+    if len(s.inputs) != op.arity:
+        yield f"{s.op} takes {op.arity} input(s), not {len(s.inputs)}"
+    usable = columns.difference(NOT_INPUTS).union(specs)
+    yield from (f"unknown input {i!r}: neither a numeric column nor an earlier feature" for i in s.inputs if i not in usable)
+    if s.op == "ratio" and len(s.inputs) == 2:
+        over, under = specs.get(s.inputs[0]), s.inputs[1]
+        if over and OPERATIONS[over.op].scale_free and under in set(CONDITIONERS) - set(CATEGORICAL):
+            yield f"{over.name} is scale-free and would depend on {under} again"
+
+
 def spec_errors(s: FeatureSpec, specs: Mapping[str, FeatureSpec], columns: Iterable[str]) -> list[str]:
     """What stops a spec from being built on a panel with these columns and these earlier specs."""
-
-    columns, errs = set(columns), []
-    if s.op not in FEATURE_OPS:
-        return [f"unknown operation {s.op!r}; one of {FEATURE_OPS}"]
-    raw = s.op == "field" and tuple(s.inputs) == (s.name,)
-    if not re.fullmatch(r"[a-z][a-z0-9_]{1,40}", s.name):
-        errs.append(f"name {s.name!r}: 2-41 lower-case letters, digits and _")
-    if s.name in columns and not raw:
-        errs.append(f"name {s.name!r} is a panel column")
-    if s.name in specs and specs[s.name] != s:
-        errs.append(f"a different feature is already named {s.name!r}")
-    arity = 2 if s.op in BINARY else 1
-    if len(s.inputs) != arity:
-        errs.append(f"{s.op} takes {arity} input(s), got {len(s.inputs)}")
-    unknown = [i for i in s.inputs if i not in specs and (i not in columns or i in NOT_INPUTS)]
-    if unknown:
-        errs.append(f"unknown input(s) {unknown}; an input is a numeric panel column or an earlier feature")
-    scales = [c for c in CONDITIONERS if c not in CATEGORICAL]
-    if s.op == "ratio" and len(s.inputs) == 2 and s.inputs[1] in scales and s.inputs[0] in specs \
-            and specs[s.inputs[0]].op in SCALE_FREE:
-        errs.append(f"{s.inputs[0]} is already scale-free; dividing it by {s.inputs[1]} brings the scale back")
-    if s.op in WINDOWED and not s.window:
-        errs.append(f"{s.op} needs a window (records)")
-    if s.op == "residualize" and s.group not in CONDITIONERS:
-        errs.append(f"residualize needs a group in {CONDITIONERS}")
-    if s.op in ("peer_relative", "rank") and s.group not in (None, "", "sector"):
-        errs.append(f"{s.op}: the group is 'sector' or empty")
+    op, columns = OPERATIONS.get(s.op), set(columns)
+    if op is None:
+        return [f"{s.op!r} is no operation; there are {FEATURE_OPS}"]
+    errs = [*_input_errors(s, op, specs, columns), *_name_errors(s, specs, columns)]
+    if op.groups and s.group not in op.groups:
+        errs.append(f"{s.op} needs a group among {[g for g in op.groups if g]}, not {s.group!r}")
+    if op.windowed and not s.window:
+        errs.append(f"{s.op} needs a window, in records")
     return errs
 
 
