@@ -279,6 +279,33 @@ def test_terms_that_disclose_an_entity(spark):
     assert "Quazzelhof" not in clean[0] and "jane.doe" not in clean[0] and clean[10] == texts[10]
 
 
+def brute_terms(texts: dict) -> dict:
+    """Spans of disclosing terms, for texts whose only entities are emails."""
+    email, n = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+"), len(texts)
+    mails = {i: [(m.start(), m.end(), m.group().lower()) for m in email.finditer(t)] for i, t in texts.items()}
+    terms = {i: [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]+", t) if len(m.group()) >= 4
+                 and not any(a < m.end() and m.start() < b for a, b, _ in mails[i])] for i, t in texts.items()}
+    names, words = {i: {e for *_, e in x} for i, x in mails.items()}, {i: {t for *_, t in x} for i, x in terms.items()}
+    with_e, with_t = Counter(e for x in names.values() for e in x), Counter(t for x in words.values() for t in x)
+    both = Counter((e, t) for i in texts for e in names[i] for t in words[i])
+    told = {(e, t) for (e, t), k in both.items() if k >= 3 and with_e[e] < n
+            and math.log(k * n / (with_e[e] * with_t[t])) / math.log(n / with_e[e]) >= disclosure.GENERALISE}
+    return {i: [(a, b) for a, b, t in x if any((e, t) in told for e in names[i])] for i, x in terms.items()}
+
+
+def test_terms_disclose_anywhere_in_a_document(spark):
+    r, filler = random.Random(8), "much is said about many other things in this letter before it comes to an end " * 2
+    texts = [f"Quazzelhof writes\n{filler}\nask jane@x.org or Jane@x.org {' '.join(r.choices(['Morvella', 'common', 'Quazzelhof'], k=2))}\n{filler} yours Quazzelhof" for _ in range(6)]
+    texts += [f"{filler} common bob@mail.example {r.choice(['Tarnwick', 'Morvella', 'other'])}" for _ in range(9)] + [filler + " common"] * 100 + ["Quazzelhof was here"]
+    docs = table(spark, texts + texts[:2], [*range(len(texts)), 0, 1])        # repeated rows are one document
+    got = {x["doc_id"]: x for x in disclosure.disclosure_report(docs).collect()}
+    want = brute_terms(dict(enumerate(texts)))
+    spans = {i: [(int(a), int(b)) for k, a, b in (s.split(":") for s in x["spans"].split(",") if s) if k == "term"] for i, x in got.items()}
+    assert spans == want and len(want[0]) >= 2 and want[len(texts) - 1] == []
+    clean = {x["doc_id"]: x["text"] for x in disclosure.sanitised(docs).collect()}
+    assert not any("Quazzelhof" in clean[i] for i in range(6)) and clean[len(texts) - 1] == texts[-1]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -1,16 +1,18 @@
 """PII: information-theoretic sanitisation, in DataFrame expressions only.
 
-Patterns find entities (email, ip, card, phone).  What protects an entity is not only its own removal: terms near it may
-reveal it.  The corpus says how much.  For an entity e and a term t that stands within ``REACH`` characters of it, their
-documents are counted; t discloses the share PMI(e; t) / IC(e) of e's information, which is 1 where t never occurs without
-e and 0 where they are independent.  Terms that at least ``SUPPORT`` documents hold near e and whose share reaches
-``GENERALISE`` are generalised near it, those that reach ``REMOVE`` are removed.
+Patterns find entities (email, ip, card, phone).  What protects an entity is not only its own removal: terms of its documents
+may reveal it.  The corpus says how much.  For an entity e and a term t that stands anywhere in a document of e, the documents
+that hold e, t and both are counted; t discloses the share PMI(e; t) / IC(e) of e's information, which is 1 where t never
+occurs without e and 0 where they are independent.  Terms that at least ``SUPPORT`` documents hold together with e and whose
+share reaches ``GENERALISE`` are generalised wherever they stand in a document that holds e, those that reach ``REMOVE`` are
+removed there.
 
-Entities and their terms are counted with map-side aggregation; only terms near entities are counted over the whole corpus.
+Entities, terms and their pairs are counted with map-side aggregation.  A pair is made only where both counts leave it a
+share of ``GENERALISE``: the bound is exact, since no pair is in more documents than its entity.
 
 Defined results: a null text is empty; documents are told apart by id and text, so repeated rows are one document and get the
-same spans; a null id is an id.  Terms of under ``LETTERS`` letters, terms cut by the reach and terms that overlap another
-span are left alone.  Of one kind, spans are the leftmost matches that do not overlap, found before any is judged.
+same spans; a null id is an id.  Terms of under ``LETTERS`` letters and terms that overlap another span are left alone, and
+are not counted.  Of one kind, spans are the leftmost matches that do not overlap, found before any is judged.
 """
 
 from __future__ import annotations
@@ -29,12 +31,15 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}[\p{L}\p{M}]*+"
-REACH, SUPPORT, LETTERS = 64, 3, 4
+#: An email with the term that overlaps its start or its end; no other kind holds letters.
+COVERED = rf"(?:\p{{L}}[\p{{L}}\p{{M}}]*(?=[A-Za-z]))?{PATTERNS['email']}(?:(?<=[A-Za-z])[\p{{L}}\p{{M}}]*+)?"
+SUPPORT, LETTERS = 3, 4
 GENERALISE, REMOVE = 0.75, 0.95
 #: What stands for a span in a sanitised text.
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
+_TERMS = "array<struct<start:int,end:int,share:double>>"
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -79,65 +84,94 @@ def _real(kind: str) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, a column of spans for each kind, and nearby: the entities' terms with their places."""
+    """doc_id, text_hash, a column of spans for each kind, and held: the names of the document's entities, each once."""
     t = docs.select("doc_id", text_of().alias("q_text"))
     for kind, pattern in PATTERNS.items():
         t = t.withColumn(f"all_{kind}", located(F.col("q_text"), pattern))
     t = t.select("doc_id", "q_text", *(_real(k).alias(k) for k in PATTERNS))
-    named = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit(f"{k}:"), _plain(k, s["value"])).alias("entity")))
-    t = t.withColumn("q_all", F.concat(*(named(k) for k in PATTERNS)))
-    text, begin = F.col("q_text"), lambda s: F.greatest(s["start"] - REACH, F.lit(0))
-    around = F.flatten(F.transform("q_all", lambda s: F.array(
-        F.struct(s["entity"].alias("entity"), begin(s).alias("at"), F.substring(text, begin(s) + 1, s["start"] - begin(s)).alias("part")),
-        F.struct(s["entity"].alias("entity"), s["end"].alias("at"), F.substring(text, s["end"] + 1, F.lit(REACH)).alias("part")))))
-    t = t.withColumn("q_around", around)
+    named = lambda k: F.transform(k, lambda s: F.concat(F.lit(f"{k}:"), _plain(k, s["value"])))
+    return t.select("doc_id", F.xxhash64("q_text").alias("text_hash"), *PATTERNS, F.array_distinct(F.concat(*(named(k) for k in PATTERNS))).alias("held"))
 
-    def inside(a: Column) -> Column:
-        whole = F.filter(located(a["part"], TERM), lambda s: (s["start"] > 0) & (s["end"] < F.char_length(a["part"])) & (s["end"] - s["start"] >= LETTERS))
-        return F.transform(whole, lambda s: F.struct(a["entity"].alias("entity"), F.lower(s["value"]).alias("term"),
-                                                     (a["at"] + s["start"]).alias("start"), (a["at"] + s["end"]).alias("end")))
-    return t.select("doc_id", F.xxhash64("q_text").alias("text_hash"), *PATTERNS, F.flatten(F.transform("q_around", inside)).alias("nearby"))
+
+def _terms(text: Column) -> Column:
+    """The terms of a text that overlap no span, in lower case, each once."""
+    free = F.when(F.contains(text, F.lit("@")), F.regexp_extract_all(text, F.lit(f"{COVERED}|({TERM})"), F.lit(1))).otherwise(
+        F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1)))
+    return F.array_distinct(F.transform(F.filter(free, lambda t: F.char_length(t) >= LETTERS), F.lower))
 
 
 def _plain(kind: str, value: Column) -> Column:
     return F.lower(value) if kind in ("email", "ip") else _digits(value)
 
 
+def _same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """left joined to right, a row per document, by id and text; right's columns doc_id and text_hash go."""
+    keyed = right.withColumnsRenamed({"doc_id": "q_doc", "text_hash": "q_hash"})
+    on = F.col("doc_id").eqNullSafe(F.col("q_doc")) & (F.col("text_hash") == F.col("q_hash"))
+    return left.join(keyed, on, how).drop("q_doc", "q_hash")
+
+
+def _counted(rows: DataFrame, *by: str) -> DataFrame:
+    """How many documents stand behind rows, one for each row of documents; only those that ``again`` marks are looked at by id and text."""
+    each = rows.groupBy(*by, F.when(F.col("again"), F.struct("doc_id", "text_hash")).alias("q_once")).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(*by).agg(F.sum(F.when(F.col("q_once").isNull(), F.col("n")).otherwise(F.lit(1))).alias("n"))
+
+
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """entity, term, share: the terms that disclose at least GENERALISE of an entity's information."""
-    seen = found.select("doc_id", "text_hash", F.explode("nearby").alias("n")).select("doc_id", "text_hash", "n.entity", "n.term").distinct()
-    both = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
-    own = seen.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    total = found.select("doc_id", "text_hash").distinct().count()
-    # the share reaches GENERALISE only if the whole corpus holds the term at most this often; near entities alone it may
-    # already stand more often
-    most = F.col("both") * F.pow(F.lit(float(total)) / F.col("with_entity"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
-    beside = seen.select("term", "doc_id", "text_hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
-    pairs = cut(both.join(own, "entity").join(beside, "term").where(F.col("beside") <= most).drop("beside"))
-    terms = broadcast_checked(cut(pairs.select("term").distinct()), 100)
-    # over the whole corpus, how many documents hold each of these terms
-    said = docs.select("doc_id", text_of().alias("q_text")).select("doc_id", F.xxhash64("q_text").alias("text_hash"), F.array_distinct(F.transform(
-        F.regexp_extract_all("q_text", F.lit(f"({TERM})"), F.lit(1)), F.lower)).alias("terms"))
-    held = said.select("doc_id", "text_hash", F.explode("terms").alias("term")).join(terms, "term")
-    held = held.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    info = F.log(F.lit(float(total)) / F.col("with_entity"))
-    point = F.log(F.col("both") * F.lit(float(total)) / (F.col("with_entity") * F.col("with_term")))
-    return (pairs.join(held, "term").withColumn("share", F.coalesce(point / F.nullif(info, F.lit(0.0)), F.lit(0.0)))
-            .where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
+    """doc_id, text_hash, term, share: in each document the terms that disclose at least GENERALISE of the information of an
+    entity that the document holds, with the largest such share."""
+    per = cut(found.groupBy("doc_id", "text_hash").agg(F.max("held").alias("held"), F.count(F.lit(1)).alias("copies")))
+    total = float(per.count())
+    own = cut(per.select(F.explode("held").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") >= SUPPORT))
+    # the share reaches GENERALISE only if the whole corpus holds the term at most this often; both is at most with_entity
+    most = lambda both, entity: both * F.pow(F.lit(total) / entity, F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    top = own.agg(F.max(most(F.col("with_entity"), F.col("with_entity")))).first()[0]
+    said = docs.select("doc_id", text_of().alias("q_text")).select("doc_id", F.xxhash64("q_text").alias("text_hash"), _terms(F.col("q_text")).alias("terms"))
+    repeated = cut(per.where(F.col("copies") > 1).select("doc_id", "text_hash", F.lit(True).alias("again")))
+    marked = _same(said, broadcast_checked(repeated, 100), "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    held = _counted(marked.select("doc_id", "text_hash", "again", F.explode("terms").alias("term")), "term").withColumnRenamed("n", "with_term")
+    held = broadcast_checked(cut(held.where((F.col("with_term") >= SUPPORT) & (F.col("with_term") <= F.lit(top)))), 100)
+    # the documents of entities that enough documents hold, each with its entities
+    named = per.select("doc_id", "text_hash", (F.col("copies") > 1).alias("again"), F.explode("held").alias("entity")).join(broadcast_checked(own, 150), "entity")
+    who = cut(named.groupBy("doc_id", "text_hash", "again").agg(F.collect_list(F.struct("entity", "with_entity")).alias("who")))
+    rows = _same(said, broadcast_checked(who, 400), "inner").select("doc_id", "text_hash", "again", "who", F.explode("terms").alias("term"))
+    able = F.filter("who", lambda w: F.col("with_term") <= most(w["with_entity"], w["with_entity"]))
+    near = rows.join(held, "term").select("doc_id", "text_hash", "again", "term", "with_term", F.explode(able).alias("w")).select("*", "w.*").drop("w")
+    pairs = _counted(near, "entity", "term", "with_entity", "with_term").withColumnRenamed("n", "both").where(F.col("both") >= SUPPORT)
+    info = F.log(F.lit(total) / F.col("with_entity"))
+    point = F.log(F.col("both") * F.lit(total) / (F.col("with_entity") * F.col("with_term")))
+    told = pairs.withColumn("share", F.coalesce(point / F.nullif(info, F.lit(0.0)), F.lit(0.0))).where(F.col("share") >= GENERALISE)
+    told = cut(told.select("entity", "term", "share"))
+    terms = broadcast_checked(cut(told.select("term").distinct()), 100)
+    spoken = rows.join(terms, "term", "left_semi").select("doc_id", "text_hash", "term", F.explode("who.entity").alias("entity"))
+    return spoken.join(broadcast_checked(told, 150), ["entity", "term"]).groupBy("doc_id", "text_hash", "term").agg(F.max("share").alias("share"))
+
+
+def _spots(text: Column, told: Column) -> Column:
+    """Every place of the terms of the map ``told``, with their shares; only these places are gathered."""
+    values = F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1))
+    pairs = F.arrays_zip(values.alias("value"), F.slice(F.split(text, TERM, -1), F.lit(1), F.size(values)).alias("gap"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_TERMS).alias("spots"))
+
+    def step(a: Column, p: Column) -> Column:
+        begin = a["at"] + F.char_length(p["gap"])
+        end, share = begin + F.char_length(p["value"]), F.try_element_at(told, F.lower(p["value"]))
+        spot = F.struct(begin.alias("start"), end.alias("end"), share.alias("share"))
+        return F.struct(end.alias("at"), F.when(share.isNotNull() & (F.char_length(p["value"]) >= LETTERS), F.array_append(a["spots"], spot)).otherwise(a["spots"]).alias("spots"))
+    return F.aggregate(pairs, start, step, lambda a: a["spots"])
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, a column of spans for each kind, and terms: (start, end, share) of disclosing ones; a row per document row."""
     found = cut(entities(docs))
-    told = cut(disclosing(found, docs))
-    near = found.where(F.size("nearby") > 0).select("doc_id", "text_hash", F.array(*(F.transform(k, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"))) for k in PATTERNS)).alias("kinds"), F.explode("nearby").alias("n"))
-    near = near.select("doc_id", "text_hash", F.flatten("kinds").alias("base"), "n.*").join(broadcast_checked(told, 150), ["entity", "term"])
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    spots = near.where(free).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("share").alias("share"))
-    spots = spots.groupBy(F.col("doc_id").alias("q_doc"), F.col("text_hash").alias("q_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    on = F.col("doc_id").eqNullSafe(F.col("q_doc")) & (F.col("text_hash") == F.col("q_hash"))
-    return found.join(spots, on, "left").select("doc_id", "text_hash", *PATTERNS, F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")).alias("terms"))
+    told = disclosing(found, docs).groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
+    texts = docs.select("doc_id", text_of().alias("q_text")).withColumn("text_hash", F.xxhash64("q_text"))
+    spots = _same(texts, broadcast_checked(cut(told), 400), "inner").select("doc_id", "text_hash", _spots(F.col("q_text"), F.col("told")).alias("spots"))
+    spots = cut(spots.dropDuplicates(["doc_id", "text_hash"]))
+    base = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in PATTERNS))
+    rows = _same(found, broadcast_checked(spots, 400), "left").withColumn("q_base", base)
+    free = F.filter("spots", lambda t: ~F.exists("q_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return rows.select("doc_id", "text_hash", *PATTERNS, F.coalesce(free, F.array().cast(_TERMS)).alias("terms"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
