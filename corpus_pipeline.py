@@ -8,7 +8,8 @@ columns of documents; every decision takes effect:
 2. ``lines``: repeated lines lose all but their first document's; a document that loses all its lines stays, empty.  n_chars follows.
 3. ``near_duplicates``: one document of each group of near duplicates stays, the one with the smallest doc_id.
 4. ``mixing``: documents in training order, as often as the mix takes them.
-5. ``packing``: training sequences; a row per piece of a document, with its token ids.
+5. ``packing``: training sequences; a row per piece of a document, with its token ids.  Documents are packed in ranges of
+   the order in which mixing wrote them, which the numbers of its files and of the rows in them tell.
 
 Nulls, empty texts, empty tables, repeated rows and extra columns have the results that each operator states.
 """
@@ -45,7 +46,9 @@ def in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def training_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    place = docs.metadataColumn("_metadata")
+    number = lambda of: F.regexp_extract(place["file_name"], of, 1).try_cast("long")
+    return packing.packed(docs, order=(number(r"^part-(\d+)"), number(r"-c(\d+)\."), place["file_name"], place["row_index"]))
 
 
 STAGES = [("quality", good_documents), ("lines", without_repeated_lines), ("near_duplicates", one_of_each_group),

@@ -322,3 +322,25 @@ def test_pipeline_stages(spark, tmp_path):
         seen.append({r["doc_id"] for r in docs.select("doc_id").collect()})
     first, lines, unique, mixed, packed = seen
     assert len(texts) - 1 not in first and lines == first and len(unique) < len(lines) and mixed <= unique and packed == mixed
+
+
+def test_sequences_follow_the_training_order(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [t for i, n in enumerate((400, 30, 30)) for t in prose(40 + i, n, 60)]
+    docs = table(spark, texts).withColumn("source", F.when(F.col("doc_id") < 400, "big").when(F.col("doc_id") < 430, "a").otherwise("c"))
+    mixing.curriculum(docs).write.parquet(f"{tmp_path}/mixed")
+    order = [r["doc_id"] for r in mixing.curriculum(docs).collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = corpus_pipeline.training_sequences(spark, spark.read.parquet(f"{tmp_path}/mixed"), str(tmp_path)).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    ranges: dict = {}
+    for r in rows:
+        if r["start"] == 0:
+            ranges.setdefault((r["sequence_id"] >> 40, r["step_group"] >> 40), []).append(r["doc_id"])
+    assert len(ranges) > 1 and sum(map(len, ranges.values())) == len(order) and max(Counter(order).values()) > 1
+    at = 0
+    for _, ids in sorted(ranges.items()):
+        assert sorted(ids) == sorted(order[at:at + len(ids)])
+        at += len(ids)
+    assert max(Counter((r["sequence_id"], r["doc_id"]) for r in rows if r["start"] == 0).values()) == 1

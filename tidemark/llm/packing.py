@@ -11,6 +11,10 @@ A task packs the documents of its own partition, in bounded buffers, and passes
 buffer: no shuffle, and only the last sequence of a partition is left open.  Ids of sequences and groups start with the
 number of the partition, so ``docs`` should be a table or materialised.
 
+With ``ordered``, docs come sorted, and every buffer is a range of that order: it is closed when full and as soon as a
+document comes again, so that no copies of a document share a sequence, and nothing passes from a range to the next.  Ids of
+sequences and groups then rise from range to range; within a range, sequences are packed and dealt by size as ever.
+
 Defined results: a null or empty text is the one token END; rows with the same doc_id are packed each on its own; a null
 doc_id passes as null; an empty table has no sequences.  Long texts are cut freely and whole: each token lies in one piece.
 """
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 END = 1
@@ -229,19 +233,27 @@ class _Writer:
         return pa.RecordBatch.from_pydict(arrays)
 
 
-def _packer(path: str, with_ids: bool):
+def _packer(path: str, with_ids: bool, ordered: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer = _encoder(path), _Writer(TaskContext.get().partitionId(), with_ids)
         end, longest = np.array([END], "<u4").tobytes(), TIERS[-1]
         ready: list[list[Piece]] = []
         held: list[Piece] = []
         size = 0
+        met: set[tuple] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
                 for doc, ids in zip(some.column(0).to_pylist(), encoder.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
                     ids += end
                     n = len(ids) // 4
+                    if ordered:
+                        if (key := (doc, n, hash(ids))) in met:
+                            done, held = pack(held)
+                            yield from writer.rows(ready + done + _closed(held, longest))
+                            ready, held, size = [], [], 0
+                            met.clear()
+                        met.add(key)
                     whole = n // longest * longest
                     ready += [[Piece(doc, i, ids[4 * i:4 * (i + longest)], n)] for i in range(0, whole, longest)]
                     if n > whole:
@@ -249,6 +261,9 @@ def _packer(path: str, with_ids: bool):
                     size += len(ids)
                 if len(held) >= BUFFER_DOCUMENTS or size >= BUFFER_BYTES:
                     done, held = pack(held)
+                    if ordered:
+                        done, held = done + _closed(held, longest), []
+                        met.clear()
                     yield from writer.rows(ready + done)
                     ready, size = [], 0
         done, held = pack(held)
@@ -264,12 +279,14 @@ def public_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True, order: tuple[Column, ...] = ()) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window (the size that the sequence
     is padded to), step_group and, if asked for, ids.  ``tokenizer`` is the path of a tokenizer file on every executor; its
-    words must not depend on their neighbours."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_packer(tokenizer or public_tokenizer(), with_ids), _SCHEMA + (", ids array<int>" if with_ids else ""))
+    words must not depend on their neighbours.  With ``order``, distinct values for each row, docs are range-sorted by it first."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(f"o_{k}") for k, c in enumerate(order)))
+    if order:
+        rows = rows.orderBy(*rows.columns[2:])
+    return rows.mapInArrow(_packer(tokenizer or public_tokenizer(), with_ids, bool(order)), _SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def pieces(docs: DataFrame) -> DataFrame:
