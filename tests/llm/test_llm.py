@@ -306,6 +306,12 @@ def test_terms_disclose_anywhere_in_a_document(spark):
     assert not any("Quazzelhof" in clean[i] for i in range(6)) and clean[len(texts) - 1] == texts[-1]
 
 
+def test_terms_at_the_edges_of_a_text(spark):
+    texts = ["Jonathan jon@x.org", "jon@x.org Jonathan", "Jonathan, jon@x.org"] + ["plain words that name nobody"] * 60
+    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitised(table(spark, texts)).collect()}
+    assert [clean[i] for i in range(4)] == [" [EMAIL]", "[EMAIL] ", ", [EMAIL]", texts[3]]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
