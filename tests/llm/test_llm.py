@@ -350,3 +350,16 @@ def test_sequences_follow_the_training_order(spark, tmp_path):
         assert sorted(ids) == sorted(order[at:at + len(ids)])
         at += len(ids)
     assert max(Counter((r["sequence_id"], r["doc_id"]) for r in rows if r["start"] == 0).values()) == 1
+
+
+def test_the_distance_alone_rejects_by_each_statistic(spark):
+    clean = prose(50, 200, 100)
+    words = prose(51, 4, 100)
+    lines = [" ".join(w) for w in zip(*[iter(words[0].split())] * 4, strict=False)]
+    odd = {"length": " ".join(w * 4 for w in words[1].split()), "symbols": words[2].replace(" ", " # & "),
+           "repeats": words[3] + " " + " ".join(words[3].split()[:9]), "lines": "\n".join(f"{x}\nyes" for x in lines)}
+    texts = clean + list(odd.values())
+    got = {x["doc_id"]: x for x in quality.document_quality(table(spark, texts).withColumns({"lang": F.lit("en"), "source": F.lit("s")})).collect()}
+    for i, name in enumerate(odd, len(clean)):
+        assert not got[i]["base_failed"] and not got[i]["kept"], (name, got[i])
+    assert all(got[i]["kept"] for i in range(len(clean)))
