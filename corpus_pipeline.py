@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import linededup, mixing, ngramjoin, packing, quality
 
-#: The rows depend on hashes, on an estimate and on a tokenizer, which SQL cannot express; tests hold run() against brute force.
+#: The rows depend on hashes, on an estimate and on a tokenizer, which SQL cannot express; tests look at the stages one by one.
 ORACLE_SQL = None
 
 
