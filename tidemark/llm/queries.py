@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, disclosure, linededup, mixing, ngramjoin, ngramlm, packing, quality, transport, urlfilter
+from tidemark.llm import (chat, disclosure, divergence, linededup, merkle, mixing, ngramjoin, ngramlm, novelty, packing, quality,
+                          transport, urlfilter)
 from tidemark.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +29,12 @@ def queries() -> dict[str, Query]:
         "op8_quality_outliers": _of("documents", quality.document_quality),
         "op9_pii_disclosure": _of("documents", disclosure.disclosure_report),
         "op10_curriculum": _of("documents", mixing.mixture),
+        "op11_merkle_manifest": _of("documents", merkle.manifest_report),
+        "op12_secret_novelty": _of("documents", novelty.secret_report),
+        "op13_source_divergence": _of("documents", divergence.audit),
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.ORACLE, "op5_url_filter": urlfilter.ORACLE}
+    return {"op4_line_dedup": linededup.ORACLE, "op5_url_filter": urlfilter.ORACLE, "op11_merkle_manifest": merkle.ORACLE,
+            "op13_source_divergence": divergence.ORACLE}
