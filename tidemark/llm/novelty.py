@@ -43,13 +43,15 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: What makes a place sensitive, and how many code points before a candidate are looked at.
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase|code)|pwd|secret|token|api_?key|access_?key|private_?key|credential|auth|bearer|signature|signing|encryption|webhook", re.ASCII | re.IGNORECASE)
 REACH = 64
-LEAST, SHARE, AROUND, LEVEL = 16, 0.85, 256, 1
+LEAST, SHARE, AROUND, LEVEL = 16, 0.9, 256, 1
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 WORDS, SHORTEST, LONGEST = 8192, 3, 24
 
 #: Parts of identifiers that a task counts before it hands them on, and the bytes of text that are split at a time.
 HELD, PIECE = 400_000, 1 << 20
 _LETTERS = bytes(b if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 0x20 for b in range(256))
+#: No match starts in the last bytes of what is compressed; these bytes are the same both times.
+_TAIL = b"\n" * 16
 _CAMEL = re.compile(rb"(?<=[a-z])(?=[A-Z])")
 _FOUND = "spans array<struct<kind:string,start:int,end:int,cost:int>>"
 
@@ -99,7 +101,10 @@ class Novelty:
 
     def cost(self, text: str, start: int, end: int) -> int:
         around = (text[max(0, start - AROUND):start] + text[end:end + AROUND]).encode("utf-8", "replace")
-        return len(self._packer.compress(around + text[start:end].encode())) - len(self._packer.compress(around))
+        return self._size(around + text[start:end].encode()) - self._size(around)
+
+    def _size(self, text: bytes) -> int:
+        return len(self._packer.compress(text + _TAIL))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
