@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import fresh
@@ -45,7 +45,9 @@ SENSITIVE = re.compile(r"pass(?:word|wd|phrase|code)|pwd|secret|token|api_?key|a
 REACH = 64
 LEAST, SHARE, AROUND, LEVEL = 16, 0.9, 256, 1
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
-WORDS, SHORTEST, LONGEST = 8192, 3, 24
+#: What a short dictionary is padded to: the compressor's tables follow its size, and with them what a string costs.
+PADDED = 1 << 16
+WORDS, SHORTEST, LONGEST, SHARDS = 8192, 3, 24, 16
 
 #: Parts of identifiers that a task counts before it hands them on, and the bytes of text that are split at a time.
 HELD, PIECE = 400_000, 1 << 20
@@ -87,7 +89,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dictionary(docs: DataFrame) -> bytes:
     """The parts of identifiers that most documents hold, the most frequent last, where a compressor reaches them cheapest."""
     counts = docs.select(F.col("`text`").cast("string").cast("binary").alias("text")).mapInArrow(_parts, "word string, n long")
-    best = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    order = (F.desc("n"), F.col("word"))
+    # each of a few shards keeps its best, so that what is ordered last does not grow with the corpus
+    shard = Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(SHARDS))).orderBy(*order)
+    kept = counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("place", F.row_number().over(shard)).where(F.col("place") <= WORDS)
+    best = kept.orderBy(*order).limit(WORDS).collect()
     return " ".join(r["word"] for r in reversed(best)).encode()
 
 
@@ -95,7 +101,7 @@ class Novelty:
     """What a string costs beside the text around it."""
 
     def __init__(self, words: bytes):
-        primer = zstandard.ZstdCompressionDict(words.rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)   # under 8 bytes is no dictionary
+        primer = zstandard.ZstdCompressionDict(words.rjust(PADDED), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         primer.precompute_compress(level=LEVEL)
         self._packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=primer, write_content_size=False)
 
