@@ -363,3 +363,13 @@ def test_the_distance_alone_rejects_by_each_statistic(spark):
     for i, name in enumerate(odd, len(clean)):
         assert not got[i]["base_failed"] and not got[i]["kept"], (name, got[i])
     assert all(got[i]["kept"] for i in range(len(clean)))
+
+
+def test_near_duplicates_are_told_by_id_and_text(spark):
+    t, u, s, other, much = prose(70, 5)
+    near = t + " tail"
+    rows = [(3, t), (5, t), (5, u), (1, s), (1, s), (2, s), (None, s), (None, other), (None, other + " tail"), (None, "alone in the world without any id"), (8, near), (8, u + " " + much),
+            (9, ""), (9, ""), (None, None)]
+    docs = table(spark, [x for _, x in rows], [i for i, _ in rows])
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngramjoin.drop_near_duplicates(docs).collect()), key=str)
+    assert len(kept) == 9 and set(kept) - {(None, other), (None, other + " tail")} == {(3, t), (5, u), (1, s), (None, "alone in the world without any id"), (8, u + " " + much), (9, ""), (None, None)}

@@ -18,8 +18,8 @@ arrays of bounded size, so that a hundred million n-grams are some thousand rows
 
 Defined results: A-Z are lower-cased, words are runs of characters that are no blanks; a text with fewer words than an
 n-gram is one n-gram; a null or empty text has none and is a component of its own.  Rows with the same doc_id are one
-document if their texts agree, and are linked like any others if not.  A row without doc_id takes part in no link and has no
-component.  N-grams are compared by 46 bits or more of their hash within what a pair shares.  ``docs`` should be a table or
+document if their texts agree, and are linked like any others if not.  Rows without doc_id are
+linked by their texts, but no component is named after them and their own is null.  N-grams are compared by 46 bits or more of their hash within what a pair shares.  ``docs`` should be a table or
 materialised: its rows are read once, in partitions that must come out the same again when a task is repeated.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.frames import shuffle_partitions
+from tidemark.llm.frames import fresh, shuffle_partitions
 from tidemark.llm.hashing import hashed_words, shingle_set
 from tidemark.session import cut
 
@@ -69,13 +69,15 @@ class _Batch:
 
     def __init__(self) -> None:
         self.ids: list[int] = []
+        self.tags: list[int] = []
         self.of: list[int] = []
         self.sets: list[np.ndarray] = []
         self.index: dict[bytes, int] = {}
         self.size = 0
 
-    def add(self, doc: int | None, found: np.ndarray) -> None:
+    def add(self, doc: int | None, tag: int, found: np.ndarray) -> None:
         self.ids.append(_NO_ID if doc is None else doc)
+        self.tags.append(tag)
         if not len(found):
             self.of.append(-1)
             return
@@ -89,7 +91,7 @@ class _Batch:
     def rows(self, name: str, bits: int) -> Iterator[pa.RecordBatch]:
         """A row that says what the batch holds, and one for each bucket of n-grams."""
         sizes = np.array([len(x) for x in self.sets], np.int64)
-        yield _table([name], [-1 - zlib.crc32(name.encode()) % (1 << bits)], [np.array(self.ids, np.int64).tobytes()], [np.array(self.of, np.int32).tobytes()], [sizes.tobytes()], [b"".join(self.index)])
+        yield _table([name], [-1 - zlib.crc32(name.encode()) % (1 << bits)], [np.array([*self.ids, *self.tags], np.int64).tobytes()], [np.array(self.of, np.int32).tobytes()], [sizes.tobytes()], [b"".join(self.index)])
         if not self.sets:
             return
         grams = np.concatenate(self.sets)
@@ -130,8 +132,8 @@ def _gatherer(bits: int):
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 words, starts = hashed_words(some.column(1))
-                for i, doc in enumerate(some.column(0).to_pylist()):
-                    held.add(doc, shingle_set(words[starts[i]:starts[i + 1]], WORDS))
+                for i, (doc, tag) in enumerate(zip(some.column(0).to_pylist(), some.column(2).to_pylist(), strict=True)):
+                    held.add(doc, tag, shingle_set(words[starts[i]:starts[i + 1]], WORDS))
                 if held.size >= FLUSH:
                     yield from held.rows(f"{part}-{count}", bits)
                     count, held = count + 1, _Batch()
@@ -166,7 +168,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return pa.table({"batch": table["batch"], "bucket": table["bucket"], **{n: pa.array(c, pa.binary()) for n, c in zip("abcd", zip(*out, strict=True), strict=True)}})
 
 
-_SETS = "doc_id long, n_shingles long, set_key binary, regions array<long>, shared binary"
+_SETS = "doc_id long, tag long, n_shingles long, set_key binary, regions array<long>, shared binary"
 
 
 def _windows(table: pa.Table) -> pa.Table:
@@ -174,7 +176,7 @@ def _windows(table: pa.Table) -> pa.Table:
     buckets = table["bucket"].to_pylist()
     head = next(i for i, b in enumerate(buckets) if b < 0)
     ids, of, sizes = (np.frombuffer(table[c][head].as_py(), t) for c, t in (("a", np.int64), ("b", np.int32), ("c", np.int64)))
-    keys = table["d"][head].as_py()
+    (ids, tags), keys = np.split(ids, 2), table["d"][head].as_py()
     parts = [(b, table["a"][i].as_py(), table["b"][i].as_py(), table["c"][i].as_py(), table["d"][i].as_py()) for i, b in enumerate(buckets) if b >= 0]
     owner = np.concatenate([np.empty(0, np.int64), *(np.repeat(np.arange(len(sizes)), _unpacked(p[1])) for p in parts)])
     gram = np.concatenate([np.empty(0, np.uint64), *(_joined(p[2], p[3]) | (np.uint64(p[0]) << np.uint64(40)) for p in parts)])
@@ -186,10 +188,10 @@ def _windows(table: pa.Table) -> pa.Table:
     order = np.lexsort((gram, df, owner))
     starts = np.searchsorted(owner[order], np.arange(len(sizes) + 1))
     gram = gram[order].astype(np.int64)
-    # the first document with an id stands for its set
+    # the first document stands for its set, one without an id only where no other does
     stands = {}
-    for i in np.lexsort((ids, of)):
-        if of[i] >= 0 and ids[i] != _NO_ID:
+    for i in np.lexsort((ids, ids == _NO_ID, of)):
+        if of[i] >= 0:
             stands.setdefault(int(of[i]), int(i))
     regions, entries = [], []
     for i, s in enumerate(of):
@@ -200,17 +202,18 @@ def _windows(table: pa.Table) -> pa.Table:
         else:
             regions.append(None)
             entries.append(None)
-    return pa.table({"doc_id": pa.array([None if x == _NO_ID else x for x in ids.tolist()], pa.int64()),
+    return pa.table({"doc_id": pa.array([None if x == _NO_ID else x for x in ids.tolist()], pa.int64()), "tag": pa.array(tags, pa.int64()),
                      "n_shingles": pa.array([int(sizes[s]) if s >= 0 else 0 for s in of], pa.int64()),
                      "set_key": pa.array([keys[16 * s:16 * s + 16] if s >= 0 else None for s in of], pa.binary()),
                      "regions": pa.array(regions, pa.list_(pa.int64())), "shared": pa.array(entries, pa.binary())})
 
 
 def shingle_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key, and where a partner is possible the regions of the window and the shared n-grams."""
+    """doc_id, tag (a hash of the text), n_shingles, set_key, and where a partner is possible the regions of the window and the shared n-grams."""
     buckets = 4 * shuffle_partitions(docs.sparkSession)
     bits = min(22, max(6, (buckets - 1).bit_length()))
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_gatherer(bits), _ROW)
+    text = F.col("text").cast("string")
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag")).mapInArrow(_gatherer(bits), _ROW)
     found = sent.groupBy("bucket").applyInArrow(_frequencies, _ROW)
     return found.groupBy("batch").applyInArrow(_windows, _SETS)
 
@@ -371,13 +374,13 @@ def _split_large(rows: DataFrame, leaf: Callable[[DataFrame], DataFrame]) -> Dat
     return found if found is not None else start.select("node", "component").limit(0)
 
 
-def linked_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row per document."""
+def _linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``shingle_windows``; and of every set that is linked or has copies: set_key, component, component_id."""
     sets = cut(shingle_windows(docs))
     stands = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     stands = cut(stands)
     nodes = (sets.where("shared is not null").select("set_key", "doc_id", F.col("n_shingles").alias("n"), "regions", "shared")
-             .join(stands.select("set_key", "node"), "set_key").where("doc_id = node").dropDuplicates(["set_key"]))
+             .join(stands.select("set_key", "node"), "set_key").where("doc_id <=> node").dropDuplicates(["set_key"]))
     nodes = cut(nodes.select("set_key", F.xxhash64("set_key").alias("node"), "n", "regions", "shared"))
     places = nodes.select("node", F.explode("regions").alias("place"))
     pivots = places.groupBy("place").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("place", "pivot")
@@ -393,12 +396,33 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     named = stands.withColumn("at", F.xxhash64("set_key")).join(linked.withColumnRenamed("node", "at"), "at", "left")
     named = named.where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "at"))
     first = named.groupBy("component").agg(F.min("node").alias("component_id"))
-    member = named.join(first, "component").select("set_key", "component_id")
+    return sets, named.join(first, "component").select("set_key", "component", "component_id")
+
+
+def linked_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row per document."""
+    sets, member = _linked_sets(docs)
     out = sets.select("doc_id", "n_shingles", "set_key").join(member, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents without those that a smaller doc_id of their component stands for; rows without doc_id stay."""
-    gone = linked_documents(docs.select("doc_id", "text")).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    """One row of each component: that of the smallest doc_id, null last, and of rows that share it one that the texts decide.
+
+    Rows are told apart by doc_id and text, so a text that shares its id with a copy stays where it is like no other.  Of
+    equal rows one stays.  Rows whose text has no word are like nothing and stay."""
+    sets, member = _linked_sets(docs.select("doc_id", "text"))
+    rows = sets.where("set_key is not null").groupBy("doc_id", "tag", "set_key").agg(F.count(F.lit(1)).alias("copies"))
+    rows = cut(rows.join(member, "set_key").select("doc_id", "tag", "set_key", "copies", "component"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key", "tag")).alias("best")
+    marked = rows.join(rows.groupBy("component").agg(best), "component")
+    stays = F.struct("doc_id", "set_key", "tag").eqNullSafe(F.struct("best.doc_id", "best.set_key", "best.tag"))
+    marked = cut(marked.select(F.col("doc_id").alias("q_doc"), F.col("tag").alias("q_tag"), stays.alias("q_stays"), "copies").where("not q_stays or copies > 1"))
+    name = fresh(docs, "q_text_tag")
+    tagged = docs.withColumn(name, F.xxhash64(F.col("text").cast("string")))
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col("q_doc")) & (F.col(name) == F.col("q_tag"))
+    out = tagged.join(marked, met, "left_anti")
+    again = marked.where("q_stays")
+    if not again.isEmpty():
+        out = out.unionByName(tagged.join(again, met, "left_semi").dropDuplicates(["doc_id", name]))
+    return out.select(*(f"`{c}`" for c in docs.columns))
