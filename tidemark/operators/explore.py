@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalars import (count_if, is_numeric, pearson, pearson_sums, period, require_columns,
                                         safe_div, sample_kurtosis, sample_skew, share)
-from tidemark.operators.order import (pick_quantiles, quantiles, record_chunks, value_ranks,
-                                      with_group_stat)
+from tidemark.operators.order import quantiles, record_chunks, value_ranks, weighted_quantiles, with_group_stat
+from tidemark.session import cut
 
 
 def _series(order: str = "period") -> Window:
@@ -165,12 +165,9 @@ def _field(df: DataFrame, field: str, denominator: str | None) -> Column:
 
 
 def distribution(df: DataFrame, field: str, denominator: str | None = None) -> DataFrame:
-    """C9. One row: percentiles, moments, mass at zero and at the extremes, tails, and processing hints.
-
-    The values are counted once; everything but the null count is read off the distinct values."""
+    """C9. One row: percentiles, moments, mass at zero and at the extremes, tails, and processing hints."""
     x = df.select(_field(df, field, denominator).alias("x")).withColumn("_one", F.lit(0))
-    ranks = value_ranks(x, ["_one"], "x")
-    q = pick_quantiles(ranks, ["_one"], "x", DISTRIBUTION_PROBS)
+    q = quantiles(x, ["_one"], "x", DISTRIBUTION_PROBS)
     iqr = F.col("p75") - F.col("p25")
     far = (F.col("x") > F.col("p75") + 3 * iqr) | (F.col("x") < F.col("p25") - 3 * iqr)
     known = F.col("x").isNotNull()
@@ -253,26 +250,31 @@ def update_dynamics(df: DataFrame, entity: str, time: str, field: str, lags: Seq
     order = [time, *(tie or [field])]
     chunked, w, own = record_chunks(d, [entity], order, max(lags))
     x = F.col(field).cast("double")
-    lagged = {f"_x{k}": F.lag(x, k).over(w) for k in {1, *lags}}
-    recs = chunked.withColumns({"_prev_t": F.lag(time, 1).over(w), **lagged}).where(own)
-    changed = F.col("_x1").isNotNull() & (x != F.col("_x1"))
-    gap = F.datediff(time, "_prev_t")
-    aggs = [F.count(F.lit(1)).alias("n_obs"),
-            safe_div(count_if(F.col("_x1").isNotNull() & (x == F.col("_x1"))), F.count("_x1")).alias("share_unchanged")]
+    recs = chunked.withColumns({"_prev_t": F.lag(time, 1).over(w), **{f"_x{k}": F.lag(x, k).over(w) for k in {1, *lags}}})
+    recs = recs.withColumn("_change", F.when(own & F.col("_x1").isNotNull() & (x != F.col("_x1")), F.col(time)))
+    before = F.last("_change", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    recs = recs.withColumns({"_gap": F.datediff(time, "_prev_t"), "_change_gap": F.datediff("_change", before)}).where(own)
+    change = F.when(F.col("_change").isNotNull(), F.struct("_pos", "_change"))
+    sums = [F.count(F.lit(1)).alias("n_obs"), F.count("_x1").alias("_n1"), count_if(x == F.col("_x1")).alias("_same"),
+            count_if(F.col("_pos") == 0).alias("n_entities")]
     for k in lags:
-        aggs += pearson_sums(x, F.col(f"_x{k}"), f"_l{k}_")
-    base = recs.agg(*aggs).withColumns({f"acf_lag{k}": pearson(f"_l{k}_", 11) for k in lags})
-    base = base.select("n_obs", "share_unchanged", *[f"acf_lag{k}" for k in lags], F.lit(0).alias("_one"))
-    ents = d.groupBy(entity).agg(F.lit(1)).agg(F.count(F.lit(1)).alias("n_entities")).withColumn("_one", F.lit(0))
-    change_rows = recs.where(changed).select(entity, *order)
-    c2, w2, own2 = record_chunks(change_rows, [entity], order, 1)
-    c2 = c2.withColumn("gap", F.datediff(time, F.lag(time, 1).over(w2))).where(own2)
+        sums += pearson_sums(x, F.col(f"_x{k}"), f"_l{k}_")
+    # everything comes from one pass over the chunks: sums and gaps, and what a chunk hands to the next ones
+    cells = cut(recs.groupBy(entity, "_chunk", "_gap", "_change_gap").agg(*sums, F.min(change).alias("_first"), F.max(change).alias("_last")))
+    names = [c for c in cells.columns[4:] if c not in ("_first", "_last")]
+    base = cells.agg(*(F.sum(c).alias(c) for c in names)).withColumns({f"acf_lag{k}": pearson(f"_l{k}_", 11) for k in lags})
+    base = base.select(F.coalesce("n_obs", F.lit(0)).alias("n_obs"), safe_div(F.col("_same"), F.col("_n1")).alias("share_unchanged"),
+                       *[f"acf_lag{k}" for k in lags], F.lit(0).alias("_one"), F.coalesce("n_entities", F.lit(0)).alias("n_entities"))
+    ends = cells.groupBy(entity, "_chunk").agg(F.min("_first._change").alias("_f"), F.max("_last._change").alias("_l"))
+    earlier = F.lag("_l", 1).over(Window.partitionBy(entity).orderBy("_chunk"))
+    across = ends.where(F.col("_f").isNotNull()).select(F.datediff("_f", earlier).alias("gap"), F.lit(1).cast("long").alias("n"))
+    gaps = cells.where(F.col("_change_gap").isNotNull()).select(F.col("_change_gap").alias("gap"), F.col("n_obs").alias("n")).unionByName(across)
+
     def spread(frame, name):   # whole days: few distinct values
         q = {f"{name}_min": 0.0, f"{name}_median": .5, f"{name}_max": 1.0}
-        return quantiles(frame.where(F.col("gap").isNotNull()).withColumn("_one", F.lit(0)), ["_one"], "gap", q,
-                         bounded=True).drop("n")
-    return (base.join(ents, "_one").join(spread(recs.select(gap.alias("gap")), "days_between_obs"), "_one", "left")
-            .join(spread(c2.select("gap"), "days_between_changes"), "_one", "left").drop("_one"))
+        return weighted_quantiles(frame.withColumn("_one", F.lit(0)), ["_one"], "gap", "n", q, bounded=True).drop("n")
+    return (base.join(spread(cells.select(F.col("_gap").alias("gap"), F.col("n_obs").alias("n")), "days_between_obs"), "_one", "left")
+            .join(spread(gaps, "days_between_changes"), "_one", "left").drop("_one"))
 
 
 def variance_split(df: DataFrame, entity: str, time: str, field: str, log1p: bool = False,

@@ -2,8 +2,8 @@
 
 A window partitioned by a key sends every row of a key to one task.  That is fine where a key's rows are bounded (one
 row per entity and date), and is what the panel operators do.  Everything here is for keys whose rows are *not*
-bounded: the group's order is cut into ranges, each range is handled by its own task, and small per-range totals carry
-what earlier ranges contribute.  Results are exact whatever the cut points.
+bounded: ``scan`` deals their order to ranges, one task each, and carries from range to range what they hand on.  Results
+are exact whatever the ranges; ``ranges`` says how many, by default the bytes do.
 
 ``bounded=True`` says that a group's ordered items are bounded by construction (sessions of a calendar, names of a
 top-N universe, distinct day counts); the plain window or aggregate is then enough and cheaper.
@@ -12,18 +12,18 @@ top-N universe, distinct day counts); the plain window or aggregate is then enou
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import require_columns
+from tidemark.operators.scan import last_known, running_totals
 
-SPLIT_ROWS = 2_000_000   # a group with more ordered items than this is cut into ranges
-MAX_SPLIT_GROUPS = 2048  # the largest groups only: any other group is then smaller than 1/2048 of all items
-SAMPLED = 2_000          # sampled items that a group of SPLIT_ROWS items has on average
-CUT_SLOTS = 256          # cut points per split group; the broadcast cuts hold at most 2048 * 256 values
-CUT_STEP = 16            # a value is placed among the cuts in two steps of 16 comparisons
+SKETCH = 2_000   # accuracy of the sketch that brackets quantiles: a rank is off by n / SKETCH at most
+BRACKET = 3      # a bracket reaches that many times as far
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -43,64 +43,38 @@ def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "le
 
 
 def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column | None = None,
-                   split_rows: int = SPLIT_ROWS, bounded: bool = False) -> DataFrame:
+                   ranges: int | None = None, bounded: bool = False) -> DataFrame:
     """Adds ``before`` (weight of the rows earlier in the group's order) and ``total`` (weight of the group).
 
     Rows with a null key are dropped, as a grouping does in the reference semantics.  ``order`` should identify a row
-    within its group; cut points are a hash-chosen, hence repeatable, sample of the order values themselves.
+    within its group; a weight is a count.
     """
     added = [] if keys else ["_all"]
     base, keys = _keyed(df, keys)
+    if not bounded:
+        return running_totals(base, keys, order, weight, ranges).drop(*added)
     for k in keys:
         base = base.where(F.col(k).isNotNull())
-    if bounded:
-        w = Window.partitionBy(*keys)
-        wt = F.lit(1) if weight is None else weight
-        upto = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return base.withColumns({"before": F.coalesce(F.sum(wt).over(upto), F.lit(0)),
-                                 "total": F.sum(wt).over(w)}).drop(*added)
-    value = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    base = base.withColumns({"__w": F.lit(1) if weight is None else weight, "__o": value})
-    # a thin hash sample tells which groups are large, and supplies one order value per hash slot: the same rows and
-    # values on every evaluation, so the ranges do not move when a lost task is run again
-    rate = max(1, split_rows // SAMPLED)
-    thin = base.select(*keys, "__o").where(F.pmod(F.xxhash64(F.lit(5), F.col("__o")), F.lit(rate)) == 0)
-    slots = (thin.groupBy(*keys, F.pmod(F.xxhash64(F.lit(11), F.col("__o")), F.lit(CUT_SLOTS)).alias("__slot"))
-             .agg(F.count(F.lit(1)).alias("__c"), F.min_by("__o", F.xxhash64(F.lit(17), F.col("__o"))).alias("__cut")))
-    cuts = slots.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.sort_array(F.collect_list("__cut")).alias("__cuts"))
-    cuts = cuts.where(F.col("__n") > split_rows / rate).orderBy(F.desc("__n")).limit(MAX_SPLIT_GROUPS).drop("__n")
-    every = F.filter("__cuts", lambda c, i: i % CUT_STEP == CUT_STEP - 1)
-    base = _join(base, F.broadcast(cuts.withColumn("__steps", every)), keys)
-    # cuts at or below the value: whole steps first, then inside the step it falls in
-    whole = CUT_STEP * F.size(F.filter("__steps", lambda c: c <= F.col("__o")))
-    base = base.withColumn("__whole", F.when(F.col("__cuts").isNull(), 0).otherwise(whole))
-    rest = F.size(F.filter(F.slice("__cuts", F.col("__whole") + 1, F.lit(CUT_STEP)), lambda c: c <= F.col("__o")))
-    bucket = F.when(F.col("__cuts").isNull(), 0).otherwise(F.col("__whole") + rest)
-    base = base.withColumn("__b", bucket).drop("__cuts", "__steps", "__whole")
-    totals = base.groupBy(*keys, "__b").agg(F.sum("__w").alias("__bw"))
-    # at most CUT_SLOTS + 1 rows per key
-    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "__b", F.coalesce(F.sum("__bw").over(earlier), F.lit(0)).alias("__off"),
-                           F.sum("__bw").over(Window.partitionBy(*keys)).alias("total"))
-    base = _join(base, totals, [*keys, "__b"], "inner")
-    within = (Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    out = base.withColumn("before", F.col("__off") + F.coalesce(F.sum("__w").over(within), F.lit(0)))
-    return out.drop("__w", "__o", "__b", "__off", *added)
+    w = Window.partitionBy(*keys)
+    wt = F.lit(1) if weight is None else weight
+    upto = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return base.withColumns({"before": F.coalesce(F.sum(wt).over(upto), F.lit(0)),
+                             "total": F.sum(wt).over(w)}).drop(*added)
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos",
-              split_rows: int = SPLIT_ROWS, bounded: bool = False) -> DataFrame:
+              ranges: int | None = None, bounded: bool = False) -> DataFrame:
     """Zero-based position of each row in its group's order (``out``), and the group's size (``group_n``)."""
-    p = ordered_prefix(df, keys, order, split_rows=split_rows, bounded=bounded)
+    p = ordered_prefix(df, keys, order, ranges=ranges, bounded=bounded)
     return p.withColumnsRenamed({"before": out, "total": "group_n"})
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, split_rows: int = SPLIT_ROWS,
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, ranges: int | None = None,
                 bounded: bool = False) -> DataFrame:
     """One row per distinct known value of a group: ``_ties``, ``_before`` (smaller rows), ``_total``, and the average
     rank ``_rank`` and percentile rank ``_pct`` of the tied rows.  Heavy ties are counted before any ordering."""
     d = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties")))
-    p = ordered_prefix(d, keys, [value], F.col("_ties"), split_rows, bounded).withColumnsRenamed(
+    p = ordered_prefix(d, keys, [value], F.col("_ties"), ranges, bounded).withColumnsRenamed(
         {"before": "_before", "total": "_total"})
     rank = F.col("_before") + (F.col("_ties") + 1) / 2
     return p.withColumn("_rank", rank).withColumn("_pct", rank / F.col("_total"))
@@ -121,24 +95,24 @@ def _window_rank(keys: Sequence[str], value: str, measure: str) -> Column:
 
 
 def with_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, measure: str = "pct",
-              split_rows: int = SPLIT_ROWS, bounded: bool = False) -> DataFrame:
+              ranges: int | None = None, bounded: bool = False) -> DataFrame:
     """Adds the same-group rank of a value (null where the value or a key is null)."""
     if bounded:
         return df.withColumn(out, _window_rank(keys, value, measure))
-    r = value_ranks(df, keys, value, split_rows).select(*keys, value, F.col("_" + measure).alias(out))
+    r = value_ranks(df, keys, value, ranges).select(*keys, value, F.col("_" + measure).alias(out))
     return _join(df, r, [*keys, value])
 
 
 def rank_columns(df: DataFrame, keys: Sequence[str], values: Sequence[str], measure: str = "pct",
                  suffix: str = "_rank", row_id: Sequence[str] = ("date", "entity"),
-                 split_rows: int = SPLIT_ROWS, bounded: bool = False) -> DataFrame:
+                 ranges: int | None = None, bounded: bool = False) -> DataFrame:
     """Same-group ranks of several columns in one pass: long form, one ranking, back to wide on the row id."""
     if bounded:
         return df.withColumns({v + suffix: _window_rank(keys, v, measure) for v in values})
     row_id = list(dict.fromkeys([*row_id, *keys]))
     long = df.select(*row_id, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(
         row_id, list(values), "_col", "_val").where(F.col("_val").isNotNull())
-    r = value_ranks(long, ["_col", *keys], "_val", split_rows).select("_col", *keys, "_val", F.col("_" + measure).alias("_m"))
+    r = value_ranks(long, ["_col", *keys], "_val", ranges).select("_col", *keys, "_val", F.col("_" + measure).alias("_m"))
     ranked = _join(long, r, ["_col", *keys, "_val"], "inner")
     wide = ranked.groupBy(*row_id).agg(
         *[F.max(F.when(F.col("_col") == v, F.col("_m"))).alias(v + suffix) for v in values])
@@ -146,11 +120,12 @@ def rank_columns(df: DataFrame, keys: Sequence[str], values: Sequence[str], meas
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-              split_rows: int = SPLIT_ROWS, bounded: bool = False) -> DataFrame:
+              ranges: int | None = None, bounded: bool = False) -> DataFrame:
     """Exact, linearly interpolated quantiles per group (names -> probabilities), plus ``n`` known values.
 
-    Works on distinct value counts spread over tasks: no aggregate ever holds a whole group.  The built-in aggregate,
-    which keeps every distinct value of a group in memory, serves the bounded case.
+    The values are not ordered.  A mergeable sketch brackets each quantile; a second pass counts what lies below and
+    keeps distinct values inside the brackets only, and these few are ordered.  The built-in aggregate, which keeps every
+    distinct value of a group in memory, serves the bounded case.
     """
     base, ks = _keyed(df, keys)
     for k in ks:
@@ -160,8 +135,31 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
         g = base.groupBy(*ks).agg(F.count(value).alias("n"),
                                   *[F.percentile(v, F.lit(float(q))).alias(n) for n, q in probs.items()])
         return g.where(F.col("n") > 0).select(*keys, "n", *probs)
-    p = value_ranks(base, ks, value, split_rows)
-    return pick_quantiles(p, ks, value, probs).select(*keys, "n", *probs)
+    base = base.select(*ks, v.alias("__v")).where(F.col("__v").isNotNull())
+    cells = _bracketed(base, ks, sorted(set(probs.values())), ranges)
+    out = pick_quantiles(cells, ks, "__v", probs)
+    # the sketch's error is bounded, so this cannot be; a wrong number must not come out all the same
+    missed = F.exists(F.array(*probs), F.isnull)
+    sure = F.when(missed, F.raise_error(F.lit("a quantile lies outside the bracket of its sketch"))).otherwise(F.col("n"))
+    return out.select(*keys, sure.alias("n"), *probs)
+
+
+def _bracketed(base: DataFrame, keys: Sequence[str], probs: Sequence[float], ranges: int | None) -> DataFrame:
+    """Distinct values inside the brackets of some quantiles, and one row (null) for all values of each gap between them,
+    with ``_ties``, ``_before`` and ``_total``."""
+    lows, highs = [max(0.0, q - BRACKET / SKETCH) for q in probs], [min(1.0, q + BRACKET / SKETCH) for q in probs]
+    found = base.groupBy(*keys).agg(F.percentile_approx("__v", [*lows, *highs], SKETCH).alias("__s"), F.count(F.lit(1)).alias("__n"))
+    # a group of few values is bracketed as a whole: there the bracket is less than a rank wide
+    at = lambda i, whole, end: F.when(F.lit(whole) | (F.col("__n") <= SKETCH), F.lit(end)).otherwise(F.get("__s", F.lit(i)))
+    found = found.select(*keys, *(at(i, q == 0, float("-inf")).alias(f"__lo{i}") for i, q in enumerate(lows)),
+                         *(at(i + len(lows), q == 1, float("nan")).alias(f"__hi{i}") for i, q in enumerate(highs)))
+    rows = _join(base, found, keys, "inner")
+    past_low = reduce(add, ((F.col(f"__lo{i}") <= F.col("__v")).cast("int") for i in range(len(probs))))
+    past_high = reduce(add, ((F.col(f"__hi{i}") < F.col("__v")).cast("int") for i in range(len(probs))))
+    rows = rows.select(*keys, (past_low + past_high).alias("__cell"), F.when(past_low > past_high, F.col("__v")).alias("__v"))
+    counts = rows.groupBy(*keys, "__cell", "__v").agg(F.count(F.lit(1)).alias("_ties"))
+    p = running_totals(counts, keys, ["__cell", "__v"], F.col("_ties"), ranges)
+    return p.withColumnsRenamed({"before": "_before", "total": "_total"})
 
 
 def pick_quantiles(p: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -200,13 +198,13 @@ def with_group_quantile(df: DataFrame, keys: Sequence[str], value: str, bounded:
 
 
 def record_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int,
-                  chunk_rows: int = 1_000_000, split_rows: int = SPLIT_ROWS) -> tuple[DataFrame, Window, Column]:
+                  chunk_rows: int = 1_000_000, ranges: int | None = None) -> tuple[DataFrame, Window, Column]:
     """Cuts each group's records into chunks that also hold the ``back`` records before them.
 
     Returns (frame, window, own): window functions over ``window`` that look at most ``back`` records back are exact
     on the rows where ``own`` is true; filter on it afterwards.
     """
-    p = positions(df, keys, order, "_pos", split_rows)
+    p = positions(df, keys, order, "_pos", ranges)
     chunk = F.floor(F.col("_pos") / chunk_rows)
     last = (F.col("group_n") - 1) / chunk_rows
     spill = (F.col("_pos") % chunk_rows >= chunk_rows - back) & (chunk < F.floor(last))
@@ -216,12 +214,13 @@ def record_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], back
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: Sequence[str] | str, left_time: str, right_time: str,
-              values: Sequence[str], tie: Sequence[str] = (), how: str = "left", prefix: str = "") -> DataFrame:
+              values: Sequence[str], tie: Sequence[str] = (), how: str = "left", prefix: str = "",
+              ranges: int | None = None) -> DataFrame:
     """For each left row the values of the latest right row with ``right_time <= left_time`` and the same key.
 
-    Only the distinct (key, time) points of both sides are ordered.  Times are handled day by day, and one small row
-    per (key, day) carries the last value into later days, so a hot key is spread over its days.  Several right rows at
-    one time are settled by the largest ``tie``.
+    Only the distinct (key, time) points of both sides are ordered.  A key's dates are bounded by the calendar and go
+    through one window; its timestamps are not, and go through a scan that carries the last value from range to range.
+    Several right rows at one time are settled by the largest ``tie``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     require_columns(left, *keys, left_time)
@@ -237,20 +236,13 @@ def asof_join(left: DataFrame, right: DataFrame, key: Sequence[str] | str, left_
     facts = (right.where(F.col(right_time).isNotNull())
              .groupBy(*keys, F.col(right_time).cast(kind).alias("_t")).agg(F.max_by(payload, rank).alias("_v"))
              .withColumn("_side", F.lit(0)))
-    both = points.unionByName(facts).withColumn("_day", F.to_date("_t"))
-    upto = Window.unboundedPreceding, Window.currentRow
-    if daily:   # one point and one fact per key and day: the calendar bounds a key's partition
-        w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(*upto)
-        hit = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where(F.col("_side") == 1)
+    both = points.unionByName(facts)
+    if daily:   # one point and one fact per key and day
+        upto = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumn("_v", F.last("_v", ignorenulls=True).over(upto))
     else:
-        inside = Window.partitionBy(*keys, "_day").orderBy("_t", "_side").rowsBetween(*upto)
-        hit = both.withColumn("_v", F.last("_v", ignorenulls=True).over(inside)).where(F.col("_side") == 1)
-        by_day = both.groupBy(*keys, "_day").agg(
-            F.max_by(F.when(F.col("_side") == 0, F.col("_v")),
-                     F.when(F.col("_side") == 0, F.col("_t"))).alias("_day_last"))
-        days_before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-        carry = by_day.select(*keys, "_day", F.last("_day_last", ignorenulls=True).over(days_before).alias("_carry"))
-        hit = (_join(hit, carry, [*keys, "_day"]).withColumn("_v", F.coalesce("_v", "_carry")))
+        both = last_known(both, keys, ["_t", "_side"], "_v", "_hit", ranges).drop("_v").withColumnRenamed("_hit", "_v")
+    hit = both.where(F.col("_side") == 1)
     hit = hit.select(*keys, F.col("_t").alias("_pt"), "_v")
     if how == "inner":
         hit = hit.where(F.col("_v").isNotNull())
