@@ -204,3 +204,51 @@ def test_every_inventory_id_is_registered():
 
 def test_check_sql_has_no_stray_names():
     assert set(catalog.oracles()) <= set(catalog.queries())
+
+
+@pytest.mark.parametrize("sections", [False, True])
+def test_skipped_blocks_hold_nothing_better(spark, monkeypatch, sections):
+    """Top k over many small blocks, shards and blocks of queries equal a full scoring in plain Python, ties included."""
+    import math
+    import random
+
+    from tidemark.operators import retrieval
+
+    r, bag = random.Random(3), [f"w{i}" for i in range(60)]
+    names = ["", "1.1 Alpha Table", "1.2 Beta Table", "2.1 Alpha Codes", "10.1 Gamma"]
+    rows = [(i % 7, i // 70, i, names[r.randrange(5)], " ".join(r.choices(bag, weights=range(1, 61), k=r.randint(1, 30))) + (" ..... ..... ....." if i % 50 == 0 else ""))
+            for i in range(700)]
+    asked = [(0, "w0 w1"), (1, "w59 w58 w57"), (2, "alpha table w3"), (3, "nothing here"), (4, "1.2 w9"), (5, "see 10.1"), (6, "beta TABLE alpha codes"), (7, "")]
+    asked += [(10 + i, " ".join(r.choices(bag, k=6))) for i in range(20)]
+    p = spark.createDataFrame(rows, "doc long, page int, seq int, section string, text string")
+    q = spark.createDataFrame(asked, "query_id long, query string")
+    monkeypatch.setattr(retrieval, "_shards", lambda df, most: 3)
+    monkeypatch.setattr(retrieval, "BLOCK", 4)
+    monkeypatch.setattr(retrieval, "FIRST", 1)
+    words = lambda t: __import__("re").findall(r"[a-z0-9_]+", t.lower())
+    bags = [words(f"{s} {t}") for _, _, _, s, t in rows]
+    mean, df = sum(map(len, bags)) / len(bags), {w: sum(w in b for b in bags) for w in {w for b in bags for w in b}}
+    want = []
+    for i, text in asked:
+        said, units = set(words(text)), {}
+        for (doc, page, seq, section, body), b in zip(rows, bags, strict=True):
+            score = sum(math.log(1 + (700 - df[w] + .5) / (df[w] + .5)) * b.count(w) * 2.2 / (b.count(w) + 1.2 * (.25 + .75 * len(b) / mean)) for w in said if w in b)
+            named = sections and section != "" and (set(words(section)[2:]) <= said or section.split()[0] in text.split())
+            score = (score + 20 * named) * (0.2 if sections and body.count(".....") >= 3 else 1)
+            unit = (doc, page, section) if named else seq
+            if score > 0 and (unit not in units or (-round(score, 9), seq) < (-round(units[unit][0], 9), units[unit][3])):
+                units[unit] = (score, doc, page, seq)
+        want += [(i, *u[1:], round(u[0], 6)) for u in sorted(units.values(), key=lambda u: (-round(u[0], 9), *u[1:]))[:3]]
+    got = docs.section_search(p, q, 3, follow=0) if sections else docs.bm25_search(p, q, 3)
+    got = [(x["query_id"], x["doc"], x["page"], x["seq"], round(x["score"], 6)) for x in got.orderBy("query_id", "rank").collect()]
+    assert got == want and len(want) > 60
+
+
+def test_cells_return_k_rows_a_query(spark):
+    from tidemark.operators import retrieval
+
+    p = spark.range(3000).select(F.col("id").alias("doc"), F.lit(1).alias("page"), F.lit(0).alias("seq"), F.lit("").alias("section"), F.concat(F.lit("same word "), "id").alias("text"))
+    q = spark.createDataFrame([(1, "same word"), (2, "word 77")], "query_id long, query string")
+    found = retrieval.top_passages(p, q, 3)
+    assert found.count() == 2 * 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [r["doc"] for r in docs.bm25_search(p, q, 2).orderBy("query_id", "rank").collect()] == [0, 1, 77, 0]

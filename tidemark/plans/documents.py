@@ -113,15 +113,39 @@ def _manual(x: Data):
 
 
 def _manual_queries(x: Data):
-    """Queries of three kinds: a section's number, its title, plain words."""
-    p = x.t("part", "p_partkey", "p_name", "p_type", "p_size").where(F.col("p_size") == 1)
+    """Every part asks, in one of three ways: by its section's number, by its title, in plain words."""
+    p = x.t("part", "p_partkey", "p_name", "p_type", "p_size")
     kind = F.col("p_partkey") % 3
-    q = (F.when(kind == 0, F.concat(F.lit("what is in 2.1 about "), "p_name"))
+    number = F.concat((F.col("p_size") % 9 + 1).cast("string"), F.lit("."), F.col("p_size").cast("string"))
+    q = (F.when(kind == 0, F.concat(F.lit("what is in "), number, F.lit(" about "), "p_name"))
          .when(kind == 1, F.concat(F.lower("p_type"), F.lit(" list "), "p_name")).otherwise(F.col("p_name")))
     return p.select(F.col("p_partkey").alias("query_id"), q.alias("query"))
 
 
-@query("m4_section_search")
+_SIZE = "(p_size % 50 + 1)"
+_MANUAL = f"""pa AS (SELECT p_brand AS doc, CAST(p_partkey // 200 AS INT) AS page, p_partkey AS seq, (p_size % 9 + 1) || '.' || p_size AS number,
+  (p_size % 9 + 1) || '.' || p_size || ' ' || upper(p_type[1]) || lower(p_type[2:]) || ' List' AS section,
+  p_name || chr(10) || 'codes are in Appendix section ' || ({_SIZE} % 9 + 1) || '.' || {_SIZE} AS text FROM part),
+qu AS (SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'what is in ' || (p_size % 9 + 1) || '.' || p_size || ' about ' || p_name
+  WHEN 1 THEN lower(p_type) || ' list ' || p_name ELSE p_name END AS query FROM part)"""
+
+# a section is named by its number among the query's words, or by all words of its title
+_SECTIONS = f"""{_MANUAL}, {_DOC_BM25.replace("SELECT item_id AS query_id", "SELECT query_id").replace(_tok("text"), _tok("query")).replace("FROM benchmark", "FROM qu")},
+se AS (SELECT DISTINCT section, number, {_tok("regexp_replace(section, '^[0-9.]+ ', '')")} AS title FROM pa),
+qw AS (SELECT query_id, string_split(query, ' ') AS parts, {_tok("query")} AS words FROM qu),
+nm AS (SELECT query_id, section FROM se JOIN qw ON list_contains(parts, number) OR list_has_all(words, title)),
+al AS (SELECT query_id, doc, page, seq, sum(score) AS score FROM (SELECT query_id, doc, page, seq, score FROM sc
+  UNION ALL SELECT query_id, doc, page, seq, 0 FROM nm JOIN pa USING (section)) GROUP BY ALL),
+bo AS (SELECT al.query_id, al.doc, al.page, al.seq, pa.section, pa.text, nm.section IS NOT NULL AS named, al.score + if(nm.section IS NULL, 0, 20) AS score
+  FROM al JOIN pa USING (doc, page, seq) LEFT JOIN nm ON nm.query_id = al.query_id AND nm.section = pa.section),
+be AS (SELECT * FROM bo QUALIFY row_number() OVER (PARTITION BY query_id, doc, page, section, if(named, -1, seq) ORDER BY round(score, 9) DESC, seq) = 1),
+wh AS (SELECT doc, page, section, number, min(seq) AS seq, string_agg(text, chr(10) ORDER BY seq) AS whole FROM pa GROUP BY ALL),
+hi AS (SELECT be.*, if(named, whole, text) AS shown, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc, page, be.seq) AS rank
+  FROM be JOIN wh USING (doc, page, section) QUALIFY rank <= 3)"""
+
+
+@query("m4_section_search", f"""WITH {_SECTIONS}
+SELECT {n('query_id', 'query_id')}, {n('rank', 'rank')}, doc, {n('page', 'page')}, section, {r('score', 'score')}, {n('length(shown)', 'chars')} FROM hi""")
 def _(x: Data):
     s = D.section_search(_manual(x), _manual_queries(x), 3, follow=0)
     return s.select("query_id", "rank", "doc", "page", "section", "score", F.length("text").alias("chars"))
@@ -137,7 +161,17 @@ def _(x: Data):
     return w.select("doc", "page", "section", "seq", F.floor(lines / 2).alias("passages"))
 
 
-@query("m5_cross_references")
+@query("m5_cross_references", rf"""WITH {_SECTIONS},
+rf AS (SELECT query_id, rank, doc, unnest(ids) AS number, unnest(range(len(ids))) AS nth FROM (SELECT query_id, rank, doc,
+  list_transform(list_filter(found, lambda f, i: list_position(found, f) = i), lambda f: f) AS ids
+  FROM (SELECT query_id, rank, doc, regexp_extract_all(shown, '(?i)Appendix\s+section\s+(\d+(?:\.\d+)+)', 1) AS found FROM hi))),
+nx AS (SELECT * FROM wh QUALIFY row_number() OVER (PARTITION BY doc, number ORDER BY page, seq) <= 5),
+li AS (SELECT rf.query_id, rf.rank, rf.nth, nx.doc, nx.page, nx.section, nx.seq FROM rf JOIN nx USING (doc, number)
+  ANTI JOIN (SELECT query_id, doc, page, section FROM hi WHERE named) sh
+  ON sh.query_id = rf.query_id AND sh.doc = nx.doc AND sh.page = nx.page AND sh.section = nx.section),
+on_ AS (SELECT * FROM li QUALIFY row_number() OVER (PARTITION BY query_id, doc, page, section ORDER BY rank, nth) = 1),
+fo AS (SELECT * FROM on_ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, nth, page, seq) <= 2)
+SELECT {n('query_id', 'query_id')}, {n('rank', 'followed_from')}, doc, {n('page', 'page')}, section FROM fo""")
 def _(x: Data):
     s = D.section_search(_manual(x), _manual_queries(x), 3, follow=2)
     return s.where(F.col("followed_from").isNotNull()).select("query_id", "followed_from", "doc", "page", "section")
