@@ -1,16 +1,14 @@
 """Level shifts and structural breaks of aggregated series (inventory C4, C5, C15, C16).
 
-A series has one value per period or date, so the calendar bounds it; scores are window expressions, and only the
-order-sensitive choice among candidates runs in Python, one series at a time.
+A series has one value per period or date, so the calendar bounds it; scores are window expressions, and the
+order-sensitive choice among candidates is a fold over a series' candidates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import count_if, period, require_columns
@@ -46,46 +44,47 @@ def shift_scores(series: DataFrame, window: int, key: str = "series", at: str =
                     (F.abs(F.col("after_median") - F.col("before_median")) / scale).alias("score"))
 
 
-def _split_point(v: np.ndarray, i: int, w: int) -> int:
-    """Position near i whose two sides (within one window) differ most in mean, weighted by their sizes."""
-    lo, hi = max(0, i - w), min(len(v), i + w)
-    cand = np.arange(max(lo + 1, i - w // 2), min(hi - 1, i + w // 2) + 1)
-    known = ~np.isnan(v[lo:hi])
-    count = np.concatenate([[0], np.cumsum(known)])
-    total = np.concatenate([[0.0], np.cumsum(np.where(known, v[lo:hi], 0.0))])
-    left, right = count[cand - lo], count[-1] - count[cand - lo]
-    ok = (left > 0) & (right > 0)
-    if not ok.any():
-        return i
-    cand, left, right = cand[ok], left[ok], right[ok]
-    gap = total[cand - lo] / left - (total[-1] - total[cand - lo]) / right
-    return int(cand[np.argmax(left * right / (left + right) * gap ** 2)])
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def _split_point(values: Column, i: Column, w: int) -> Column:
+    """Position near i whose two sides (within one window) differ most in mean, weighted by their sizes; the first of equals
+    (to nine digits)."""
+    lo, hi = F.greatest(F.lit(0), i - w), F.least(F.size(values), i + w)
+    first, last = F.greatest(lo + 1, i - w // 2), F.least(hi - 1, i + w // 2)
+
+    def parted(at: Column) -> Column:
+        left = F.filter(F.slice(values, lo + 1, at - lo), F.isnotnull)
+        right = F.filter(F.slice(values, at + 1, hi - at), F.isnotnull)
+        sides = F.struct(F.size(left).alias("l"), F.size(right).alias("r"), _total(left).alias("ls"), _total(right).alias("rs"))
+        return F.transform(F.array(sides), lambda x: F.when((x["l"] > 0) & (x["r"] > 0), F.struct(
+            (-F.round(x["l"] * x["r"] / (x["l"] + x["r"]) * F.pow(x["ls"] / x["l"] - x["rs"] / x["r"], F.lit(2.0)), 9)).alias("less"), at.alias("at"))))[0]
+    places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    return F.coalesce(F.array_min(F.transform(places, parted))["at"], i)
 
 
 def level_shifts(series: DataFrame, window: int, k: int = MAX_BREAKS, min_score: float = MIN_SCORE,
                  key: str = "series", at: str = "period", value: str = "value") -> DataFrame:
     """C4/C5. The strongest shifts of each series, at most k, none within a window of a stronger one, each dated at
-    the split that best separates the two sides."""
+    the split that best separates the two sides.  A fold over a series' candidates, strongest first, chooses them."""
     scores = shift_scores(series, window, key, at, value).select(key, at, "score", "before_median", "after_median")
     whole = series.select(key, at, F.col(value).cast("double").alias("value")).join(
         scores.where(F.col("score") >= min_score), [key, at], "left")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at).reset_index(drop=True)
-        values, found = pdf["value"].to_numpy(float), []
-        ranked = pdf[pdf["score"].notna()].assign(pos=lambda d: d.index).sort_values(
-            ["score", "pos"], ascending=False)
-        for c in ranked.itertuples():
-            if len(found) < k and all(abs(c.pos - f[0]) >= window for f in found):
-                found.append((c.pos, c.score, c.before_median, c.after_median))
-        rows = [(pdf[key].iloc[0], pdf[at].iloc[_split_point(values, p, window)], b, a,
-                 100 * (a - b) / abs(b) if b else None, s) for p, s, b, a in found]
-        return pd.DataFrame(rows, columns=[key, at, "before_median", "after_median", "change_pct", "score"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
-    return whole.groupBy(key).applyInPandas(
-        choose, f"{key} {kinds[key]}, {at} {kinds[at]}, before_median double, after_median double, "
-                "change_pct double, score double")
+    rows = whole.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at, "value", "score", "before_median", "after_median"))).alias("_rows"))
+    rows = rows.withColumn("_values", F.col("_rows.value"))
+    ranked = F.array_sort(F.filter(F.transform("_rows", lambda x, i: F.struct((-x["score"]).alias("less"), (-i).alias("later"))),
+                                   lambda c: c["less"].isNotNull()))
+
+    def keep(found: Column, c: Column) -> Column:
+        free = (F.size(found) < k) & F.forall(found, lambda f: F.abs(f + c["later"]) >= window)
+        return F.when(free, F.array_append(found, -c["later"])).otherwise(found)
+    found = F.aggregate(ranked, F.array().cast("array<int>"), keep)
+    rows = rows.select(key, "_rows", "_values", F.explode(found).alias("_pos"))
+    chosen, split = F.get("_rows", F.col("_pos")), F.get("_rows", _split_point(F.col("_values"), F.col("_pos"), window))
+    before, after = chosen["before_median"], chosen["after_median"]
+    return rows.select(key, split[at].alias(at), before.alias("before_median"), after.alias("after_median"),
+                       (100 * (after - before) / F.nullif(F.abs(before), F.lit(0.0))).alias("change_pct"), chosen["score"].alias("score"))
 
 
 BREAK_STATS = ("rows", "entities", "median", "p90", "null_share")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import count_if, pearson, pearson_sums, safe_div, share
-from tidemark.operators.breaks import level_shifts
+from tidemark.operators.breaks import MIN_SCORE, level_shifts
 from tidemark.operators.explore import variance_split
 from tidemark.operators.features import NEUTRALIZING, lineage
 from tidemark.operators.order import quantiles, rank_columns, with_rank
@@ -148,11 +148,11 @@ def stability_series(panel: DataFrame, x: str, bounded: bool = False) -> DataFra
     return n.join(q, "date", "left")
 
 
-def stability_breaks(series: DataFrame, window: int) -> DataFrame:
+def stability_breaks(series: DataFrame, window: int, min_score: float = MIN_SCORE) -> DataFrame:
     """I3. Level shifts of the cross-sectional median and of coverage."""
     long = series.select("date", "median", F.col("n").cast("double").alias("coverage")).unpivot(
         ["date"], ["median", "coverage"], "series", "value")
-    return level_shifts(long, window, at="date")
+    return level_shifts(long, window, min_score=min_score, at="date")
 
 
 def stability(panel: DataFrame, x: str, lags: Sequence[int] = (1, 5, 20), edge: int = 250,

@@ -8,6 +8,7 @@ from tidemark.functions.scalars import period
 from tidemark.operators import breaks as B
 from tidemark.operators import explore as X
 from tidemark.operators import flags as G
+from tidemark.plans import statsql
 from tidemark.plans.bindings import Data
 from tidemark.plans.registry import d, n, query, r
 
@@ -86,7 +87,11 @@ def _(x: Data):
     return B.shift_scores(_quantity_series(x), 6)
 
 
-@query("c5_level_shifts")   # greedy choice among candidates; checked by brute force in the tests
+_QUANTITY = """sv AS (SELECT l_returnflag AS series, CAST(date_trunc('month', l_shipdate) AS DATE) AS p, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"""
+_BREAKS = f"""{r('before_median', 'before_median')}, {r('after_median', 'after_median')}, {r('change_pct', 'change_pct')}, {r('score', 'score')} FROM br"""
+
+
+@query("c5_level_shifts", f"WITH RECURSIVE {_QUANTITY}, {statsql.shifts_sql(6, 1.0)} SELECT series, {d('period', 'period')}, {_BREAKS}")
 def _(x: Data):
     return B.level_shifts(_quantity_series(x), 6, min_score=1.0)
 
@@ -276,7 +281,8 @@ def _(x: Data):
     return _late_stats(x)
 
 
-@query("c15_structural_breaks")
+@query("c15_structural_breaks", f"""WITH RECURSIVE {_STATS}, sv AS (SELECT series, period AS p, value AS v FROM ps),
+{statsql.shifts_sql(5, 4.0)} SELECT series, {d('period', 'period')}, {_BREAKS}""")
 def _(x: Data):
     return B.structural_breaks(_late_gaps(x), "l_shipdate", "tax", "l_suppkey", "M", window=5)
 
@@ -292,7 +298,13 @@ def _(x: Data):
     return B.zero_until(_late_stats(x))
 
 
-@query("c16_break_clusters")
+@query("c16_break_clusters", f"""WITH RECURSIVE {_QUANTITY}, {statsql.shifts_sql(6, 1.0)},
+dd AS (SELECT period, sum(CASE WHEN gap <= 62 THEN 0 ELSE 1 END) OVER (ORDER BY period) AS cluster
+  FROM (SELECT period, period - lag(period) OVER (ORDER BY period) AS gap FROM (SELECT DISTINCT period FROM br))),
+nc AS (SELECT br.series, period, cluster, min(period) OVER (PARTITION BY cluster) AS start FROM br JOIN dd USING (period))
+SELECT {n('cluster', 'cluster')}, {d('min(period)', 'first_date')}, {d('max(period)', 'last_date')},
+string_agg(DISTINCT series, ', ' ORDER BY series) FILTER (period - start <= 62) AS statistics,
+string_agg(DISTINCT strftime(period, '%Y-%m'), ', ' ORDER BY strftime(period, '%Y-%m')) AS months FROM nc GROUP BY cluster""")
 def _(x: Data):
     return B.break_clusters(B.level_shifts(_quantity_series(x), 6, min_score=1.0))
 

@@ -175,9 +175,12 @@ def _(x: Data):
     return C.stability(x.panel, "qty", edge=24, bounded=True)
 
 
-@query("i3_stability_breaks")
+@query("i3_stability_breaks", f"""WITH RECURSIVE {_SERIES}, sv AS (SELECT 'median' AS series, date AS p, med AS v FROM sr
+  UNION ALL SELECT 'coverage', date, CAST(n AS DOUBLE) FROM sr), {statsql.shifts_sql(6, 1.0)}
+SELECT series, {d('period', 'date')}, {r('before_median', 'before_median')}, {r('after_median', 'after_median')}, {r('change_pct', 'change_pct')},
+{r('score', 'score')} FROM br""")
 def _(x: Data):
-    return C.stability_breaks(C.stability_series(x.panel, "qty", bounded=True), 6)
+    return C.stability_breaks(C.stability_series(x.panel, "qty", bounded=True), 6, min_score=1.0)
 
 
 @query("i4_compare_representations", f"""WITH {_RHO}, {_acf('lg', (5,))},

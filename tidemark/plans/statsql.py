@@ -155,3 +155,28 @@ def horizons_sql(tag: str, source: str, cols: Sequence[str], horizons: Sequence[
 
 NW = "greatest(5, {0})"
 STATS = ", ".join([r("mean", "mean_ic"), r("t", "t_nw")])
+
+
+def shifts_sql(window: int, least: float, k: int = 3) -> str:
+    """Level shifts of the relation sv (series, p, v) as the relation br; candidates are gone through one at a time."""
+    near = f"greatest(0, i - {window})", f"least(c, i + {window})"
+    return f"""ix AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY p) - 1 AS pos, count(*) OVER (PARTITION BY series) AS c,
+  list(v) OVER (PARTITION BY series ORDER BY p ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING) AS b0,
+  list(v) OVER (PARTITION BY series ORDER BY p ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS a0 FROM sv),
+kn AS (SELECT *, list_filter(b0, lambda t: t IS NOT NULL) AS b, list_filter(a0, lambda t: t IS NOT NULL) AS a FROM ix),
+md AS (SELECT *, list_median(b) AS mb, list_median(a) AS ma FROM kn WHERE pos >= {window} AND pos <= c - {window} AND len(b) >= {window // 2} AND len(a) >= {window // 2}),
+sh AS (SELECT *, abs(ma - mb) / greatest(1.4826::DOUBLE * list_median(list_concat(list_transform(b, lambda t: abs(t - mb)),
+  list_transform(a, lambda t: abs(t - ma)))), 1e-9 + 0.01::DOUBLE * abs(mb)) AS score FROM md),
+ca AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY score DESC, pos DESC) AS r FROM sh WHERE score >= {least}),
+gr AS (SELECT DISTINCT series, 0::BIGINT AS r, []::BIGINT[] AS chosen FROM ca
+  UNION ALL SELECT gr.series, ca.r, CASE WHEN len(chosen) < {k} AND len(list_filter(chosen, lambda x: abs(x - ca.pos) < {window})) = 0
+    THEN list_append(chosen, ca.pos) ELSE chosen END FROM gr JOIN ca ON ca.series = gr.series AND ca.r = gr.r + 1),
+ch AS (SELECT series, unnest(arg_max(chosen, r)) AS i FROM gr GROUP BY series),
+sg AS (SELECT ch.series, i, c, {near[0]} AS lo, {near[1]} AS hi FROM ch JOIN (SELECT series, max(c) AS c FROM ix GROUP BY 1) USING (series)),
+cu AS (SELECT *, unnest(range(greatest(lo + 1, i - {window // 2}), least(hi - 1, i + {window // 2}) + 1)) AS j FROM sg),
+sd AS (SELECT cu.series, i, j, count(v) FILTER (pos < j) AS lc, count(v) FILTER (pos >= j) AS rc, avg(v) FILTER (pos < j) AS lm, avg(v) FILTER (pos >= j) AS rm
+  FROM cu JOIN ix ON ix.series = cu.series AND ix.pos >= lo AND ix.pos < hi GROUP BY 1, 2, 3 HAVING lc > 0 AND rc > 0),
+sp AS (SELECT series, i, j FROM sd QUALIFY row_number() OVER (PARTITION BY series, i ORDER BY round(lc * rc / (lc + rc) * (lm - rm) * (lm - rm), 9) DESC, j) = 1),
+br AS (SELECT ch.series, dt.p AS period, sh.mb AS before_median, sh.ma AS after_median, 100 * (sh.ma - sh.mb) / nullif(abs(sh.mb), 0) AS change_pct, sh.score
+  FROM ch JOIN sh ON sh.series = ch.series AND sh.pos = ch.i LEFT JOIN sp ON sp.series = ch.series AND sp.i = ch.i
+  JOIN ix dt ON dt.series = ch.series AND dt.pos = coalesce(sp.j, ch.i))"""
