@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +19,7 @@ from tidemark.specs import CONTROLS, HORIZONS, Finding
 MIN_NAMES = 20
 MIN_DATES = 10   # a t-statistic needs at least this many dates
 T_BAR = 2.0
+DEPENDENT = 1e-10   # share of a control's variation that must be its own
 
 
 def _and_known(*cols: str) -> Column:
@@ -37,13 +36,32 @@ def centered_rank(df: DataFrame, x: str, out: str, keys: Sequence[str] = (), bou
     return d.withColumn(out, F.col("_pct") - 0.5 * (1 + safe_div(F.lit(1.0), F.col("_cnt")))).drop("_pct", "_cnt")
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
-    """Least-squares coefficients from cross-products, one small system per row."""
-    def one(a, b):
-        b = np.asarray(b, float)
-        return (np.linalg.pinv(np.asarray(a, float).reshape(len(b), len(b)), rcond=1e-10, hermitian=True) @ b).tolist()
-    return pd.Series([one(a, b) for a, b in zip(xx, xy)])
+def _swept(state: Column, turn: Column) -> Column:
+    """One elimination: the unused control that varies most beside those used clears its column from every other row."""
+    size = F.size(state["used"])
+    left = F.transform(state["m"], lambda row, i: F.struct(F.when(F.get(state["used"], i), F.lit(-1.0)).otherwise(F.get(row, i)).alias("most"), (-i).alias("first")))
+    best = F.array_max(left)
+    at = -best["first"]
+    pivot = F.get(state["m"], at)
+    # what is left of a control that the others explain is rounding
+    goes = best["most"] > DEPENDENT * F.get(state["scale"], at)
+
+    def cleared(row: Column, i: Column) -> Column:
+        times = F.when(i == at, F.lit(0.0)).otherwise(F.get(row, at) / F.get(pivot, at))
+        return F.transform(row, lambda v, j: v - times * F.get(pivot, j))
+    m = F.when(goes, F.transform(state["m"], cleared)).otherwise(state["m"])
+    used = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get(state["used"], i) | (goes & (i == at)))
+    return F.struct(m.alias("m"), used.alias("used"), state["scale"].alias("scale"))
+
+
+def solved(products: Column, size: int) -> Column:
+    """Least-squares coefficients from cross-products, rows (xx, xy) of ``size`` controls: a pivoted Cholesky elimination as a
+    fold.  A control that the others explain gets 0, which leaves the fit as it is."""
+    start = F.struct(products.alias("m"), F.array(*[F.lit(False)] * size).alias("used"),
+                     F.transform(products, lambda row, i: F.get(row, i)).alias("scale"))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(size)), start, _swept, lambda s: F.transform(
+        s["m"], lambda row, i: F.when(F.get(s["used"], i), F.get(row, F.lit(size)) / F.get(row, i)).otherwise(F.lit(0.0))))
+    return done
 
 
 def residualize(df: DataFrame, x: str, controls: Sequence[str], out: str = "resid", keys: Sequence[str] = (),
@@ -51,7 +69,7 @@ def residualize(df: DataFrame, x: str, controls: Sequence[str], out: str = "resi
     """J12. The feature's same-date rank net of the controls' ranks and, with "sector" among them, of sector means.
 
     Only rows complete in all of them are ranked; the rest, and dates with too few names, get null.  Demeaning by sector
-    (or date) turns the fit into one small system per date, which is all that leaves the JVM.
+    (or date) turns the fit into one small system per date, solved in column expressions.
     """
     num = [c for c in controls if c != "sector"]
     need = [x, *num, *(["sector"] if "sector" in controls else [])]
@@ -68,9 +86,8 @@ def residualize(df: DataFrame, x: str, controls: Sequence[str], out: str = "resi
     y = F.col("_d0")
     if num:
         xs = [F.col(f"_d{i + 1}") for i in range(len(num))]
-        prods = d.groupBy(*by).agg(F.array(*[F.sum(a * b) for a in xs for b in xs]).alias("_xx"),
-                                   F.array(*[F.sum(a * y) for a in xs]).alias("_xy"))
-        beta = prods.select(*by, _solve("_xx", "_xy").alias("_beta"))
+        prods = d.groupBy(*by).agg(F.array(*[F.array(*[F.sum(a * b) for b in (*xs, y)]) for a in xs]).alias("_xx"))
+        beta = prods.select(*by, solved(F.col("_xx"), len(xs)).alias("_beta"))
         d = d.join(beta, by)
         fit = F.lit(0.0)
         for i, c in enumerate(xs):

@@ -126,7 +126,25 @@ def _(x: Data):
     return f.where(F.col("resid").isNotNull()).select("date", "entity", "resid")
 
 
-@query("j12_residualize_all")   # five controls and sectors; checked against least squares in the tests
+# five controls and sectors: each control in turn is projected out of the later ones and of the feature
+_FIVE = ("size", "reversal", "momentum", "beta", "dollar_adv")
+
+
+def _orthogonal() -> str:
+    known = " AND ".join(f"{c} IS NOT NULL" for c in (_X, "sector", *_FIVE))
+    names = ["y", *(f"z{i}" for i in range(len(_FIVE)))]
+    steps = [f"""g0 AS (SELECT date, entity, sector, count(*) OVER (PARTITION BY date) AS k,
+  {", ".join(f"{_centered(c, 'date')} AS {v}" for c, v in zip((_X, *_FIVE), names, strict=True))} FROM disc WHERE {known}),
+h0 AS (SELECT date, entity, {", ".join(f"{v} - avg({v}) OVER (PARTITION BY date, sector) AS {v}" for v in names)} FROM g0 WHERE k >= 20)"""]
+    for i in range(len(_FIVE)):
+        own = f"sum(z{i} * z{i}) OVER (PARTITION BY date)"
+        out = [f"{v} - CASE WHEN {own} > 1e-9 THEN z{i} * sum({v} * z{i}) OVER (PARTITION BY date) / {own} ELSE 0 END AS {v}"
+               for v in ("y", *(f"z{j}" for j in range(i + 1, len(_FIVE))))]
+        steps.append(f"h{i + 1} AS (SELECT date, entity, {', '.join(out)} FROM h{i})")
+    return ",\n".join(steps)
+
+
+@query("j12_residualize_all", f"WITH {_orthogonal()} SELECT {d('date', 'date')}, entity, {r('y', 'resid')} FROM h{len(_FIVE)}")
 def _(x: Data):
     f = P.residualize(x.discovery(_X), _X, ["size", "reversal", "momentum", "beta", "dollar_adv", "sector"], bounded=True)
     return f.where(F.col("resid").isNotNull()).select("date", "entity", "resid")
@@ -468,12 +486,19 @@ def _(x: Data):
                     F.round("capacity_per_leg_usd", 2).alias("capacity_per_leg_usd"))
 
 
-def _check_sql(segment: str, source: str) -> str:
-    legs_ = _PERIODS.replace("FROM disc", f"FROM {source}")
-    return f"""(WITH {legs_}, {_portfolio_sql(2).format(keys=f"'raw_2' AS finding, '{segment}' AS segment, ", cap=r(_CAP, 'capacity_per_leg_usd', 4))})"""
+def _check_sql(segment: str, source: str, f: Finding) -> str:
+    head, rows, sig = "", source, f.feature
+    if f.controls:   # sectors: the signal is what they leave of the rank
+        head, rows, sig = f"""sg AS (SELECT t.*, signal FROM {source} t JOIN (SELECT date, entity, round(y0 - avg(y0) OVER (PARTITION BY date, sector), 12) AS signal
+  FROM (SELECT date, entity, sector, {_centered(sig, 'date')} AS y0, count(*) OVER (PARTITION BY date) AS k FROM {source}
+    WHERE {sig} IS NOT NULL AND sector IS NOT NULL) WHERE k >= 20) USING (date, entity)), """, "sg", "signal"
+    periods = _PERIODS.replace(_LEGS, _legs_sql(rows, sig, f.horizon, f.sign))
+    keys = f"'{f.name}' AS finding, '{segment}' AS segment, "
+    return f"""(WITH {head}{periods}, {_portfolio_sql(f.horizon).format(keys=keys, cap=r(_CAP, 'capacity_per_leg_usd', 4))})"""
 
 
-@query("k8_cost_check", f"SELECT * FROM {_check_sql('discovery', 'disc')} UNION ALL SELECT * FROM {_check_sql('validation', 'vali')}", digits=4)
+@query("k8_cost_check", "\nUNION ALL ".join(f"SELECT * FROM {_check_sql(s, t, f)}" for f in _FINDINGS
+                                            for s, t in (("discovery", "disc"), ("validation", "vali"))), digits=4)
 def _(x: Data):
-    segments = {s: x.segment(s, _X) for s in ("discovery", "validation")}
-    return K.cost_check(_FINDINGS[:1], segments, bounded=True)
+    segments = {s: x.segment(s, "qty_surprise", "price_rel") for s in ("discovery", "validation")}
+    return K.cost_check(_FINDINGS, segments, bounded=True)

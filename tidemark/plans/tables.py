@@ -12,11 +12,10 @@ from tidemark.specs import definition_hash
 
 
 @query("a1_read_table", f"""SELECT l_returnflag, l_linestatus, {n('count(*)', 'n')}, {r('sum(l_quantity)', 'qty')}
-FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1, 2""")
+FROM lineitem GROUP BY 1, 2""")
 def _(x: Data):
-    li = x.t("lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate")
-    return li.where(F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp")).groupBy(
-        "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"))
+    li = x.t("lineitem", "l_returnflag", "l_linestatus", "l_quantity")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"))
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
