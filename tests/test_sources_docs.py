@@ -114,10 +114,36 @@ def test_sink_records_what_it_wrote(spark, tmp_path):
 def test_frozen_features_are_named_by_their_definition(spark, tmp_path):
     panel = spark.createDataFrame([(D(2024, 1, i), "A", float(i)) for i in range(1, 6)], "date date, entity string, x double")
     specs = [FeatureSpec("dx", "change", ("x",), 1)]
-    path, m = tables.freeze_features(panel, specs, ["dx"], str(tmp_path))
-    assert re.fullmatch(r"[0-9a-f]{12}", path.rsplit("/", 1)[1]) and m.first().rows == 5
+    name, m = tables.freeze_features(panel, specs, ["dx"], str(tmp_path))
+    assert re.fullmatch(r"[0-9a-f]{12}", name) and m.first().rows == 5
     other, _ = tables.freeze_features(panel, [FeatureSpec("dx", "change", ("x",), 2)], ["dx"], str(tmp_path))
-    assert other != path
+    assert other != name and tables.commits(spark, str(tmp_path)).count() == 2
+    later = panel.unionByName(panel.withColumn("entity", F.lit("B")))
+    assert tables.freeze_features(later, specs, ["dx"], str(tmp_path))[1].first() == m.first()   # frozen
+    assert tables.read_published(spark, str(tmp_path), name).count() == 5
+
+
+def test_only_what_was_written_whole_is_published(spark, tmp_path, monkeypatch):
+    path, df = str(tmp_path / "t"), spark.range(100).withColumn("part", F.col("id") % 3)
+    assert tables.commits(spark, path).count() == 0
+    with pytest.raises(ValueError, match="no commit"):
+        tables.read_published(spark, path, "a")
+    whole, calls = tables.content_hash, []
+
+    def torn(d):
+        calls.append(d)
+        return whole(d) + (1 if len(calls) == 2 else 0)     # the read-back sees something else
+    monkeypatch.setattr(tables, "content_hash", torn)
+    with pytest.raises(OSError, match="nothing is published"):
+        tables.publish(df, path, "a")
+    assert tables.commits(spark, path).count() == 0
+    monkeypatch.setattr(tables, "content_hash", whole)
+    first = tables.publish(df, path, "a", ["x"], "me", ["part"]).first()
+    boom = spark.range(1).select(F.raise_error(F.lit("computed")).cast("long").alias("id"))
+    assert tables.publish(boom, path, "a").first() == first and first.rows == 100 and first.sources == ["x"]
+    assert sorted(r["id"] for r in tables.read_published(spark, path, "a").collect()) == list(range(100))
+    tables.publish(df.limit(0), path, "empty")
+    assert tables.read_published(spark, path, "empty").count() == 0 and tables.commits(spark, path).count() == 2
 
 
 def test_nan_is_missing_after_reading(spark, tmp_path):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators.features import build_features
 from tidemark.plans.bindings import SPECS, Data
 from tidemark.plans.registry import d, n, query, r
+from tidemark.session import shared_folder
 from tidemark.sources import prices, readers, tables
 from tidemark.specs import definition_hash
 
@@ -279,17 +282,27 @@ def _(x: Data):
     return prices.crosscheck_returns(a, b, "entity")
 
 
-@query("a18_manifest", f"SELECT 'orders' AS path, {n('count(*)', 'rows')}, TRUE AS hashed FROM orders")
+_CELLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("a18_manifest", f"""SELECT {n('count(*)', 'rows')}, {n('count(*)', 'told')}, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {', '.join(_CELLS)},
+  CAST(round(o_totalprice * 100) AS BIGINT), CAST(epoch(o_orderdate) AS BIGINT))), 1, 15) AS BIGINT)) AS VARCHAR) AS digest, TRUE AS unchanged FROM orders""")
 def _(x: Data):
-    m = tables.manifest_of(x.t("orders"), "orders", ["orders"], "check")
-    return m.select("path", "rows", F.col("content_hash").isNotNull().alias("hashed"))
+    o, path = x.t("orders"), f"{shared_folder(x.spark)}/published-{uuid.uuid4().hex}"
+    first = tables.publish(o, path, "orders", ["orders"], "check").first()
+    again = tables.publish(o.limit(1), path, "orders", ["orders"], "check").first()   # the key has its commit
+    held = tables.read_published(x.spark, path, "orders")
+    cells = [*_CELLS, F.round(F.col("o_totalprice") * 100).cast("long"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))]
+    return held.agg(F.count(F.lit(1)).alias("rows"), F.lit(first["rows"]).alias("told"), tables.text_digest(*cells).alias("digest"),
+                    F.lit(first == again).alias("unchanged"))
 
 
 _FROZEN = ("unit_price", "qty_load")
 
 
-@query("a19_frozen_features", f"""SELECT '{definition_hash(list(SPECS))}' AS definition, {d('date', 'date')}, entity,
+@query("a19_frozen_features", f"""SELECT '{definition_hash([*SPECS, *_FROZEN])}' AS definition, {d('date', 'date')}, entity,
 {r('px / nullif(qty, 0)', 'unit_price')}, {r('qty / nullif(adv_proxy, 0)', 'qty_load')} FROM panel""")
 def _(x: Data):
-    f = build_features(x.panel, SPECS, _FROZEN, bounded=True)
-    return f.select(F.lit(definition_hash(list(SPECS))).alias("definition"), "*")
+    path = f"{shared_folder(x.spark)}/frozen-{uuid.uuid4().hex}"
+    h, _ = tables.freeze_features(x.panel, SPECS, _FROZEN, path, bounded=True)
+    return tables.read_published(x.spark, path, h).select(F.lit(h).alias("definition"), "*")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,9 +84,63 @@ def write_with_manifest(df: DataFrame, path: str, sources: Sequence[str] = (), p
     return row
 
 
+_COMMITS = "key string, folder string, producer string, sources array<string>, rows long, content_hash string, committed timestamp"
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """A18. What has been published at a path; nothing where nothing has."""
+    try:
+        return spark.read.schema(_COMMITS).parquet(f"{path.rstrip('/')}/commits")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _COMMITS)
+
+
+def _committed(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The commit of a key; of several writers that were at it together, the first."""
+    return commits(spark, path).where(F.col("key") == key).orderBy("committed", "folder").limit(1)
+
+
+def publish(df: DataFrame, path: str, key: str, sources: Sequence[str] = (), producer: str = "tidemark",
+            partition_by: Sequence[str] = ()) -> DataFrame:
+    """A18. Publishes the rows under a key, and returns the commit: key, folder, producer, sources, rows, content_hash, committed.
+
+    The tasks that write report their rows and hashes, so the count of a task that was lost is that of its repetition.
+    The written files are read again; only if they hold what was reported is a commit appended, and only what has a
+    commit is ever read.  A key that has one is left as it is, and nothing is computed.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    if _committed(spark, path, key).isEmpty():
+        folder, told = f"{path}/data-{uuid.uuid4().hex}", Observation()
+        w = df.observe(told, F.count(F.lit(1)).alias("rows"), content_hash(df).cast("string").alias("content_hash")).write
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(folder)
+        held = spark.read.schema(df.schema).parquet(folder).select(*df.columns)
+        found = held.agg(F.count(F.lit(1)).alias("rows"), content_hash(held).cast("string").alias("content_hash")).first()
+        if found.asDict() != dict(told.get):
+            raise OSError(f"{folder} holds {found.asDict()}, but {dict(told.get)} was written; nothing is published")
+        row = [(key, folder, producer, list(sources), found["rows"], found["content_hash"], dt.datetime.now(dt.timezone.utc))]
+        spark.createDataFrame(row, _COMMITS).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return _committed(spark, path, key)
+
+
+def read_published(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A18. The rows published under a key."""
+    commit = _committed(spark, path, key).first()
+    if commit is None:
+        raise ValueError(f"{path} has no commit {key!r}")
+    return spark.read.parquet(commit["folder"])
+
+
+def text_digest(*cells) -> Column:
+    """An order-free digest of rows that any engine can compute: the sum of the first 60 bits of the MD5 of their cells as text."""
+    text = F.concat_ws("|", *cells)
+    return F.sum(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
 def freeze_features(panel: DataFrame, specs: Sequence[FeatureSpec], names: Sequence[str], folder: str,
                     bounded: bool = False) -> tuple[str, DataFrame]:
-    """A19. Builds the named features and writes them under the hash of their definition; (path, manifest row)."""
-    h = definition_hash(list(specs))
-    path = f"{folder.rstrip('/')}/{h}"
-    return path, write_with_manifest(build_features(panel, specs, names, bounded), path, [], "freeze_features", name=h)
+    """A19. Builds the named features and publishes them under the hash of their definition; (hash, commit).  Features
+    that are frozen are not built again."""
+    h = definition_hash([*specs, *names])
+    return h, publish(build_features(panel, specs, names, bounded), folder, h, [], "freeze_features")
