@@ -278,3 +278,13 @@ def test_cells_return_k_rows_a_query(spark):
     found = retrieval.top_passages(p, q, 3)
     assert found.count() == 2 * 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert [r["doc"] for r in docs.bm25_search(p, q, 2).orderBy("query_id", "rank").collect()] == [0, 1, 77, 0]
+
+
+def test_package_is_shipped_whole(spark):
+    from tidemark.session import ship
+
+    ship(spark)
+    def place(_):
+        import sys
+        return [p for p in sys.path if p.endswith("tidemark.zip")]
+    assert spark.sparkContext.parallelize([0], 1).flatMap(place).collect()

@@ -91,7 +91,9 @@ def _(x: Data):
                         F.upper(F.date_format("o_orderdate", "dd-MMM-yyyy"))).alias("filed"),
                     F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(
                         F.col("o_totalprice").cast("string")).alias("amount"))
-    return readers.coerce_text(text, ["filed"], ["amount"])
+    path = f"{shared_folder(x.spark)}/tsv-{uuid.uuid4().hex}"
+    text.write.csv(path, sep="\t", header=True)
+    return readers.read_tsv(x.spark, path, ["filed"], ["amount"]).withColumn("key", F.col("key").cast("long"))
 
 
 @query("a7_read_vintages", f"""SELECT series_id, {d('date', 'date')}, {d('realtime_start', 'realtime_start')},

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, for clusters whose workers do not have it installed."""
+    home = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="ship-"))   # the driver's own; Spark copies the archive to the workers
+    archive = folder / "tidemark.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    return spark
