@@ -373,3 +373,108 @@ def test_near_duplicates_are_told_by_id_and_text(spark):
     docs = table(spark, [x for _, x in rows], [i for i, _ in rows])
     kept = sorted(((r["doc_id"], r["text"]) for r in ngramjoin.drop_near_duplicates(docs).collect()), key=str)
     assert len(kept) == 9 and set(kept) - {(None, other), (None, other + " tail")} == {(3, t), (5, u), (1, s), (None, "alone in the world without any id"), (8, u + " " + much), (9, ""), (None, None)}
+
+
+def test_unknown_lines_are_refused():
+    shard = linededup.Shard()
+    keys = np.array([(1, 1), (1, 2), (5, 0)], linededup.Shard.KEY)
+    shard.insert(keys, np.array([2, 1, 3]), np.array([4, 5, 6]))
+    for bad, n in (((1, 3), 1), ((9, 9), 1), ((1, 2), 2)):
+        with pytest.raises(ValueError, match="never counted"):
+            shard.remove(np.array([(1, 1), bad], linededup.Shard.KEY), np.array([1, n]), np.array([9, 9]))
+        assert shard.refs.tolist() == [2, 1, 3] and shard.filter.contains(keys["a"]).all()
+
+
+def test_a_table_may_have_the_planted_conversation(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    long_text = "word & <|im_sep|> " * 50_000
+    rows = [(-1, 0, "user", "mine"), (-1, 1, "assistant", long_text), (3, 0, None, None)]
+    got = sorted((r["conv_id"], r["n_turns"], r["loss_chars"]) for r in chat.chat_report(spark, spark.createDataFrame(rows, schema)).collect())
+    planted = len("<|im_end|><|im_start|>assistant ok")
+    assert got == [(-1, 2, planted), (-1, 2, len(long_text)), (3, 1, 0)]
+    assert [r["conv_id"] for r in chat.chat_report(spark, spark.createDataFrame([], schema)).collect()] == [-1]
+
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+       "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_pii(text: str) -> list[str]:
+    def real(kind, value):
+        digits = [int(c) for c in value if c in "0123456789"]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in value.split("."))
+        if kind == "card":
+            twice = [d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(reversed(digits))]
+            return 13 <= len(digits) <= 19 and sum(twice) % 10 == 0
+        return kind != "phone" or 9 <= len(digits) <= 15
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PII.items() for m in re.finditer(p, text) if real(k, m.group())]
+
+
+def test_personal_data_is_what_the_patterns_say(spark):
+    hostile = ["a@b.c a@b a@b.c.d. .x@y.zz@q.rr %@-.- é.a@ö.de", "1.2.3.4.5.6.7.8 256.1.1.1 1.256.1.1 01.002.3.255 1.2.3 99999999999999999999.1.1.1",
+               "4111 1111 1111 1111 4111-1111-1111-1111 4111111111111112 0000000000000 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 4111  1111", "+1 (202) 555-0175 +12 +1..........2 ++49 30 1234567 +1-2-3-4-5-6-7-8-9",
+               "x" * 5000 + "@" + "y" * 3000 + ".z", "1" * 4000, "😀 me@x.org 😀 10.0.0.1 😀 +49 170 1234567", "a@b.c" * 50, "5500005555555559 5500005555555559"]
+    texts = [*EDGES, *hostile, *prose(31, 10)]
+    for r in disclosure.disclosure_report(table(spark, texts)).collect():
+        want = brute_pii(texts[r["doc_id"]] or "")
+        assert {k: r[f"n_{k}"] for k in PII} == {k: sum(s.startswith(k) for s in want) for k in PII}, texts[r["doc_id"]][:60]
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("term")] == want
+
+
+def test_positions_invert_the_integrated_schedule(spark):
+    """_time against a numerical integral of the schedule."""
+    shares = np.linspace(0, 1, 41)
+    rows = spark.createDataFrame([(float(s), k) for s in shares for k in range(len(mixing.SCHEDULES))], "s double, rank int")
+    fine = np.linspace(0, 1, 20_001)
+    for r in rows.select("*", mixing._time(F.col("s"), F.col("rank")).alias("t")).collect():
+        weight = np.interp(fine, np.linspace(0, 1, len(mixing.SCHEDULES[r["rank"]])), mixing.SCHEDULES[r["rank"]])
+        reached = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+        assert abs(np.interp(r["t"], fine, reached / reached[-1]) - r["s"]) < 1e-6
+    docs = table(spark, prose(60, 400, 30))
+    first = {r["doc_id"]: (r["positions"], r["taken"]) for r in mixing.mixture(docs).collect()}
+    order = [r["doc_id"] for r in mixing.curriculum(docs).collect()]
+    assert order == [i for _, i in sorted((p, i) for i, (ps, _) in first.items() for p in ps)]
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    """run() against plain Python, each stage on what the one before has left; the mix and the tokenizer are asked by document."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    base, tokenizer = prose(81, 60, 70), Tokenizer.from_file(packing.public_tokenizer())
+    texts = [*EDGES, *base, *(t + " tail" for t in base[:10]), *base[:5], "too short", "same " * 40]
+    texts += [f"{t}\nthis line stands in several documents\nown line number {k}" for k, t in enumerate(prose(82, 12, 50))]
+    table(spark, texts, [*range(len(texts) - 2), 3, None]).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda d: sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=str)
+    judged = {(r["doc_id"], r["n_words"], r["word_chars"]): r["kept"] for r in quality.document_quality(docs).collect()}
+    words = lambda t: WORD.findall(t or "")
+    good = [(i, t) for i, t in rows(docs) if judged[i, len(words(t)), sum(map(len, words(t)))]]
+    stages, at = {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        stages[name] = at = spark.read.parquet(f"{tmp_path}/{name}")
+    assert rows(stages["quality"]) == sorted(good, key=str) and len(good) < len(texts)
+    held = {k: t for k, (_, t) in enumerate(sorted(good, key=lambda g: (g[0] is None, g[0] or 0)))}      # a null id is the largest
+    cleaned = brute_lines(held)
+    names = sorted(good, key=lambda g: (g[0] is None, g[0] or 0))
+    lines = [(names[k][0], "\n".join(v)) for k, v in cleaned.items()]
+    assert rows(stages["lines"]) == sorted(lines, key=str)
+    links = brute_links(dict(enumerate(t for _, t in lines)))
+    unique = [g for k, g in enumerate(lines) if links[k][1] == k]
+    assert rows(stages["near_duplicates"]) == sorted(unique, key=str) and len(unique) < len(lines)
+    copies = Counter()
+    for r in mixing.mixture(stages["near_duplicates"]).collect():
+        copies[r["doc_id"]] += len(r["positions"])
+    assert Counter(i for i, _ in rows(stages["mixing"])) == +copies
+    ran = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    seen: dict = {}
+    for r in ran:
+        seen.setdefault(r["doc_id"], []).append(r)
+    assert {i: sum(r["start"] == 0 for r in x) for i, x in seen.items()} == dict(+copies)
+    for i, text in unique:
+        own = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+        assert sum(r["length"] for r in seen.get(i, [])) == copies[i] * len(own)
+        assert all(list(r["ids"]) == own[r["start"]:r["start"] + r["length"]] for r in seen.get(i, []))

@@ -87,9 +87,10 @@ def planted(spark: SparkSession) -> DataFrame:
 
 
 def chat_report(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    """Digests of what is read back from every formatted conversation, the planted one included."""
-    both = conversations.select("conv_id", "turn", "role", "text").unionByName(planted(spark))
-    out = formatted(both).withColumn("turns", read_back(F.col("formatted"))).withColumn("under_loss", loss_text(F.col("segments")))
+    """Digests of what is read back from every formatted conversation, the planted one included.  A conversation of the table
+    that has the planted one's id is a conversation, and a row, of its own."""
+    both = formatted(conversations.select("conv_id", "turn", "role", "text")).unionByName(formatted(planted(spark)))
+    out = both.withColumn("turns", read_back(F.col("formatted"))).withColumn("under_loss", loss_text(F.col("segments")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(told).alias("turns_sha256"),

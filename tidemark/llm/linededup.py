@@ -140,8 +140,11 @@ class Shard:
             self._set(np.concatenate([self.keys, keys[~old]]), np.concatenate([self.refs, refs[~old]]), np.concatenate([self.first, first[~old]]))
 
     def remove(self, keys: np.ndarray, refs: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Takes documents back; returns the keys whose smallest holder went while others remain (see ``repair``)."""
+        """Takes documents back; returns the keys whose smallest holder went while others remain (see ``repair``).  Keys that
+        the table does not hold, or not as often, are refused before anything changes."""
         at = self.find(keys)
+        if (at < 0).any() or (self.refs[at] < refs).any():
+            raise ValueError("documents to be taken back hold lines that were never counted in")
         self.refs[at] -= refs
         orphans = keys[(self.refs[at] > 0) & (self.first[at] >= first)]
         gone = self.refs <= 0
@@ -346,7 +349,7 @@ def insert_documents(state: DataFrame | None, docs: DataFrame, shards: int) -> D
 
 
 def delete_documents(state: DataFrame, removed: DataFrame, remaining: DataFrame, shards: int) -> DataFrame:
-    """The state without ``removed``, documents that it holds.  Where the smallest holder of a line goes, the next one comes
+    """The state without ``removed``, documents that it holds; others are refused.  Where the smallest holder of a line goes, the next one comes
     from the lines of ``remaining``."""
     batches = _sizes(removed)[0]
     gone = _sent(removed, batches, shards).withColumn("batch", F.lit(-1))
