@@ -1,6 +1,7 @@
 """Calendar, rules, as-of views, look-ahead, vintages and the leak matrix."""
 
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import calendar as K
 from tidemark.operators import panel as N
 from tidemark.operators import pit, signals, vintages
+from tidemark.sources import bitemporal
 from tidemark.specs import AvailabilityRule, PanelSpec, ViewRoles
 
 # Good Friday 2024-03-29 and New Year's Day are closed
@@ -196,3 +198,42 @@ def test_dates_outside_the_calendar(spark):
     assert at(K.shift_sessions(df, "d", 1, dim), "session") == [b, b, b, c, None, None, None, None]
     none = K.date_dimension(spark.createDataFrame([], "session date"))
     assert at(K.roll_forward(df, "d", none), "session") == [None] * 8
+
+
+_ARRIVED = "series_id string, date date, realtime_start date, value double"
+
+
+def _kept(df):
+    key = lambda r: tuple((x is not None, x) for x in r)
+    return sorted((tuple(r) for r in df.select(*vintages.VINTAGE).collect()), key=key)
+
+
+def test_merging_in_batches_equals_one_batch(spark, tmp_path):
+    rng = random.Random(5)
+    rows = {(f"s{rng.randint(0, 30)}", D(2024, rng.randint(1, 3), 1), D(2024, 5, rng.randint(1, 28))): float(i) for i in range(400)}
+    rows = [(*k, v) for k, v in rows.items()]
+    rng.shuffle(rows)   # late vintages split intervals
+    for name, step in (("one", len(rows)), ("many", 90)):
+        for i in range(0, len(rows), step):
+            bitemporal.merge_vintages(spark.createDataFrame(rows[i:i + step], _ARRIVED), str(tmp_path / name), f"batch-{i}", 8)
+    one, many = (bitemporal.read_vintage_table(spark, str(tmp_path / n)) for n in ("one", "many"))
+    assert _kept(one) == _kept(many) == _kept(vintages.with_realtime_end(spark.createDataFrame(rows, _ARRIVED)))
+
+
+def test_a_merge_touches_only_its_series_and_runs_once(spark, tmp_path):
+    path = str(tmp_path)
+    put = lambda rows, key: bitemporal.merge_vintages(spark.createDataFrame(rows, _ARRIVED), path, key, 16).first()
+    m, a, b, c = D(2024, 1, 1), D(2024, 2, 1), D(2024, 2, 10), D(2024, 2, 20)
+    assert bitemporal.read_vintage_table(spark, path).count() == 0
+    put([("A", m, a, 1.0), ("A", m, c, 3.0), ("B", m, a, 5.0), (None, None, None, None), ("B", m, b, None), ("B", m, b, 6.0)], "k1")
+    before, _ = bitemporal._current(spark, path)
+    second = put([("A", m, b, 2.0), ("A", m, c, 9.0)], "k2")
+    after, _ = bitemporal._current(spark, path)
+    assert sum(before[k] != after[k] for k in before) == 1 and len(second.sources) == 1
+    end = D(9999, 12, 31)
+    want = [("A", m, a, b, 1.0), ("A", m, b, c, 2.0), ("A", m, c, end, 9.0), ("B", m, a, b, 5.0), ("B", m, b, end, 6.0), (None, None, None, end, None)]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert _kept(bitemporal.read_vintage_table(spark, path)) == sorted(want, key=key)
+    assert put([("A", m, b, 77.0)], "k2") == second and _kept(bitemporal.read_vintage_table(spark, path)) == sorted(want, key=key)
+    put([], "k3")
+    assert _kept(bitemporal.read_vintage_table(spark, path)) == sorted(want, key=key)

@@ -12,6 +12,7 @@ from tidemark.functions.scalars import require_columns, safe_div, share
 from tidemark.operators.order import quantiles
 
 REVISED_BY = 1e-9
+VINTAGE = {"series_id": "string", "date": "date", "realtime_start": "date", "realtime_end": "date", "value": "double"}
 
 
 def _known(v: DataFrame, start: str | None = None) -> DataFrame:
@@ -82,3 +83,20 @@ def with_realtime_end(v: DataFrame) -> DataFrame:
     w = Window.partitionBy("series_id", "date").orderBy("realtime_start")
     open_end = F.lit("9999-12-31").cast("date")
     return v.withColumn("realtime_end", F.coalesce(F.lead("realtime_start").over(w), open_end))
+
+
+def merged(held: DataFrame, arrived: DataFrame) -> DataFrame:
+    """The vintage table with what arrived: an arrived vintage closes the interval in which it starts, and its own ends where
+    the next one starts, so that late vintages split intervals.
+
+    An arrived vintage takes the place of a held one with the same start; of several arrived ones the largest value stays,
+    null only where there is no other.  Null series, dates and starts are values like others, a null start the first.  The
+    calendar bounds an observation's vintages; one shuffle by observation serves all of it.
+    """
+    names = [c for c in VINTAGE if c != "realtime_end"]
+    rows = held.select(*names, F.lit(0).alias("_turn")).unionByName(arrived.select(*names, F.lit(1).alias("_turn")))
+    newest = Window.partitionBy("series_id", "date").orderBy("realtime_start", F.desc("_turn"), F.desc_nulls_last("value"))
+    first = F.row_number().over(newest) == 1
+    again = ~first & F.lag("realtime_start").over(newest).eqNullSafe(F.col("realtime_start"))
+    one = rows.withColumn("_again", again).where(~F.col("_again")).drop("_again", "_turn")
+    return with_realtime_end(one).select(*VINTAGE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 from functools import reduce
 
@@ -15,6 +16,8 @@ from tidemark.operators.calendar import apply_rule, session_stratum, to_exchange
 from tidemark.plans.bindings import PANEL, Data
 from tidemark.plans.calendars import _STRATA
 from tidemark.plans.registry import d, n, query, r
+from tidemark.session import shared_folder
+from tidemark.sources.bitemporal import merge_vintages, read_vintage_table
 from tidemark.specs import AvailabilityRule
 
 
@@ -245,6 +248,18 @@ def _(x: Data):
                                                                     "release_date")
 
 
+@query("f7_merged_vintages", f"""SELECT series_id, {d('date', 'date')}, {d('realtime_start', 'realtime_start')},
+strftime(realtime_end, '%Y-%m-%d') AS realtime_end, {r('value', 'value')} FROM vint""")
+def _(x: Data):
+    """Three arrivals: even days, odd days, which split the intervals of the even ones, and corrections of one day's values."""
+    path = f"{shared_folder(x.spark)}/vintages-{uuid.uuid4().hex}"
+    v, day = x.vintage_table, F.dayofmonth("realtime_start")
+    first = v.withColumn("value", F.when(day == 14, F.col("value") + 1).otherwise(F.col("value")))
+    for key, rows in (("even", first.where(day % 2 == 0)), ("odd", v.where(day % 2 == 1)), ("corrected", v.where(day == 14))):
+        merge_vintages(rows, path, key)
+    return read_vintage_table(x.spark, path)
+
+
 # ---------------------------------------------------------------- insider purchases
 _ROLES = "BUILDING|MACHINERY"
 _BUYS = """buys AS (SELECT l_orderkey AS key, sum(l_quantity * l_extendedprice) AS value, count(*) AS n_trans,
