@@ -478,3 +478,69 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
         own = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
         assert sum(r["length"] for r in seen.get(i, [])) == copies[i] * len(own)
         assert all(list(r["ids"]) == own[r["start"]:r["start"] + r["length"]] for r in seen.get(i, []))
+
+
+def _packets(pid: int, section: bytes, pointer: int = 0, counter: int = 0, tail: bytes = b"") -> bytes:
+    """Transport packets of a section that starts after ``pointer`` bytes of stuffing."""
+    body, out = bytes([pointer]) + b"\xff" * pointer + section + tail, b""
+    for k, at in enumerate(range(0, len(body), 184)):
+        head = bytes([0x47, (0x40 if k == 0 else 0) | pid >> 8, pid & 0xFF, 0x10 | (counter + k) & 15])
+        out += head + body[at:at + 184].ljust(184, b"\xff")
+    return out
+
+
+def _sealed(table: int, number: int, body: bytes, version: int = 0) -> bytes:
+    raw = bytes([table]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + number.to_bytes(2, "big") + bytes([0xC1 | version << 1, 0, 0]) + body
+    return raw + transport.checksum(raw).to_bytes(4, "big")
+
+
+def test_tables_over_several_packets():
+    payload = transport.padded(random.Random(4).randbytes(5000))
+    whole = transport.write_stream(payload)
+    pat, units, pid = whole[:188], whole[376:], transport.PMT_PID
+    # a map of one program whose descriptors take 600 bytes, so four packets
+    long_map = _sealed(2, 1, (0xE100).to_bytes(2, "big") + (0xF000 | 600).to_bytes(2, "big") + bytes(600) + b"\x06" + (0xE100).to_bytes(2, "big") + b"\xf0\x00")
+    stream = _packets(pid, long_map)
+    assert len(stream) == 4 * 188
+    for first in (stream, _packets(pid, long_map, pointer=90), stream[:188] + stream):     # a start that was broken off is begun again
+        got = transport.read_stream(pat + first + units)
+        assert got["payload"] == payload and got["errors"] == 0
+    lost = transport.read_stream(pat + stream[:188] + stream[376:] + units)
+    assert lost["payload"] == b"" and lost["errors"] == 1       # the map is missing, which is told
+    # two sections in one packet, of which the second is of another program's map, and a later version that counts
+    other = _sealed(2, 2, (0xE200).to_bytes(2, "big") + b"\xf0\x00" + b"\x06" + (0xE200).to_bytes(2, "big") + b"\xf0\x00")
+    old = _sealed(2, 1, (0xE100).to_bytes(2, "big") + b"\xf0\x00", 3)
+    new = _sealed(2, 1, (0xE100).to_bytes(2, "big") + b"\xf0\x00" + b"\x06" + (0xE100).to_bytes(2, "big") + b"\xf0\x00", 4)
+    got = transport.read_stream(pat + _packets(pid, other, tail=old) + _packets(pid, new, counter=1) + units)
+    assert got["payload"] == payload and got["errors"] == 0
+
+
+def test_repeated_packets_must_be_equal():
+    payload = transport.padded(random.Random(6).randbytes(3000))
+    whole = transport.write_stream(payload)
+    packet = [whole[i:i + 188] for i in range(0, len(whole), 188)]
+    assert transport.read_stream(b"".join([*packet[:5], packet[4], *packet[5:]])) | {"packets": 0} == transport.read_stream(whole) | {"packets": 0}
+    changed = packet[4][:100] + b"\x00" + packet[4][101:] if packet[4][100] else packet[4][:100] + b"\x01" + packet[4][101:]
+    assert transport.read_stream(b"".join([*packet[:5], changed, *packet[5:]]))["errors"] > 0
+    assert transport.read_stream(b"".join([*packet[:5], packet[4], packet[4], *packet[5:]]))["errors"] > 0      # one repetition is allowed
+    # a marked jump of the counter is no gap
+    two = transport.write_stream(transport.padded(bytes(transport.UNIT + 64)))
+    unit = 376 + 188 * -(-(transport.UNIT + 14 + 8) // 184)
+    last = bytearray(two[unit:])
+    assert last[1] & 0x40 and len(last) == 188
+    last[3] = last[3] & 0xF0 | (last[3] + 5) & 15
+    assert transport.read_stream(two[:unit] + bytes(last))["errors"] == 1
+    last[5] |= 0x80
+    assert transport.read_stream(two[:unit] + bytes(last))["errors"] == 0
+
+
+def test_media_report_by_hand(spark):
+    texts = [*EDGES, *prose(8, 5, 9000)]
+    for r in transport.media_report(table(spark, texts)).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        kept = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        media = transport.write_stream(kept)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(kept), hashlib.sha256(kept).hexdigest(), zlib.crc32(kept[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        units = -(-len(kept) // transport.UNIT)
+        assert r["feature"] == f"packets={len(media) // 188};units={units};random={-(-units // 4)};last={(units - 1) * 3600};errors=0"

@@ -5,12 +5,14 @@ into access units of ``UNIT`` bytes; each is a packetised elementary stream pack
 ``RANDOM_EVERY``-th one a random-access point with a clock reference, split into 188-byte transport packets with continuity
 counters and stuffing.
 
-Reading takes any such stream: it finds the programs by their tables (a section whose checksum fails is ignored), checks
-continuity counters, drops repeated packets, joins elementary packets, and reports times and random-access points.
+Reading takes any such stream: it finds the programs by their tables, whose sections may lie over several packets or share
+one (a section whose checksum fails or that a gap cuts is ignored; the last version counts), checks continuity counters,
+drops packets that repeat the one before byte for byte, joins elementary packets, and reports times and random-access points.
 
 Defined results: null bytes are empty; bytes are padded with zeros to a positive multiple of ``BLOCK``; equal bytes give
-equal streams.  Of a broken stream, what can be read is returned, with the number of errors; a stream without tables, or a
-null one, has an empty payload.  Rows are independent of each other, repeated ids included.
+equal streams.  Of a broken stream, what can be read is returned, with the number of errors: bytes beyond whole packets, bad
+packets, gaps that no discontinuity flag announces, missing tables, units without a start or of another length than they say.
+A stream without tables has an empty payload, a null one no error either.  Rows are independent of each other, repeated ids included.
 """
 
 from __future__ import annotations
@@ -112,34 +114,101 @@ def _field(packet: np.ndarray, lead: bytes, size: int) -> None:
         packet[5:5 + len(lead)] = np.frombuffer(lead, np.uint8) if lead else packet[5:5]
 
 
-def _section(packets: np.ndarray) -> bytes | None:
-    """The first section that starts in these packets of one PID and whose checksum holds."""
-    for p in packets:
-        if p[1] & 0x40 and p[3] & 0x10:
-            at = 5 + int(p[4]) if p[3] & 0x20 else 4
-            at += 1 + int(p[at])
-            size = (int(p[at + 1]) & 0x0F) << 8 | int(p[at + 2]) if at + 3 <= PACKET else PACKET
-            raw = p[at:at + 3 + size].tobytes()
-            if len(raw) == 3 + size and size >= 9 and checksum(raw) == 0:
-                return raw
-    return None
-
-
-def _programs(packets: np.ndarray, pids: np.ndarray) -> list[tuple[int, int, int]]:
-    """(program, PID, stream type) of every elementary stream that the tables list."""
-    pat = _section(packets[pids == 0])
-    out = []
-    for at in range(8, len(pat or b"") - 4, 4):
-        program, pid = struct.unpack(">HH", pat[at:at + 4])
-        pmt = _section(packets[pids == (pid & 0x1FFF)]) if program else None
-        at = 12 + (struct.unpack(">H", pmt[10:12])[0] & 0xFFF) if pmt else 0
-        while pmt and at + 5 <= len(pmt) - 4:
-            kind, own, more = struct.unpack(">BHH", pmt[at:at + 5])
-            out.append((program, own & 0x1FFF, kind))
-            at += 5 + (more & 0xFFF)
+def _bodies(packets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of one PID: the packets that carry a payload and repeat none before them, which of them do not go on from the one
+    before, and the number of gaps.  A packet with the counter and the payload of the one before repeats it, which is
+    allowed once; a marked discontinuity is no error, though what it cuts is not joined."""
+    own = packets[packets[:, 3] & 0x10 > 0]
+    if not len(own):
+        return own, np.empty(0, bool), 0
+    start = _starts(own)
+    step = np.diff(own[:, 3].astype(np.int64) & 15) & 15
+    # a repeated packet may only differ in its clock reference, which lies before its payload
+    inside = np.arange(PACKET) >= np.maximum(start[1:], start[:-1])[:, None]
+    same = (step == 0) & (start[1:] == start[:-1]) & ((own[1:] == own[:-1]) | ~inside).all(axis=1)
+    same &= ((own[1:, 1:3] == own[:-1, 1:3]).all(axis=1))
+    again = np.r_[False, same]
+    again[1:] &= ~again[:-1]
+    own, start = own[~again], start[~again]
+    step = np.diff(own[:, 3].astype(np.int64) & 15) & 15
+    marked = (own[:, 3] & 0x20 > 0) & (own[:, 4] > 0) & (own[:, 5] & 0x80 > 0)
+    cut = np.r_[False, step != 1] | marked
+    return own, cut, int((np.r_[False, step != 1] & ~marked).sum())
+
+
+def _starts(packets: np.ndarray) -> np.ndarray:
+    """Where the payload of each packet starts."""
+    return np.minimum(np.where(packets[:, 3] & 0x20 > 0, 5 + packets[:, 4].astype(np.int64), 4), PACKET)
+
+
+def _sections(packets: np.ndarray) -> list[bytes]:
+    """The sections of one PID whose checksum holds, over as many packets as they take; one that a gap cuts is lost."""
+    own, cut, _ = _bodies(packets)
+    out, held, at_work = [], bytearray(), False
+
+    def take() -> bool:
+        """Takes whole sections from what is held; whether more may follow."""
+        while held and held[0] != 0xFF:
+            size = 3 + ((held[1] & 0x0F) << 8 | held[2]) if len(held) >= 3 else PACKET * PACKET
+            if len(held) < size:
+                return True
+            raw = bytes(held[:size])
+            if size >= 12 and checksum(raw) == 0:
+                out.append(raw)
+            del held[:size]
+        held.clear()
+        return False
+
+    for p, start, gap in zip(own, _starts(own), cut, strict=True):
+        if gap:
+            held.clear()
+            at_work = False
+        body = p[start:].tobytes()
+        if p[1] & 0x40 and body:
+            # the pointer: how many bytes still belong to the section before
+            before, body = body[1:1 + body[0]], body[1 + body[0]:]
+            if at_work:
+                held += before
+                take()
+            held.clear()
+            held += body
+            at_work = take()
+        elif at_work:
+            held += body
+            at_work = take()
     return out
 
 
+def _table(packets: np.ndarray, table: int, program: int | None = None) -> list[bytes]:
+    """The sections of a table that is in force, each number once and in order: those of the last version seen."""
+    held = [s for s in _sections(packets) if s[0] == table and s[5] & 1 and program in (None, s[3] << 8 | s[4])]
+    version = held[-1][5] if held else None
+    by_number = {s[6]: s for s in held if s[5] == version}
+    return [by_number[k] for k in sorted(by_number)]
+
+
+def _programs(packets: np.ndarray, pids: np.ndarray) -> tuple[list[tuple[int, int, int]], int]:
+    """(program, PID, stream type) of every elementary stream that the tables list, and how many tables are missing."""
+    out, listed, missing = [], {}, 0
+    pat = _table(packets[pids == 0], 0x00)
+    missing += int(len(packets) > 0 and not pat)
+    for section in pat:
+        for at in range(8, len(section) - 4, 4):
+            program, pid = struct.unpack(">HH", section[at:at + 4])
+            if program:
+                listed[program] = pid & 0x1FFF
+    for program, pid in listed.items():
+        pmt = _table(packets[pids == pid], 0x02, program)
+        missing += int(not pmt)
+        for section in pmt:
+            at = 12 + (struct.unpack(">H", section[10:12])[0] & 0xFFF)
+            while at + 5 <= len(section) - 4:
+                kind, own, more = struct.unpack(">BHH", section[at:at + 5])
+                out.append((program, own & 0x1FFF, kind))
+                at += 5 + (more & 0xFFF)
+    return out, missing
+
+
 def read_stream(raw: bytes | None) -> dict:
     """payload (of all elementary streams, in the order of the tables), packets, units, times, random_access, errors."""
     raw = raw or b""
@@ -149,20 +218,20 @@ def read_stream(raw: bytes | None) -> dict:
     out["errors"] += int((~good).sum())
     packets = packets[good]
     pids = (packets[:, 1].astype(np.int64) & 0x1F) << 8 | packets[:, 2]
+    programs, missing = _programs(packets, pids)
+    out["errors"] += missing
     data = []
-    for _, pid, _ in _programs(packets, pids):
-        own = packets[(pids == pid) & (packets[:, 3] & 0x10 > 0)]
-        # a packet with the counter of the one before repeats it; any other step but one is a gap
-        step = np.diff(own[:, 3].astype(np.int64) & 15) & 15
-        again = np.r_[False, (step == 0)] if len(own) else np.empty(0, bool)
-        out["errors"] += int(((step != 1) & (step != 0)).sum())
-        own = own[~again]
+    # a stream that several programs share is read once
+    for pid in dict.fromkeys(pid for _, pid, _ in programs):
+        own, _, gaps = _bodies(packets[pids == pid])
+        out["errors"] += gaps
+        start = _starts(own)
         field = own[:, 3] & 0x20 > 0
-        start = np.where(field, 5 + own[:, 4].astype(np.int64), 4)
-        start = np.minimum(start, PACKET)
         joined = own[np.arange(PACKET) >= start[:, None]]
         ends = np.cumsum(PACKET - start)
         firsts = np.flatnonzero(own[:, 1] & 0x40)
+        # what comes before the first unit belongs to one that was not seen from its start
+        out["errors"] += int(len(own) > 0 and (len(firsts) == 0 or firsts[0] > 0))
         random = field & (own[:, 4] > 0) & (own[:, 5] & 0x40 > 0)
         begins = ends[firsts] - (PACKET - start[firsts])
         for k, (a, b) in enumerate(zip(begins, [*begins[1:], len(joined)], strict=True)):
