@@ -168,13 +168,57 @@ def test_model_equals_brute_force(spark):
 
 
 def test_elias_fano_and_quantised_counts():
-    values = np.unique(np.random.default_rng(3).integers(0, 2**40, 70_000).astype(np.uint64))
-    back, _ = ngramlm.EliasFano.open(ngramlm.EliasFano.of(values).tobytes(), 0)
-    assert (back.values(np.arange(len(values))) == values).all() and (back.find(values) == np.arange(len(values))).all()
-    assert (back.find(np.setdiff1d(values + np.uint64(1), values)) == -1).all()
-    counts = np.arange(1, 5000)
-    code, value = ngramlm.quantised(counts)
-    assert np.abs(np.log(value[code] / counts)).max() < 0.05
+    rng = np.random.default_rng(3)
+    for values in (rng.integers(0, 2**40, 70_000), rng.integers(0, 50, 4000), np.arange(3000), np.array([0]), np.array([2**40]), np.empty(0, np.int64)):
+        values = np.sort(values).astype(np.uint64)
+        back, _ = ngramlm.EliasFano.open(ngramlm.EliasFano.of(values).tobytes(), 0)
+        assert (back.values(np.arange(len(values))) == values).all()
+        assert (back.find(values) == np.searchsorted(values, values)).all()
+        absent = np.setdiff1d(np.r_[values + np.uint64(1), np.uint64(2**41)], values)
+        assert (back.find(absent) == -1).all()
+        if len(values):     # between bounds, the first equal one in them
+            at = np.arange(len(values))
+            assert (back.find(values, at, at + 1) == at).all() and (back.find(values, at, at) == -1).all()
+    counts = np.r_[np.arange(1, 70_000), 2 ** np.arange(17, 60)]
+    code = ngramlm.quantised(counts)
+    assert (np.diff(code.astype(int)) >= 0).all() and (ngramlm.counts_of(code)[:2**15] == counts[:2**15]).all()
+    assert np.abs(ngramlm.counts_of(code) / counts - 1).max() < 0.0006
+    assert (ngramlm.quantised(counts[40_000:]) == code[40_000:]).all()      # whatever else a shard holds
+
+
+def test_trie_is_read_where_it_lies(tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    context, word = rng.integers(0, 3000, 200_000).astype(np.uint64) << np.uint64(20), rng.integers(0, 5000, 200_000).astype(np.uint64) << np.uint64(17)
+    raw = ngramlm.Trie.build(context, word, np.ones(len(word), np.int64))
+    (tmp_path / "levels").write_bytes(raw)
+    trie = ngramlm.Trie(np.memmap(tmp_path / "levels", np.uint8, "r"))
+    want = Counter(zip(context.tolist(), word.tolist(), strict=True))
+    pairs = [(c << 20, w << 17) for c in range(0, 3100, 7) for w in range(0, 5100, 11)]
+    asked = [np.array(x, np.uint64) for x in zip(*pairs, strict=True)]
+    assert trie.numerators(*asked).tolist() == [want[p] for p in pairs]
+    # the levels take less than 4 bytes a bigram and are views of the file
+    assert len(raw) < 4 * len(want)
+    for level in (trie.words, trie.contexts, trie.pointers, trie.successors):
+        assert not any(x.flags.owndata for x in (level.low_bytes, level.high_bytes, level.before))
+    # without the pointers the successors mean nothing
+    find = ngramlm.EliasFano.find
+    monkeypatch.setattr(ngramlm.EliasFano, "find", lambda self, asked, begin=0, end=None: find(self, asked))
+    assert trie.numerators(*asked).tolist() != [want[p] for p in pairs]
+
+
+def test_a_kept_model_answers_alike(spark, tmp_path):
+    texts = [*EDGES, *prose(8, 60, 30)]
+    docs = table(spark, texts)
+    ngramlm.trained(docs).write.parquet(str(tmp_path / "model"))
+    model = spark.read.parquet(str(tmp_path / "model"))
+    rows = lambda df: {r["doc_id"]: tuple(r)[1:5] + tuple(round(x, 9) for x in tuple(r)[5:]) for r in df.collect()}
+    assert rows(ngramlm.scored_by(docs, model)) == rows(ngramlm.scored(docs))
+    # other texts: those of the model's score as before, under any ids and beside words it never saw
+    other = rows(ngramlm.scored_by(table(spark, [texts[20], "never seen before", None], [5020, 5021, 5022]), model))
+    assert other[5020][3:] == rows(ngramlm.scored(docs))[20][3:] and other[5021][2] == 1
+    none = rows(ngramlm.scored_by(docs.limit(3), model.limit(0)))
+    assert len(none) == 3 and all(r[2] == 0 and r[3] == 0 for r in none.values())
+    assert ngramlm.scored_by(docs.limit(0), model).count() == 0
 
 
 def test_transport_streams():

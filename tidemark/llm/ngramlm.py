@@ -5,14 +5,16 @@ context and word, and C the count of the context, p(word | context) = (c + MU *
 p(word) = (count + 1) / (N + V + 1).
 
 The trie is dealt to shards by a hash of context and word, so that no context, however frequent, is in one place.  A shard
-holds, in flat arrays of one buffer that is opened by offsets and can be memory-mapped: its vocabulary, its contexts, the
-pointers from contexts to their successors, all of them monotone and in Elias-Fano form; the successors as numbers within
-the vocabulary, made monotone by their context's place; and for each a one-byte code of its quantised smoothed numerator.
-Looking up finds context and word, then searches the successors between the context's pointers.
+is one buffer of flat levels that is opened by offsets, in memory or memory-mapped, and never decoded as a whole: its
+vocabulary, its contexts, the pointers from contexts to their successors, all of them monotone and in Elias-Fano form with a
+directory of ones; the successors as numbers within the vocabulary, each context's going on from the last one of the context
+before, which makes them monotone in few bits; and for each a two-byte code of its quantised smoothed numerator, the same in
+every shard.  Looking up finds context and word, reads the context's pointers, and searches the word's successor between
+them, relative to the value before the first.
 
 A task sends, for a batch of documents, its distinct words and bigrams with their training counts to the shards; a shard
 counts, builds its trie, and answers each batch.  The batch, gathered from its documents once more, combines the answers
-into their scores.
+into their scores.  ``trained`` keeps a model as a table of shards, and ``scored_by`` asks it about any documents.
 
 Defined results: a null or empty text is one end; a document without id is a training document; repeated rows count each;
 without training documents every count is 0.  Words are told apart by 64-bit hashes, contexts and successors of a shard by
@@ -34,10 +36,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import shuffle_partitions
 from tidemark.llm.hashing import hashed_words, mix
 
-#: Weight of the unigram; tokens of a batch; codes of a shard's numerators.
+#: Weight of the unigram; tokens of a batch.
 MU = 100.0
 FLUSH = 2_500_000
-CODES = 255
+#: Counts up to 2^EXACT_BITS are their own codes; beyond, an octave of counts has STEPS codes, so none is off by more than 0.06 %.
+EXACT_BITS, STEPS = 15, 682
 #: Held out are documents whose id's checksum leaves this remainder.
 FOLDS, HELD = 7, 2
 
@@ -53,72 +56,118 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class EliasFano:
-    """A monotone sequence: the low bits of each value packed, the high bits in unary."""
+    """A monotone sequence: the low bits of each value packed, the high parts in unary, and for each block of the unary bits
+    the number of ones before it.  All three are views of the buffer; only what is asked is decoded."""
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.bits, self.low_bytes, self.high_bytes = n, bits, low, high
-        ones = np.flatnonzero(np.unpackbits(high))
-        self.high = (ones - np.arange(len(ones)))[:n]
-        self.low = _unpacked_bits(low, bits, n)
-        # where the values with each high part start
-        self.starts = np.searchsorted(self.high, np.arange((int(self.high[-1]) if n else 0) + 2))
+    #: Bytes of a block.
+    BLOCK = 64
+
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray):
+        self.n, self.bits, self.low_bytes, self.high_bytes, self.before = n, bits, low, high, before
+        self.blocks = high.reshape(-1, self.BLOCK)
+        self.top = int(self.values(np.array([n - 1]))[0]) >> bits if n else -1
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
+        """The sequence of ascending values, equal ones allowed, below 2^56."""
         n = len(values)
         bits = max(0, int(math.log2(max(1, int(values[-1]) // n)))) if n else 0
         high = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        flags = np.zeros((int(high[-1]) if n else 0) + 1, np.uint8)
+        flags = np.zeros(-(-((int(high[-1]) if n else 0) + 2) // (8 * cls.BLOCK)) * 8 * cls.BLOCK, np.uint8)
         flags[high] = 1
-        return cls(n, bits, _packed_bits(values & np.uint64((1 << bits) - 1), bits), np.packbits(flags))
+        packed = np.packbits(flags)
+        ones = np.bitwise_count(packed.reshape(-1, cls.BLOCK)).sum(axis=1, dtype=np.int64)
+        # bytes beyond the end, so that eight can be read at any place
+        low = np.r_[_packed_bits(values & np.uint64((1 << bits) - 1), bits), np.zeros(8, np.uint8)]
+        return cls(n, bits, low, packed, np.cumsum(ones) - ones)
 
     def tobytes(self) -> bytes:
-        return struct.pack("<QQQQ", self.n, self.bits, len(self.low_bytes), len(self.high_bytes)) + self.low_bytes.tobytes() + self.high_bytes.tobytes()
+        head = struct.pack("<QQQQ", self.n, self.bits, len(self.low_bytes), len(self.high_bytes))
+        return b"".join([head, self.low_bytes.tobytes(), self.high_bytes.tobytes(), self.before.tobytes()])
 
     @classmethod
-    def open(cls, buffer: memoryview | np.memmap, at: int) -> tuple[EliasFano, int]:
+    def open(cls, buffer: bytes | memoryview | np.memmap, at: int) -> tuple[EliasFano, int]:
         """A sequence at an offset of a buffer, and the offset after it."""
         n, bits, low, high = struct.unpack_from("<QQQQ", buffer, at)
         at += 32
         raw = np.frombuffer(buffer, np.uint8, low + high, at)
-        return cls(n, bits, raw[:low], raw[low:]), at + low + high
+        at += low + high
+        before = np.frombuffer(buffer, "<i8", high // cls.BLOCK, at)
+        return cls(n, bits, raw[:low], raw[low:], before), at + 8 * len(before)
+
+    def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
+        """The place of the k-th one, or zero, of the unary bits."""
+        out = np.empty(len(k), np.int64)
+        for i in range(0, len(k), 65536):
+            rest = k[i:i + 65536].astype(np.int64)
+            before = self.before if ones else self._zeros_before()
+            block = np.searchsorted(before, rest, "right") - 1
+            rest = rest - before[block]
+            some = self.blocks[block] if ones else ~self.blocks[block]
+            # first the word of eight bytes, then the byte, then the bit
+            word, rest = _within(np.bitwise_count(some.view("<u8")), rest)
+            eight = some.reshape(-1, self.BLOCK // 8, 8)[np.arange(len(rest)), word]
+            byte, rest = _within(np.bitwise_count(eight), rest)
+            bit, _ = _within(np.unpackbits(eight[np.arange(len(rest)), byte][:, None], axis=1), rest)
+            out[i:i + 65536] = block * 8 * self.BLOCK + word * 64 + byte * 8 + bit
+        return out
+
+    def _zeros_before(self) -> np.ndarray:
+        return np.arange(len(self.before)) * (8 * self.BLOCK) - self.before
+
+    def _starts(self, head: np.ndarray) -> np.ndarray:
+        """How many values have a smaller high part."""
+        out = np.zeros(len(head), np.int64)
+        some = head > 0
+        out[some] = self._select(head[some] - 1, ones=False) - (head[some] - 1)
+        return out
+
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            return np.zeros(len(at), np.uint64)
+        bit = at * self.bits
+        raw = self.low_bytes[(bit >> 3)[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+        return (raw << (bit & 7).astype(np.uint64)) >> np.uint64(64 - self.bits)
 
     def values(self, at: np.ndarray) -> np.ndarray:
-        return (self.high[at].astype(np.uint64) << np.uint64(self.bits)) | self.low[at]
+        at = np.asarray(at, np.int64)
+        return ((self._select(at, ones=True) - at).astype(np.uint64) << np.uint64(self.bits)) | self._low(at)
 
-    def find(self, asked: np.ndarray) -> np.ndarray:
-        """The place of each value, -1 for those that are not there."""
+    def find(self, asked: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> np.ndarray:
+        """The place of each value within its places from begin to end, -1 for those that are not there."""
         if not self.n:
             return np.full(len(asked), -1)
-        head = asked >> np.uint64(self.bits)
-        there = head < np.uint64(len(self.starts) - 1)
-        head = np.where(there, head, 0).astype(np.int64)
+        head = (asked >> np.uint64(self.bits)).astype(np.int64)
+        there = head <= self.top
+        head = np.where(there, head, 0)
         tail = asked & np.uint64((1 << self.bits) - 1)
-        left, right = self.starts[head].copy(), self.starts[head + 1].copy()
-        stop = right.copy()
-        # successor search within the values of the same high part
-        while (left < right).any():
-            middle = (left + right) // 2
-            less = (left < right) & (self.low[np.minimum(middle, self.n - 1)] < tail)
-            left, right = np.where(less, middle + 1, left), np.where(less | (left >= right), right, middle)
-        hit = there & (left < stop) & (self.low[np.minimum(left, self.n - 1)] == tail)
+        left = np.maximum(self._starts(head), begin)
+        stop = np.minimum(self._starts(head + 1), self.n if end is None else end)
+        right = stop.copy()
+        # successor search among the values of the same high part
+        open_ = np.flatnonzero(left < right)
+        while len(open_):
+            middle = (left[open_] + right[open_]) // 2
+            less = self._low(middle) < tail[open_]
+            left[open_[less]], right[open_[~less]] = middle[less] + 1, middle[~less]
+            open_ = open_[left[open_] < right[open_]]
+        hit = there & (left < stop)
+        hit[hit] = self._low(left[hit]) == tail[hit]
         return np.where(hit, left, -1)
 
 
-def _packed_bits(values: np.ndarray, bits: int) -> np.ndarray:
-    parts = [np.packbits(((values[i:i + 65536, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)) for i in range(0, len(values), 65536)]
-    return np.concatenate([np.empty(0, np.uint8), *parts]) if bits else np.empty(0, np.uint8)
+def _within(counts: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In which column of counts the rest-th is, and which one it is there."""
+    sums = np.cumsum(counts, axis=1, dtype=np.int64)
+    column = (sums <= rest[:, None]).sum(axis=1)
+    return column, rest - np.where(column > 0, sums[np.arange(len(rest)), np.maximum(column, 1) - 1], 0)
 
 
-def _unpacked_bits(raw: np.ndarray, bits: int, n: int) -> np.ndarray:
-    out = np.zeros(n, np.uint64)
-    step = 65536 * bits // 8
-    for k in range(-(-n // 65536) if bits else 0):
-        m = min(65536, n - k * 65536)
-        flags = np.unpackbits(raw[k * step:(k + 1) * step])[:m * bits].reshape(m, bits)
-        for b in range(bits):
-            out[k * 65536:k * 65536 + m] |= flags[:, b].astype(np.uint64) << np.uint64(b)
-    return out
+def _packed_bits(values: np.ndarray, bits: int) -> np.ndarray:
+    """The values one after the other, each from its highest bit on."""
+    shift = np.arange(bits - 1, -1, -1, dtype=np.int64).astype(np.uint64)
+    parts = [np.packbits(((values[i:i + 65536, None] >> shift) & np.uint64(1)).astype(np.uint8)) for i in range(0, len(values), 65536)]
+    return np.concatenate([np.empty(0, np.uint8), *parts]) if bits else np.empty(0, np.uint8)
 
 
 class Trie:
@@ -130,8 +179,7 @@ class Trie:
         self.contexts, at = EliasFano.open(buffer, at)
         self.pointers, at = EliasFano.open(buffer, at)
         self.successors, at = EliasFano.open(buffer, at)
-        self.codes = np.frombuffer(buffer, np.uint8, self.successors.n, at)
-        self.values = np.frombuffer(buffer, np.float64, CODES + 1, at + self.successors.n)
+        self.codes = np.frombuffer(buffer, "<u2", self.successors.n, at)
 
     @staticmethod
     def build(context: np.ndarray, word: np.ndarray, count: np.ndarray) -> bytes:
@@ -143,39 +191,42 @@ class Trie:
         context, word = context[first], word[first]
         words, number = np.unique(word, return_inverse=True)
         contexts, place, each = np.unique(context, return_inverse=True, return_counts=True)
-        chain = place.astype(np.uint64) * np.uint64(max(1, len(words))) + number.astype(np.uint64)
-        pointers = np.r_[0, np.cumsum(each)].astype(np.uint64)
-        codes, values = quantised(count)
-        parts = [EliasFano.of(x).tobytes() for x in (words, contexts, pointers, chain)]
-        return b"".join([*parts, codes.tobytes(), values.tobytes()])
+        pointers = np.r_[0, np.cumsum(each)]
+        # a context's numbers go on from the last number of the context before
+        last = number[pointers[1:] - 1]
+        chain = (np.cumsum(last) - last)[place] + number
+        parts = [EliasFano.of(x.astype(np.uint64)).tobytes() for x in (words, contexts, pointers, chain)]
+        return b"".join([*parts, quantised(count).tobytes()])
 
     def numerators(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The code of each pair's numerator, 0 for a pair that was never seen."""
-        place, number = self.contexts.find(context), self.words.find(word)
-        known = np.flatnonzero((place >= 0) & (number >= 0))
-        out = np.zeros(len(context), np.uint8)
+        out = np.zeros(len(context), np.uint16)
+        place = self.contexts.find(context)
+        known = np.flatnonzero(place >= 0)
+        number = self.words.find(word[known])
+        known, number = known[number >= 0], number[number >= 0].astype(np.uint64)
         if len(known):
-            place, number = place[known], number[known]
-            at = self.successors.find(place.astype(np.uint64) * np.uint64(max(1, self.words.n)) + number.astype(np.uint64))
-            inside = (at >= self.pointers.values(place).astype(np.int64)) & (at < self.pointers.values(place + 1).astype(np.int64))
-            out[known[inside]] = self.codes[at[inside]]
+            place = place[known]
+            begin, end = self.pointers.values(place).astype(np.int64), self.pointers.values(place + 1).astype(np.int64)
+            base = np.zeros(len(known), np.uint64)
+            base[begin > 0] = self.successors.values(begin[begin > 0] - 1)
+            at = self.successors.find(base + number, begin, end)
+            out[known[at >= 0]] = self.codes[at[at >= 0]]
         return out
 
 
-def quantised(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A code of 1 to CODES for each count and the value of each code: the counts themselves while they are few, then bins of
-    equal width in the logarithm, each with its members' geometric mean."""
-    values = np.zeros(CODES + 1)
-    distinct, number = np.unique(count, return_inverse=True)
-    if len(distinct) <= CODES:
-        values[1:len(distinct) + 1] = distinct
-        return (number + 1).astype(np.uint8), values
-    log = np.log(count)
-    code = 1 + np.minimum(CODES - 1, (CODES * (log - log.min()) / (log.max() - log.min())).astype(np.int64))
-    total = np.bincount(code, log, CODES + 1)
-    size = np.bincount(code, minlength=CODES + 1)
-    values[size > 0] = np.exp(total[size > 0] / size[size > 0])
-    return code.astype(np.uint8), values
+def quantised(count: np.ndarray) -> np.ndarray:
+    """A code for each count, by a rule that no shard's counts change."""
+    code = np.array(count, np.int64)
+    large = code > 1 << EXACT_BITS
+    code[large] = np.minimum(65535, (1 << EXACT_BITS) + 1 + ((np.log2(code[large]) - EXACT_BITS) * STEPS).astype(np.int64))
+    return code.astype("<u2")
+
+
+def counts_of(code: np.ndarray) -> np.ndarray:
+    """The count that a code stands for, in the middle of those that have it."""
+    step = code.astype(np.float64) - ((1 << EXACT_BITS) + 1)
+    return np.where(step < 0, code.astype(np.float64), np.exp2(EXACT_BITS + (np.maximum(step, 0) + 0.5) / STEPS))
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -311,21 +362,89 @@ def _totals(table: pa.Table) -> pa.Table:
     return pa.table({"tokens": pa.array([int(count.sum())], pa.int64()), "words": pa.array([int((count > 0).sum())], pa.int64())})
 
 
+def _asked_pairs(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Contexts, words and training counts of a shard's bigrams, by row."""
+    return tuple([f(x) for x in table[c].to_pylist()] for c, f in (("a", lambda x: _of_steps(x, 5)), ("b", lambda x: _of_planes(x, 5)), ("c", _of_counts)))
+
+
+def _trie_of(contexts: list[np.ndarray], words: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
+    every = np.concatenate(counts)
+    seen = every > 0
+    return Trie.build(np.concatenate(contexts)[seen], np.concatenate(words)[seen], every[seen])
+
+
+def _answers(table: pa.Table, bodies: list[bytes]) -> pa.Table:
+    empty = pa.array([b""] * table.num_rows, pa.binary())
+    return pa.table({"batch": table["batch"], "kind": table["kind"], "bucket": table["bucket"], "a": pa.array(bodies, pa.binary()), **dict.fromkeys("bcde", empty)})
+
+
+def _codes_of(trie: Trie, contexts: list[np.ndarray], words: list[np.ndarray]) -> list[bytes]:
+    return [_planes(trie.numerators(c, w), 2) for c, w in zip(contexts, words, strict=True)]
+
+
 def _answered(table: pa.Table) -> pa.Table:
     """Answers of a shard: what the words count, or the codes of the bigrams."""
-    kind, nothing = table["kind"][0].as_py(), [b""] * table.num_rows
-    if kind == _WORDS:
+    if table["kind"][0].as_py() == _WORDS:
         words, count, asked = _words_counted(table)
-        a, b = [_counts(count[np.searchsorted(words, x)]) for x in asked], nothing
-    else:
-        contexts, words, counts = ([f(x) for x in table[c].to_pylist()]
-                                   for c, f in (("a", lambda x: _of_steps(x, 5)), ("b", lambda x: _of_planes(x, 5)), ("c", _of_counts)))
-        every = np.concatenate(counts)
-        seen = every > 0
-        trie = Trie(Trie.build(np.concatenate(contexts)[seen], np.concatenate(words)[seen], every[seen]))
-        a, b = [trie.numerators(c, w).tobytes() for c, w in zip(contexts, words, strict=True)], [trie.values.tobytes()] * table.num_rows
-    return pa.table({"batch": table["batch"], "kind": table["kind"], "bucket": table["bucket"],
-                     **{n: pa.array(c, pa.binary()) for n, c in zip("abcde", (a, b, nothing, nothing, nothing), strict=True)}})
+        return _answers(table, [_counts(count[np.searchsorted(words, x)]) for x in asked])
+    contexts, words, counts = _asked_pairs(table)
+    return _answers(table, _codes_of(Trie(_trie_of(contexts, words, counts)), contexts, words))
+
+
+#: A kept model: a row per shard; the number of its buckets' bits, what its words count, and its levels.
+MODEL = "kind int, bucket int, bits int, tokens long, words long, body binary"
+
+
+def _kept(bits: int):
+    def keep(table: pa.Table) -> pa.Table:
+        kind, tokens, distinct = table["kind"][0].as_py(), 0, 0
+        if kind == _WORDS:
+            words, count, _ = _words_counted(table)
+            words, count = words[count > 0], count[count > 0]
+            tokens, distinct = int(count.sum()), len(words)
+            level = EliasFano.of(words >> np.uint64(8)).tobytes()
+            body = struct.pack("<Q", len(level)) + level + (words & np.uint64(255)).astype(np.uint8).tobytes() + count.astype("<i8").tobytes()
+        else:
+            body = _trie_of(*_asked_pairs(table))
+        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "bits": pa.array([bits], pa.int32()),
+                         "tokens": pa.array([tokens], pa.int64()), "words": pa.array([distinct], pa.int64()), "body": pa.array([body], pa.binary())})
+    return keep
+
+
+def _word_counts(body: memoryview, words: np.ndarray) -> np.ndarray:
+    """Training counts of words in a kept level of words: 56 bits of their hashes in Elias-Fano form, 8 beside them."""
+    level, = struct.unpack_from("<Q", body)
+    known, _ = EliasFano.open(body, 8)
+    rest = np.frombuffer(body, np.uint8, known.n, 8 + level)
+    counts = np.frombuffer(body, "<i8", known.n, 8 + level + known.n)
+    at = known.find(words >> np.uint64(8))
+    out = np.zeros(len(words), np.int64)
+    some = np.flatnonzero(at >= 0)
+    at, tail = at[some], (words[some] & np.uint64(255)).astype(np.uint8)
+    head = words[some] >> np.uint64(8)
+    # words that share the first 56 bits stand one after the other
+    while len(some):
+        hit = rest[at] == tail
+        out[some[hit]] = counts[at[hit]]
+        at, some, tail, head = at[~hit] + 1, some[~hit], tail[~hit], head[~hit]
+        more = at < known.n
+        more[more] = known.values(at[more]) == head[more]
+        at, some, tail, head = at[more], some[more], tail[more], head[more]
+    return out
+
+
+def _answered_by(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """Answers of a kept shard, whose levels are read where they lie; what no shard knows counts 0."""
+    body = memoryview(model["body"][0].as_buffer()) if model.num_rows else None
+    if not asked.num_rows:
+        return _answers(asked, [])
+    if asked["kind"][0].as_py() == _WORDS:
+        words = [_of_steps(x, 8) for x in asked["a"].to_pylist()]
+        return _answers(asked, [_counts(np.zeros(len(x), np.int64) if body is None else _word_counts(body, x)) for x in words])
+    contexts, words, _ = _asked_pairs(asked)
+    if body is None:
+        return _answers(asked, [_planes(np.zeros(len(x), np.uint16), 2) for x in words])
+    return _answers(asked, _codes_of(Trie(body), contexts, words))
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -337,7 +456,7 @@ def _scorer(total: int, distinct: int, bits: int):
         _, _, ids, sizes, tokens, vocabulary = rows[0]
         ids, sizes, tokens, vocabulary = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), _of_planes(tokens, 4).astype(np.int64), _of_steps(vocabulary, 8)
         count = np.concatenate([_of_counts(r[2]) for r in rows if r[0] == _WORDS])
-        numerator = np.concatenate([np.frombuffer(r[3], np.float64)[np.frombuffer(r[2], np.uint8)] for r in rows if r[0] == _PAIRS])
+        numerator = counts_of(np.concatenate([_of_planes(r[2], 2) for r in rows if r[0] == _PAIRS]))
         context, _, _, place = _pairs(tokens, sizes, vocabulary, bits)
         # a text begins as often as one ends
         before = count.copy()
@@ -354,15 +473,46 @@ def _scorer(total: int, distinct: int, bits: int):
     return score
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per document row."""
-    bits = min(22, max(6, (4 * shuffle_partitions(docs.sparkSession) - 1).bit_length()))
+def _rows_of(docs: DataFrame) -> DataFrame:
     # the partition's own number names its batches alike in every pass over the documents
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
-    words = rows.mapInArrow(_gatherer(lambda batch, name: batch.words(name, bits)), _ROW)
-    sums = words.groupBy("bucket").applyInArrow(_totals, "tokens long, words long")
-    total, distinct = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    asked = rows.mapInArrow(_gatherer(lambda batch, name: batch.words_and_pairs(name, bits)), _ROW)
-    answers = asked.groupBy("kind", "bucket").applyInArrow(_answered, _ROW)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
+
+
+def _bits(docs: DataFrame) -> int:
+    return min(22, max(6, (4 * shuffle_partitions(docs.sparkSession) - 1).bit_length()))
+
+
+def _combined(rows: DataFrame, answers: DataFrame, total: int, distinct: int, bits: int) -> DataFrame:
     heads = rows.mapInArrow(_gatherer(lambda batch, name: batch.head(name)), _ROW)   # read again rather than sent through the shards
     return answers.union(heads).groupBy("batch").applyInArrow(_scorer(total, distinct, bits), _SCORES)
+
+
+def _summed(rows: DataFrame) -> tuple[int, int]:
+    return tuple(rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first())
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per document row.  Training counts and
+    questions take one way to the shards."""
+    bits, rows = _bits(docs), _rows_of(docs)
+    words = rows.mapInArrow(_gatherer(lambda batch, name: batch.words(name, bits)), _ROW)
+    total, distinct = _summed(words.groupBy("bucket").applyInArrow(_totals, "tokens long, words long"))
+    asked = rows.mapInArrow(_gatherer(lambda batch, name: batch.words_and_pairs(name, bits)), _ROW)
+    return _combined(rows, asked.groupBy("kind", "bucket").applyInArrow(_answered, _ROW), total, distinct, bits)
+
+
+def trained(docs: DataFrame) -> DataFrame:
+    """The model of the documents that are not held out, to be written as a table: a row per shard (``MODEL``)."""
+    bits = _bits(docs)
+    sent = _rows_of(docs).mapInArrow(_gatherer(lambda batch, name: batch.words_and_pairs(name, bits)), _ROW)
+    return sent.groupBy("kind", "bucket").applyInArrow(_kept(bits), MODEL)
+
+
+def scored_by(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """What ``scored`` returns, by a kept model; the documents add nothing to it.  An empty model knows no word."""
+    bits = model.agg(F.max("bits")).first()[0] or _bits(docs)
+    total, distinct = _summed(model)
+    rows = _rows_of(docs)
+    asked = rows.mapInArrow(_gatherer(lambda batch, name: batch.words_and_pairs(name, bits)), _ROW)
+    answers = asked.groupBy("kind", "bucket").cogroup(model.groupBy("kind", "bucket")).applyInArrow(_answered_by, _ROW)
+    return _combined(rows, answers, total, distinct, bits)
