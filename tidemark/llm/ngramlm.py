@@ -108,7 +108,7 @@ class EliasFano:
             word, rest = _within(np.bitwise_count(some.view("<u8")), rest)
             eight = some.reshape(-1, self.BLOCK // 8, 8)[np.arange(len(rest)), word]
             byte, rest = _within(np.bitwise_count(eight), rest)
-            bit, _ = _within(np.unpackbits(eight[np.arange(len(rest)), byte][:, None], axis=1), rest)
+            bit = _BIT[eight[np.arange(len(rest)), byte], rest]
             out[i:i + 65536] = block * 8 * self.BLOCK + word * 64 + byte * 8 + bit
         return out
 
@@ -156,10 +156,19 @@ class EliasFano:
         return np.where(hit, left, -1)
 
 
+def _bit_places() -> np.ndarray:
+    """For each byte the places of its ones, from its highest bit on."""
+    flags = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+    return np.argsort(-flags.astype(np.int64), axis=1, kind="stable")
+
+
+_BIT = _bit_places()
+
+
 def _within(counts: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """In which column of counts the rest-th is, and which one it is there."""
-    sums = np.cumsum(counts, axis=1, dtype=np.int64)
-    column = (sums <= rest[:, None]).sum(axis=1)
+    sums = np.cumsum(counts, axis=1, dtype=np.int16)
+    column = np.count_nonzero(sums <= rest[:, None].astype(np.int16), axis=1)
     return column, rest - np.where(column > 0, sums[np.arange(len(rest)), np.maximum(column, 1) - 1], 0)
 
 
@@ -201,17 +210,22 @@ class Trie:
     def numerators(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The code of each pair's numerator, 0 for a pair that was never seen."""
         out = np.zeros(len(context), np.uint16)
-        place = self.contexts.find(context)
-        known = np.flatnonzero(place >= 0)
-        number = self.words.find(word[known])
-        known, number = known[number >= 0], number[number >= 0].astype(np.uint64)
+        # many pairs share a context or a word, and batches share pairs: each is looked up once
+        contexts, of_context = np.unique(context, return_inverse=True)
+        words, of_word = np.unique(word, return_inverse=True)
+        place, number = self.contexts.find(contexts), self.words.find(words)
+        seen = np.maximum(place, 0) if self.contexts.n else place[:0]
+        begin, end = self.pointers.values(seen).astype(np.int64), self.pointers.values(seen + 1).astype(np.int64)
+        base = np.zeros(len(seen), np.uint64)
+        base[begin > 0] = self.successors.values(begin[begin > 0] - 1)
+        known = np.flatnonzero((place[of_context] >= 0) & (number[of_word] >= 0))
         if len(known):
-            place = place[known]
-            begin, end = self.pointers.values(place).astype(np.int64), self.pointers.values(place + 1).astype(np.int64)
-            base = np.zeros(len(known), np.uint64)
-            base[begin > 0] = self.successors.values(begin[begin > 0] - 1)
-            at = self.successors.find(base + number, begin, end)
-            out[known[at >= 0]] = self.codes[at[at >= 0]]
+            pairs, of_pair = np.unique(of_context[known] * len(words) + of_word[known], return_inverse=True)
+            own, its = np.divmod(pairs, len(words))
+            at = self.successors.find(base[own] + number[its].astype(np.uint64), begin[own], end[own])
+            codes = np.zeros(len(pairs), np.uint16)
+            codes[at >= 0] = self.codes[at[at >= 0]]
+            out[known] = codes[of_pair]
         return out
 
 
@@ -379,7 +393,8 @@ def _answers(table: pa.Table, bodies: list[bytes]) -> pa.Table:
 
 
 def _codes_of(trie: Trie, contexts: list[np.ndarray], words: list[np.ndarray]) -> list[bytes]:
-    return [_planes(trie.numerators(c, w), 2) for c, w in zip(contexts, words, strict=True)]
+    codes = trie.numerators(np.concatenate(contexts), np.concatenate(words))
+    return [_planes(x, 2) for x in np.split(codes, np.cumsum([len(c) for c in contexts])[:-1])]
 
 
 def _answered(table: pa.Table) -> pa.Table:
