@@ -297,3 +297,25 @@ def test_package_is_shipped_whole(spark):
         import sys
         return [p for p in sys.path if p.endswith("tidemark.zip")]
     assert spark.sparkContext.parallelize([0], 1).flatMap(place).collect()
+
+
+def test_equal_queries_and_copies_are_searched_once(spark, monkeypatch):
+    """Many copies of few passages and queries: a cell sees each form once and k pages of copies, and all get their results."""
+    from tidemark.operators import retrieval
+
+    rows = [(f"d{i % 2}", i // 4, i, f"1.{i % 4} Alpha List", f"bolt ring {i % 4}") for i in range(400)]
+    p = spark.createDataFrame(rows, "doc string, page int, seq int, section string, text string")
+    q = spark.createDataFrame([(i, ["ring bolt", "bolt ring bolt", "see 1.2", "ALPHA list", None][i % 5]) for i in range(300)], "query_id long, query string")
+    seen = []
+    cells = retrieval.top_passages
+    monkeypatch.setattr(retrieval, "top_passages", lambda ps, qs, *more: seen.append(qs.count()) or cells(ps, qs, *more))
+    first = retrieval._first_copies
+    monkeypatch.setattr(retrieval, "_first_copies", lambda ps, k: seen.append(first(ps, k).count()) or first(ps, k))
+    got = docs.section_search(p, q, 3, follow=0).orderBy("query_id", "rank").collect()
+    assert seen == [4, 12]   # 4 forms; 4 kinds of passages on 3 pages
+    assert len(got) == 240 * 3
+    at = {i: [(r["doc"], r["page"], r["seq"]) for r in got if r["query_id"] == i] for i in range(5)}
+    # bare words: the first passages; 1.2: its section on the first pages; a title: all four sections are named
+    assert at[0] == at[1] == at[3] == [("d0", 0, 0), ("d0", 0, 2), ("d0", 1, 4)]
+    assert at[2] == [("d0", 0, 2), ("d0", 1, 6), ("d0", 2, 10)] and at[4] == []
+    assert all(at[r["query_id"] % 5][r["rank"] - 1] == (r["doc"], r["page"], r["seq"]) for r in got)

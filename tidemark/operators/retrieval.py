@@ -6,6 +6,9 @@ passages, each with its largest impact.  For a query these maxima bound what any
 scored in the order of their bounds, and once the k-th score so far is above the next bound, all others are skipped.  A cell
 returns k rows a query, so what meets is queries x k x shards, however many passages match.
 
+Queries that ask the same are searched once, and with sections, of passages that hold the same only the first are searched:
+where queries and passages grow together, by copies or from few words, their product does not.
+
 Sections that a query names are found in the cell as well: by their numbers, and by the rarest word of their titles among
 the shard's titles.  Their passages gain the boost, and so do the bounds of the blocks that hold them.
 """
@@ -25,6 +28,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalars import require_columns, tokens
 from tidemark.operators.scan import input_bytes
+from tidemark.session import cut
 
 # The constants of the score, the boost of a named section, the discount of a table of contents.
 K1, B, BM25_SCALE = 1.2, 0.75, 2.2
@@ -179,6 +183,29 @@ def _shards(df: DataFrame, most: int) -> int:
     return max(1, -(-input_bytes(df) // most))
 
 
+def _first_copies(p: DataFrame, k: int) -> DataFrame:
+    """Without the passages that cannot be among k: copies score alike, and a section's copies on k earlier pages, or k
+    earlier copies, go before.  Spark limits each group before the shuffle, so many copies stay few rows."""
+    copies = p.withColumn("_bag", F.sha2(F.concat_ws(" ", F.array_sort("words")), 256))
+    w = Window.partitionBy("section", "contents", "_bag").orderBy("doc", "page")
+    return copies.withColumn("_dr", F.dense_rank().over(w)).where(F.col("_dr") <= k).drop("_dr", "_bag")
+
+
+def best_passages(passages_df: DataFrame, queries: DataFrame, k: int, sections: bool = False, contents: Column | None = None,
+                  number: Column | None = None, title: Column | None = None, numbers: Column | None = None) -> DataFrame:
+    """The k best of each query, ranked.  Queries with the same words and numbers get the same, so one of them is searched."""
+    require_columns(queries, "query_id", "query")
+    said = F.array_sort(F.array_distinct(tokens(F.coalesce("query", F.lit("")))))
+    wrote = F.array_sort(F.array_distinct(F.coalesce(numbers, F.array().cast("array<string>")))) if sections else F.array().cast("array<string>")
+    asked = queries.withColumn("_form", F.sha2(F.concat(F.concat_ws(" ", said), F.lit("|"), F.concat_ws(" ", wrote)), 256))
+    forms = asked.groupBy("_form").agg(F.min(F.struct("query_id", F.coalesce("query", F.lit("")).alias("query"))).alias("q"))
+    one = forms.select(F.col("q.query_id").alias("query_id"), F.col("q.query").alias("query"))
+    best = cut(ranked(top_passages(passages_df, one, k, sections, contents, number, title, numbers), k))   # read by every query of a form
+    who = forms.select("_form", F.col("q.query_id").alias("_one"))
+    every = asked.select("query_id", "_form").join(who, "_form").select("query_id", "_one")
+    return every.join(best.withColumnRenamed("query_id", "_one"), "_one").drop("_one")
+
+
 def top_passages(passages_df: DataFrame, queries: DataFrame, k: int, sections: bool = False, contents: Column | None = None,
                  number: Column | None = None, title: Column | None = None, numbers: Column | None = None) -> DataFrame:
     """query_id, doc, page, seq, section, score, named: at most k rows a query and shard, the best k of all among them.
@@ -194,9 +221,12 @@ def top_passages(passages_df: DataFrame, queries: DataFrame, k: int, sections: b
     extra = [contents.alias("contents"), number.alias("number"), title.alias("title")] if sections else []
     p = passages_df.select("doc", "page", "seq", "section", tokens(F.concat_ws(" ", "section", "text")).alias("words"), *extra)
     p = p.withColumns({"length": F.size("words").cast("double"), "shard": F.pmod(F.xxhash64(*place), F.lit(shards)).cast("int")})
-    stats = p.agg(F.count(F.lit(1)).alias("_n"), F.avg("length").alias("average"))
+    every = p
+    if sections:   # queries may be as many as passages; without sections, sorting all words would cost more than it saves
+        p = _first_copies(p, k)
+    stats = every.agg(F.count(F.lit(1)).alias("_n"), F.avg("length").alias("average"))
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    df = p.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = every.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     df = df.join(F.broadcast(stats), F.lit(True), "cross").select("term", "average", F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     asked = q.join(df, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"), F.max("average").alias("average"))
     if sections:   # a query may name a section by its number alone
