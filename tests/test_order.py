@@ -142,3 +142,11 @@ def test_ranges_follow_the_bytes(spark, tmp_path, monkeypatch):
     few = scan.range_count(d)
     monkeypatch.setattr(scan, "RANGE_BYTES", 10_000)
     assert few == 4 and scan.range_count(d) > 50
+
+
+def test_tasks_do_not_grow_with_the_table(spark):
+    """What a task reads is bounded by its bytes, not by a fixed number of partitions; little stays in few tasks."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    large = spark.range(2_000_000).groupBy(F.sha2(F.col("id").cast("string"), 256).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    assert large.rdd.getNumPartitions() > max(parts, 8)
+    assert spark.range(100).groupBy("id").count().rdd.getNumPartitions() <= max(parts, 8)
