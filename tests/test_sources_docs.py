@@ -319,3 +319,16 @@ def test_equal_queries_and_copies_are_searched_once(spark, monkeypatch):
     assert at[0] == at[1] == at[3] == [("d0", 0, 0), ("d0", 0, 2), ("d0", 1, 4)]
     assert at[2] == [("d0", 0, 2), ("d0", 1, 6), ("d0", 2, 10)] and at[4] == []
     assert all(at[r["query_id"] % 5][r["rank"] - 1] == (r["doc"], r["page"], r["seq"]) for r in got)
+
+
+def test_passages_are_found_once(spark):
+    """However often the words are read, and an empty passage has none."""
+    rows = spark.createDataFrame([(i, 1, 0, "", ["red bolt", "", "--", "red_ring Bolt"][i % 4]) for i in range(40)], "doc long, page int, seq int, section string, text string")
+    made = spark.sparkContext.accumulator(0)
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    q = spark.createDataFrame([(1, "ring"), (2, "bolt")], "query_id long, query string")
+    got = docs.bm25_search(rows.mapInArrow(count, rows.schema), q, 2).orderBy("query_id", "rank").collect()
+    assert [r["doc"] for r in got] == [3, 7, 0, 4] and made.value == 40

@@ -219,8 +219,12 @@ def top_passages(passages_df: DataFrame, queries: DataFrame, k: int, sections: b
     blocks = _shards(queries, QUERY_BYTES)
     place = ["doc", "page"] if sections else ["doc", "page", "seq"]
     extra = [contents.alias("contents"), number.alias("number"), title.alias("title")] if sections else []
-    p = passages_df.select("doc", "page", "seq", "section", tokens(F.concat_ws(" ", "section", "text")).alias("words"), *extra)
-    p = p.withColumns({"length": F.size("words").cast("double"), "shard": F.pmod(F.xxhash64(*place), F.lit(shards)).cast("int")})
+    said = tokens(F.concat_ws(" ", "section", "text"))
+    p = passages_df.select("doc", "page", "seq", "section", F.concat_ws(" ", said).alias("said"), F.size(said).cast("double").alias("length"), *extra)
+    p = cut(p)   # passages are found and parted into words once, and read for the mean, the frequencies and the cells
+    words = F.when(F.col("length") > 0, F.split("said", " ")).otherwise(F.array().cast("array<string>"))
+    p = p.select("doc", "page", "seq", "section", words.alias("words"), "length", *(("contents", "number", "title") if sections else ()))
+    p = p.withColumns({"shard": F.pmod(F.xxhash64(*place), F.lit(shards)).cast("int")})
     every = p
     if sections:   # queries may be as many as passages; without sections, sorting all words would cost more than it saves
         p = _first_copies(p, k)
