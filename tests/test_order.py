@@ -9,6 +9,7 @@ from tests.conftest import plan_of
 from tidemark.operators import order as O
 from tidemark.operators import scan
 from tidemark.operators.scan import running_totals
+from tidemark.session import cut
 
 
 @pytest.fixture(scope="module")
@@ -150,3 +151,13 @@ def test_tasks_do_not_grow_with_the_table(spark):
     large = spark.range(2_000_000).groupBy(F.sha2(F.col("id").cast("string"), 256).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     assert large.rdd.getNumPartitions() > max(parts, 8)
     assert spark.range(100).groupBy("id").count().rdd.getNumPartitions() <= max(parts, 8)
+
+
+def test_ranges_of_a_cut_join_follow_its_rows(spark, tmp_path):
+    """Spark estimates a join by the product of its sides, and a frame keeps that estimate when its lineage is cut."""
+    for name in "ab":
+        spark.range(20000).select("id", F.sha2(F.col("id").cast("string"), 256).alias(name)).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    both = spark.read.parquet(f"{tmp_path}/a").hint("merge").join(spark.read.parquet(f"{tmp_path}/b"), "id")
+    joined = cut(both)
+    assert scan.input_bytes(joined) < 1 << 30
+    assert scan.range_count(joined) == 4

@@ -113,6 +113,14 @@ def test_macro_leak_matrix(spark, cal):
     assert [x.share_revised for x in r] == [1.0, 0.0] and r[0].median_vintages == 2
 
 
+def test_macro_variants_in_one_job(spark, cal):
+    """All variants meet the vintages once, and say what each says alone."""
+    v = _vint(spark)
+    alone = {x: pit.lookahead_stats_vintage(signals.macro_features(v, cal, x), v, GOLD, cal).first() for x in signals.MACRO_VARIANTS}
+    together = pit.lookahead_stats_vintage(signals.macro_variants(v, cal), v, GOLD, cal, keys=["variant"])
+    assert {r["variant"]: tuple(r)[1:] for r in together.collect()} == {x: tuple(r) for x, r in alone.items()}
+
+
 @pytest.fixture(scope="module")
 def short_volume(spark):
     import numpy as np

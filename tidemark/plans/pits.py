@@ -131,7 +131,10 @@ def _(x: Data):
 
 @query("g4_macro_leaks", "\nUNION ALL ".join(f"SELECT * FROM {_macro_sql(v)}" for v in signals.MACRO_VARIANTS))
 def _(x: Data):
-    return reduce(DataFrame.unionByName, [_macro(x, v) for v in signals.MACRO_VARIANTS])
+    ev = signals.macro_variants(x.vintage_table, x.cal)
+    s = pit.lookahead_stats_vintage(ev, x.vintage_table, GOLD_MACRO, x.cal, keys=["variant"])
+    every = x.spark.createDataFrame([(v,) for v in signals.MACRO_VARIANTS], "variant string")
+    return every.join(s, "variant", "left").na.fill(0)   # a variant without events keeps its row
 
 
 # ---------------------------------------------------------------- daily pressure variants
