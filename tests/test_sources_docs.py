@@ -10,6 +10,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tests.conftest import plan_of
 from tidemark.operators import docs
 from tidemark.plans import catalog
 from tidemark.sources import prices, readers, tables
@@ -74,6 +75,15 @@ def test_facts(spark):
     assert [tuple(r) for r in got] == [(1, "public_float", D(2023, 6, 30), D(2023, 8, 1), "10-K", 10.0)]
 
 
+def test_facts_parse_only_what_is_asked_for(spark):
+    """Another tag's facts, in a form of their own, neither cost a parse nor spoil the row."""
+    fact = {"end": "2023-06-30", "filed": "2023-08-01", "form": "10-K", "val": 10}
+    text = json.dumps({"us-gaap": {"Cash": {"units": {"USD": "none"}}, "Assets": {"units": {"EUR": [fact], "USD": [fact]}}}, "dei": {"EntityPublicFloat": None}})
+    got = readers.flatten_facts(spark.createDataFrame([(1, text), (2, None)], "cik long, facts string"))
+    assert "from_json" in plan_of(got) and "map<" not in plan_of(got)
+    assert [tuple(r) for r in got.collect()] == [(1, "assets", D(2023, 6, 30), D(2023, 8, 1), "10-K", 10.0)]
+
+
 def test_range_labels(spark):
     df = spark.createDataFrame([("1311",), ("2834",), ("6022",), ("9999",), ("x",), (None,)], "c string")
     assert [r[0] for r in df.select(readers.range_label(F.col("c"))).collect()] == [

@@ -150,10 +150,14 @@ def flatten_facts(df: DataFrame, items: Mapping[str, tuple[str, str]] = FACT_ITE
     """A10. (cik, facts JSON text) -> (cik, item, end, filed, form, val): known values only, one per (cik, item, end,
     filed)."""
     require_columns(df, "cik", "facts")
-    parsed = F.from_json("facts", f"map<string,map<string,struct<units:map<string,{_FACT}>>>>")
-    d = df.select("cik", parsed.alias("f"))
+    # only the tags that are asked for are parsed; a document has thousands of others
+    tags: dict[str, dict[str, None]] = {}
+    for ns, tag in items.values():
+        tags.setdefault(ns, {})[tag] = None
+    spaces = (f"`{ns}`:struct<{','.join(f'`{t}`:struct<units:struct<`{unit}`:{_FACT}>>' for t in names)}>" for ns, names in tags.items())
+    d = df.select("cik", F.from_json("facts", f"struct<{','.join(spaces)}>").alias("f"))
     def rows(item, ns, tag):
-        found = F.try_element_at(F.try_element_at(F.try_element_at("f", F.lit(ns)), F.lit(tag))["units"], F.lit(unit))
+        found = F.col("f")[ns][tag]["units"][unit]
         return F.transform(found, lambda r: F.struct(F.lit(item).alias("item"), r["end"].try_cast("date").alias("end"),
                                                      r["filed"].try_cast("date").alias("filed"), r["form"].alias("form"),
                                                      r["val"].alias("val")))
