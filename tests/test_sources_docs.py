@@ -219,6 +219,20 @@ def test_bm25_equals_definition(spark):
             assert got.get((qi, i), 0.0) == pytest.approx(want)
 
 
+def test_bm25_scores_lie_where_their_passages_do(spark, monkeypatch):
+    """The text is dealt out, not the scores; terms that are too many to be sent give the same, also where a place is used twice."""
+    rows = [(i % 9, 1, i // 18, "Part_one", f"alpha beta{' beta' * (i % 4)} w{i % 5}") for i in range(40)] + [(50, 1, 0, "", None), (51, 1, 0, "", "")]
+    p = spark.createDataFrame(rows, "doc long, page int, seq int, section string, text string")
+    q = spark.createDataFrame([(0, "beta one"), (1, "alpha w3"), (2, "nothing"), (3, "w1 w1")], "query_id long, query string")
+    sent = docs.bm25_scores(p, q)
+    got = sorted((r.query_id, r.doc, r.seq, round(r.score, 9)) for r in sent.collect())
+    assert "hashpartitioning(query_id" not in plan_of(sent)
+    monkeypatch.setattr(docs, "small", lambda df, rows: df)
+    assert got == sorted((r.query_id, r.doc, r.seq, round(r.score, 9)) for r in docs.bm25_scores(p, q).collect())
+    places = {(r[0], r[2]) for r in rows[:40]}
+    assert {g[1:3] for g in got if g[0] == 0} == places and {g[0] for g in got} == {0, 1, 3}
+
+
 def test_page_text(spark):
     page = ("<html><head><title>T</title><style>p{}</style></head><body><nav>menu</nav><MAIN id=m><p>a &amp;lt; b&nbsp;&nbsp;c</p>"
             "<script>if (1<2) x();</script>one<br/>two\t three<svg><text>no</text></svg><div> </div>&eacute;&hellip; &copy</MAIN></body></html>")
