@@ -1,12 +1,15 @@
 """Profiles, exploration, breaks and cleaning on frames with known answers."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import plan_of
+from tidemark.functions.scalars import PERIOD_UNITS, period
 from tidemark.operators import breaks, clean, explore, flags, profile
 from tidemark.specs import CleaningStep, Predicate
 
@@ -141,6 +144,40 @@ def test_keys(spark, panel_pdf):
     assert (r.rows_with_duplicated_key, r.exact_duplicate_rows, r.key_is_unique) == (6, 6, False)
 
 
+def test_whole_rows_are_dealt_only_where_some_may_be_equal(spark, panel_pdf):
+    """Shared keys without equal rows need no deal of whole rows; equal rows, nulls and zeros of both signs among them, are counted."""
+    key, shape = ["t", "id"], "t int, id string, x double"
+    differ = explore.key_check(spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (2, "a", None), (None, "b", 0.0)], shape), key)
+    assert "hashpartitioning(t#" in plan_of(differ) and not re.search(r"hashpartitioning\([^)]*x#", plan_of(differ))
+    r = differ.first()
+    assert (r.n_rows, r.n_distinct_keys, r.rows_with_duplicated_key, r.null_in_key_rows, r.exact_duplicate_rows) == (4, 3, 2, 1, 0)
+    same = [(1, "a", 0.0), (1, "a", -0.0), (None, None, None), (None, None, None), (3, "a", 1.0), (3, "a", 2.0)]
+    r = explore.key_check(spark.createDataFrame(same, shape), key).first()
+    assert (r.rows_with_duplicated_key, r.exact_duplicate_rows) == (6, 4)
+    r = explore.key_check(spark.createDataFrame([], shape), key).first()
+    assert (r.n_distinct_keys, r.exact_duplicate_rows, r.key_is_unique) == (0, 0, True)
+
+
+def test_presence_reads_its_table_once(spark, tmp_path, monkeypatch):
+    """The entities' spans are written once and only they are read for the statistics; dates of unknown entities count in the calendar only."""
+    rows = [(dt.date(2024, 1, d), e) for e, days in (("a", (1, 2, 5)), ("b", (2, 5)), (None, (3, 9))) for d in days] + [(None, "a")]
+    spark.createDataFrame(rows, "t date, id string").write.parquet(str(tmp_path / "t"))
+    got = explore.presence(spark.read.parquet(str(tmp_path / "t")), "t", "id")
+    assert "FileScan" not in plan_of(got)
+    r = got.first()
+    assert (r.calendar_dates, r.entities, r.absent_inside_span_share, r.always_present_share, r.median_presence) == (5, 2, 0, 1, 1)
+
+
+@pytest.mark.parametrize("unit", list(PERIOD_UNITS))
+def test_periods_of_dates_times_and_texts(spark, unit):
+    days = ["1899-12-31", "1969-12-29", "2000-02-29", "2023-01-01", "2024-12-30", None]
+    d = spark.createDataFrame([(x and f"{x} 23:59:59.999999",) for x in days], "s string").select(
+        "s", F.col("s").cast("timestamp").alias("t"), F.col("s").cast("date").alias("d"))
+    for c in ("s", "t", "d"):
+        got = d.select(period(F.col(c), unit).alias("p"), F.to_date(F.date_trunc(PERIOD_UNITS[unit], c)).alias("q"))
+        assert all(r.p == r.q for r in got.collect())
+
+
 def test_new_code_is_seen_when_it_appears(spark):
     rows = [(d.date(), "Q,N" if i < 100 else "Q,N,B") for i, d in enumerate(DAYS)]
     m = explore.category_mix(spark.createDataFrame(rows, "t date, c string"), "t", "c", "D", ",").toPandas().set_index("value")
