@@ -8,10 +8,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tests.conftest import plan_of
 from tidemark.operators import calendar as K
 from tidemark.operators import panel as N
 from tidemark.operators import pit, signals, vintages
-from tidemark.sources import bitemporal
+from tidemark.sources import bitemporal, tables
 from tidemark.specs import AvailabilityRule, PanelSpec, ViewRoles
 
 # Good Friday 2024-03-29 and New Year's Day are closed
@@ -245,3 +246,35 @@ def test_a_merge_touches_only_its_series_and_runs_once(spark, tmp_path):
     assert put([("A", m, b, 77.0)], "k2") == second and _kept(bitemporal.read_vintage_table(spark, path)) == sorted(want, key=key)
     put([], "k3")
     assert _kept(bitemporal.read_vintage_table(spark, path)) == sorted(want, key=key)
+
+
+def test_a_merge_is_one_shuffle_of_parts_by_rows(spark, tmp_path, monkeypatch):
+    """Rows are dealt once for the merge and its writing, a bucket of many rows to several parts; equal starts keep one of them."""
+    monkeypatch.setattr(bitemporal, "PART_ROWS", 20)
+    day = lambda i: D(2024, 5, 1 + i % 25)
+    first = [("hot", D(2024, 1 + i % 12, 1), day(i), float(i % 7)) for i in range(300)] + [("cold", D(2024, 1, 1), day(3), None)]
+    late = [("hot", D(2024, 1 + i % 12, 1), day(i * 7 + 1), float(i)) for i in range(60)] + [("hot", None, None, 1.0), ("hot", None, None, None)]
+    path, frame = str(tmp_path), lambda rows: spark.createDataFrame(rows, _ARRIVED)
+    bitemporal.merge_vintages(frame(first), path, "first", 4)
+    with monkeypatch.context() as m:
+        m.setattr(bitemporal, "publish", lambda rows, *more: rows)
+        rows = bitemporal.merge_vintages(frame(late), path, "late")
+        rows.collect()
+        assert plan_of(rows).split("Initial Plan")[0].count(" Exchange ") == 1 and rows.columns == [*vintages.VINTAGE, "bucket"]
+    bitemporal.merge_vintages(frame(late), path, "late")
+    held = {}
+    for some in (first, late):
+        new = {}
+        for *k, v in some:
+            new[tuple(k)] = v if new.get(tuple(k)) is None else max(new[tuple(k)], v if v is not None else new[tuple(k)])
+        held |= new
+    want = vintages.with_realtime_end(frame([(*k, v) for k, v in held.items()]))
+    assert _kept(bitemporal.read_vintage_table(spark, path)) == _kept(want)
+
+
+def test_fingerprint_is_the_sum_of_hashes(spark):
+    rows = [(i, f"t{i % 3}", None if i % 4 else i / 3) for i in range(500)]
+    d = spark.createDataFrame(rows, "a long, b string, c double")
+    got = d.agg(tables.content_hash(d).cast("string")).first()[0]
+    each = d.select(F.pmod(F.xxhash64("a", "b", "c"), F.lit((1 << 61) - 1))).collect()
+    assert got == str(sum(r[0] for r in each)) and spark.range(0).agg(tables.content_hash(spark.range(0))).first()[0] is None

@@ -254,13 +254,20 @@ def _(x: Data):
 @query("f7_merged_vintages", f"""SELECT series_id, {d('date', 'date')}, {d('realtime_start', 'realtime_start')},
 strftime(realtime_end, '%Y-%m-%d') AS realtime_end, {r('value', 'value')} FROM vint""")
 def _(x: Data):
-    """Three arrivals: even days, odd days, which split the intervals of the even ones, and corrections of one day's values."""
+    """Three arrivals: even days, odd days, which split the intervals of the even ones, and corrections of one day's values.
+    All prices arrive; a merge keeps the largest of a day."""
     path = f"{shared_folder(x.spark)}/vintages-{uuid.uuid4().hex}"
-    v, day = x.vintage_table, F.dayofmonth("realtime_start")
-    first = v.withColumn("value", F.when(day == 14, F.col("value") + 1).otherwise(F.col("value")))
-    for key, rows in (("even", first.where(day % 2 == 0)), ("odd", v.where(day % 2 == 1)), ("corrected", v.where(day == 14))):
-        merge_vintages(rows, path, key)
-    return read_vintage_table(x.spark, path)
+    day, value = F.dayofmonth("realtime_start"), F.col("value")
+    def arrival(number, value):
+        return F.struct(F.lit(number).alias("arrival"), value.alias("value"))
+    lands = F.when(day == 14, F.array(arrival(0, value + 1), arrival(2, value))).otherwise(F.array(arrival(day % 2, value)))
+    v = x.prices_published.where(day.isNotNull()).select("series_id", "date", "realtime_start", F.explode(lands).alias("a"))
+    v = v.select("series_id", "date", "realtime_start", "a.value", "a.arrival")
+    v.write.partitionBy("arrival").parquet(f"{path}/arrivals")   # as three deliveries lie, each is read alone
+    landed = x.spark.read.schema(v.schema).parquet(f"{path}/arrivals")
+    for number, key in enumerate(("even", "odd", "corrected")):
+        merge_vintages(landed.where(F.col("arrival") == number), f"{path}/table", key)
+    return read_vintage_table(x.spark, f"{path}/table")
 
 
 # ---------------------------------------------------------------- insider purchases
