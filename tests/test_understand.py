@@ -33,6 +33,23 @@ def test_variance_is_between_entities(panel):
     assert row.share_between_entities > 0.99 and row.reading.startswith("mostly differs")
 
 
+def test_a_column_of_many_values_is_many_tasks(spark):
+    """Counts meet what is known of their columns where they lie; no join gathers the values of a column."""
+    rows = [(i, f"v{i % 3}", None, i % 41, float(i % 40)) for i in range(300)]
+    got = profile.profile_table(spark.createDataFrame(rows, "key long, code string, none string, most int, few double"), 2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:   # as where the counts are too large to be sent
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        plan = got.select("column", "top", "examples")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [column" in plan and "LeftSemi" not in plan and "LeftAnti" not in plan
+    r = {x.column: x for x in got.collect()}
+    assert (r["key"].is_unique, r["key"].n_distinct, r["key"].top, r["key"].examples) == (True, 300, None, "0, 1")
+    assert (r["code"].top, r["code"].examples, r["none"].n_distinct, r["none"].null_rate, r["none"].top) == ("v0=100, v1=100", None, 0, 1, None)
+    assert (r["most"].n_distinct, r["most"].top, r["most"].examples, r["few"].top) == (41, None, "0, 1", "0.0=8, 1.0=8")
+
+
 def test_coverage_counts_entries_and_exits(spark, panel_pdf):
     p = panel_pdf[~((panel_pdf.id == "E3") & (panel_pdf.t > DAYS[150].date()))]
     p = p[~((p.id == "E4") & (p.t < DAYS[60].date()))]

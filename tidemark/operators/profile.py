@@ -43,13 +43,14 @@ def profile_table(df: DataFrame, max_top: int = 6) -> DataFrame:
     base = df.agg(*aggs).select(F.explode(F.array(*[entry(c) for c in cols])).alias("e")).select("e.*")
     counts = value_counts(df, cols)
     per = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
-    few = per.where(F.col("n_distinct") <= FEW_VALUES).select("column")
-    top = top_rows(counts.join(few, "column", "left_semi"), ["column"], [F.desc("n"), F.asc("value")], max_top)
+    # a row per column of the table, sent to the counts: a join by column would gather a column's values in one task
+    counts = counts.join(F.broadcast(per.select("column", (F.col("n_distinct") <= FEW_VALUES).alias("_few"))), "column")
+    top = top_rows(counts.where("_few"), ["column"], [F.desc("n"), F.asc("value")], max_top)
     top = top.groupBy("column").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "value"))).alias("t"))
     top = top.select("column", F.concat_ws(", ", F.transform(
         "t", lambda x: F.concat(x["value"], F.lit("="), (-x["m"]).cast("string")))).alias("top"))
-    ex = top_rows(counts.join(few, "column", "left_anti"), ["column"], [F.asc("value")], 2)
+    ex = top_rows(counts.where(~F.col("_few")), ["column"], [F.asc("value")], 2)
     ex = ex.groupBy("column").agg(F.concat_ws(", ", F.sort_array(F.collect_list(F.substring("value", 1, 40))))
                                   .alias("examples"))
     out = base.join(per, "column", "left").join(top, "column", "left").join(ex, "column", "left")
