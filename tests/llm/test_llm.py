@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,74 @@ def test_join_is_exact(spark, monkeypatch, leaf):
     assert kept == {k for k, v in want.items() if v[1] == k}
 
 
+def test_blocks_stay_whole_when_joins_turn_small(spark):
+    """A join that Spark turns into a broadcast while it runs leaves rows where they lay; blocks are dealt anew all the same."""
+    held = [(k // 2, 7 * k + 1, 20, np.arange(20 * (k // 2), 20 * (k // 2) + 20).tobytes()) for k in range(400)]
+    members = ngramjoin.cut(spark.createDataFrame(held, "block long, node long, n long, shared binary").repartition(8, "node"))
+    parts = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(parts)
+    spark.conf.set(parts, spark.conf.get("spark.sql.shuffle.partitions"))    # where both are equal, a repartitioning may be left out
+    try:
+        sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("members"))
+        joined = ngramjoin._join_blocks(members.join(sizes, "block").where("members = 2"))
+        plan, got = joined._jdf.queryExecution().executedPlan().toString(), joined.collect()
+    finally:
+        spark.conf.set(parts, before)
+    assert "REPARTITION_BY_NUM" in plan
+    assert {(r["node"], r["component"]) for r in got} == {(7 * k + 1, 7 * (k - k % 2) + 1) for k in range(400)}
+
+
+def test_blocks_hold_only_what_can_be_linked(spark, monkeypatch):
+    """Edited copies of a text that are too far from it and from each other share most places with the near ones, but no block."""
+    r, base = random.Random(11), prose(21, 1, 120)[0].split()
+
+    def edited(k: int, mark: str) -> str:
+        w = list(base)
+        for n, at in enumerate(r.sample(range(5, 115, 6), k)):
+            w[at] = f"{mark}{n}"
+        return " ".join(w)
+    texts = [" ".join(base), *(edited(1, f"near{k}x") for k in range(10)), *(edited(5, f"far{k}x") for k in range(40))]
+    monkeypatch.setattr(ngramjoin, "LEAF_DOCUMENTS", 15)
+    monkeypatch.setattr(ngramjoin, "_split_large", lambda *a: pytest.fail("a block was too large"))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngramjoin.linked_documents(table(spark, texts)).collect()}
+    want = brute_links(dict(enumerate(texts)))
+    assert got == want and sum(v[1] == 0 for v in want.values()) == 11
+
+
+def test_groups_and_places_against_all_pairs():
+    r = np.random.default_rng(3)
+    for _ in range(150):
+        base, m = r.integers(0, 300, (3, 60)), int(r.integers(2, 40))
+        sets = []
+        for _ in range(m):
+            x = base[r.integers(0, 3)].copy()
+            x[r.integers(0, 60, int(r.integers(0, 25)))] = r.integers(0, 400)
+            sets.append(np.unique(x[:int(r.integers(20, 61))]))
+        sizes = np.array([len(x) + int(r.integers(0, 4)) for x in sets])
+        head, apart = list(range(m)), list(range(m))
+        most = np.array([ngramjoin.largest_partner(int(n), int(n) - int(r.integers(0, 20))) for n in sizes])
+        for i in range(m):
+            for j in range(i):
+                if ngramjoin.links(int(sizes[i]), sizes[j:j + 1], np.array([len(np.intersect1d(sets[i], sets[j]))]))[0]:
+                    a, b = sorted((head[i], head[j]))
+                    head = [a if v == b else v for v in head]
+                if sizes[i] <= most[j] and sizes[j] <= most[i]:
+                    a, b = sorted((apart[i], apart[j]))
+                    apart = [a if v == b else v for v in apart]
+        assert ngramjoin._groups(sizes, sets).tolist() == head
+        row = pa.RecordBatch.from_pydict({"place": np.zeros(m, np.int64), "node": np.arange(m), "n": sizes, "most": most})
+        met = {k: v for b in ngramjoin._meetings(iter([row])) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        assert [met.get(i, i) for i in range(m)] == apart
+
+
+def test_owners_take_bytes_by_their_ngrams():
+    r = np.random.default_rng(4)
+    for sets, held in ((5000, 0), (5000, 40), (5000, 4999), (50, 5000), (3, 100_000), (3_000_000, 5)):
+        owner = np.sort(r.integers(0, sets, held))
+        raw = ngramjoin._packed(owner, sets)
+        assert ngramjoin._owners(raw).tolist() == owner.tolist() and len(raw) <= 4 * held + 2
+
+
 def brute_lines(texts: dict) -> dict:
     holders: dict[str, set] = {}
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)

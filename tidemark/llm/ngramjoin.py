@@ -8,8 +8,10 @@ first pivots are therefore the points of the space that can: the sets of one n-g
 own n-grams (at distance 1 - 1/n, against 1 for all others), ordered from rare to frequent.  A partner within the distance
 shares at least three quarters of a document's n-grams, so the first quarter of its regions, and one more, meets every
 partner: that is the window.  N-grams that no other text holds come first in that order and their regions hold one document,
-so a document whose unshared n-grams fill its window is done.  What regions connect is a block, joined on its own.  A block
-that is too large for one task is split by document pivots: each document goes to its nearest pivot's region and, by the
+so a document whose unshared n-grams fill its window is done.  Where a region stands in a document's order bounds how large a
+partner may be that shares this n-gram first; a region connects only documents whose sizes are within each other's bounds, so
+edited copies that are too far from all others do not chain.  What regions connect is a block, joined on its own by the same
+bounds, with the order of the block's n-grams.  A block that is too large for one task is split by document pivots: each document goes to its nearest pivot's region and, by the
 triangle inequality, to every region whose pivot is at most twice the threshold farther; regions that are still large take
 new pivots.  Documents that links already connect need no further comparison.
 
@@ -104,16 +106,25 @@ class _Batch:
         for i in range(0, len(cuts) - 1, 64):
             part = [(cuts[k], cuts[k + 1]) for k in range(i, min(i + 64, len(cuts) - 1))]
             yield _table([name] * len(part), [int(bucket[s]) for s, _ in part],
-                         *zip(*((_packed(np.bincount(owner[s:e], minlength=len(sizes))), *_split(rest[s:e]), b"") for s, e in part), strict=True))
+                         *zip(*((_packed(owner[s:e], len(sizes)), *_split(rest[s:e]), b"") for s, e in part), strict=True))
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    wide = len(counts) and counts.max() > 255
-    return (b"4" if wide else b"1") + counts.astype(np.uint32 if wide else np.uint8).tobytes()
+_WIDTHS = {b"1": np.uint8, b"2": np.uint16, b"4": np.uint32}
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint32 if raw[:1] == b"4" else np.uint8, offset=1).astype(np.int64)
+def _packed(owner: np.ndarray, sets: int) -> bytes:
+    """Which of a batch's sets hold the n-grams of a bucket, in ascending order: how many each set holds, or, where n-grams are
+    fewer than sets, the steps from one owner to the next, so that the bytes follow the n-grams however many buckets there are."""
+    steps = len(owner) < sets
+    numbers = np.diff(owner, prepend=0) if steps else np.bincount(owner, minlength=sets)
+    most = numbers.max() if len(numbers) else 0
+    wide = b"1" if most < 256 else b"2" if most < 65536 else b"4"
+    return (b"s" if steps else b"c") + wide + numbers.astype(_WIDTHS[wide]).tobytes()
+
+
+def _owners(raw: bytes) -> np.ndarray:
+    numbers = np.frombuffer(raw, _WIDTHS[raw[1:2]], offset=2) if len(raw) > 2 else np.empty(0, np.uint8)
+    return np.cumsum(numbers, dtype=np.int64) if raw[:1] == b"s" else np.repeat(np.arange(len(numbers)), numbers)
 
 
 def _split(rest: np.ndarray) -> tuple[bytes, bytes]:
@@ -157,13 +168,12 @@ def _frequencies(table: pa.Table) -> pa.Table:
     many[order] = np.repeat(often, often)
     out: list[tuple] = []
     at = 0
-    for counts, grams in zip(table["a"].to_pylist(), rest, strict=True):
+    for held, grams in zip(table["a"].to_pylist(), rest, strict=True):
         df = many[at:at + len(grams)]
         at += len(grams)
         shared = df > 1
-        counts = _unpacked(counts)
-        owner = np.repeat(np.arange(len(counts)), counts)
-        out.append((_packed(np.bincount(owner[shared], minlength=len(counts))), *_split(grams[shared]),
+        owner = _owners(held)[shared]
+        out.append((_packed(owner, int(owner[-1]) + 1 if len(owner) else 0), *_split(grams[shared]),
                     np.minimum(df[shared], 65535).astype(np.uint16).tobytes()))
     return pa.table({"batch": table["batch"], "bucket": table["bucket"], **{n: pa.array(c, pa.binary()) for n, c in zip("abcd", zip(*out, strict=True), strict=True)}})
 
@@ -178,7 +188,7 @@ def _windows(table: pa.Table) -> pa.Table:
     ids, of, sizes = (np.frombuffer(table[c][head].as_py(), t) for c, t in (("a", np.int64), ("b", np.int32), ("c", np.int64)))
     (ids, tags), keys = np.split(ids, 2), table["d"][head].as_py()
     parts = [(b, table["a"][i].as_py(), table["b"][i].as_py(), table["c"][i].as_py(), table["d"][i].as_py()) for i, b in enumerate(buckets) if b >= 0]
-    owner = np.concatenate([np.empty(0, np.int64), *(np.repeat(np.arange(len(sizes)), _unpacked(p[1])) for p in parts)])
+    owner = np.concatenate([np.empty(0, np.int64), *(_owners(p[1]) for p in parts)])
     gram = np.concatenate([np.empty(0, np.uint64), *(_joined(p[2], p[3]) | (np.uint64(p[0]) << np.uint64(40)) for p in parts)])
     df = np.concatenate([np.empty(0, np.uint16), *(np.frombuffer(p[4], np.uint16) for p in parts)])
     shared = np.bincount(owner, minlength=len(sizes)).astype(np.int64)
@@ -210,7 +220,7 @@ def _windows(table: pa.Table) -> pa.Table:
 
 def shingle_windows(docs: DataFrame) -> DataFrame:
     """doc_id, tag (a hash of the text), n_shingles, set_key, and where a partner is possible the regions of the window and the shared n-grams."""
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
+    buckets = 2 * shuffle_partitions(docs.sparkSession)
     bits = min(22, max(6, (buckets - 1).bit_length()))
     text = F.col("text").cast("string")
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag")).mapInArrow(_gatherer(bits), _ROW)
@@ -240,26 +250,84 @@ def links(n: int, sizes: np.ndarray, overlap: np.ndarray) -> np.ndarray:
     return 100 * overlap >= PERCENT * (n + sizes - overlap)
 
 
+def largest_partner(n: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The most n-grams that a set linked with one of n can have, if at most ``left`` of them are in both."""
+    return (100 + PERCENT) * left // PERCENT - n
+
+
+class Prefixes:
+    """The n-grams of some sets that may be the first that a linked pair shares, rare ones first.
+
+    N-grams have one order, by the number of these sets that hold them.  Behind a set's n-gram there are only so many that a pair
+    can still share, so where a pair's first shared n-gram stands bounds how large either may be."""
+
+    def __init__(self, sizes: np.ndarray, sets: list[np.ndarray]):
+        self.sizes, every = sizes, np.concatenate(sets)
+        self.starts = np.cumsum([0, *(len(x) for x in sets)])
+        owner = np.repeat(np.arange(len(sets)), np.diff(self.starts))
+        _, self.gram, often = np.unique(every, return_inverse=True, return_counts=True)
+        self.member = np.zeros(len(often), bool)
+        rank = np.empty(len(often), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+        met = often[self.gram] > 1
+        owner, rank = owner[met], rank[self.gram[met]]
+        order = np.lexsort((rank, owner))
+        rank = rank[order]                         # owners are in order already
+        self.shared = np.bincount(owner, minlength=len(sets))
+        before = np.cumsum(self.shared) - self.shared
+        most = largest_partner(sizes[owner], self.shared[owner] - (np.arange(len(owner)) - before[owner]))
+        some = most >= np.maximum(needed(sizes), sizes.min())[owner]
+        self.owner, self.rank, self.most = owner[some], rank[some], most[some]
+        self.own = np.searchsorted(self.owner, np.arange(len(sets) + 1))
+        by_rank = np.argsort(self.rank, kind="stable")
+        self.by_rank, self.sorted = by_rank, self.rank[by_rank]
+
+    def linked(self, i: int, group: np.ndarray) -> np.ndarray:
+        """The sets of other groups that are linked with this one."""
+        mine = slice(self.own[i], self.own[i + 1])
+        left = np.searchsorted(self.sorted, self.rank[mine], "left")
+        often = np.searchsorted(self.sorted, self.rank[mine], "right") - left
+        place = self.by_rank[np.repeat(left - np.cumsum(often) + often, often) + np.arange(int(often.sum()))]
+        other = self.owner[place]
+        fits = (self.sizes[other] <= np.repeat(self.most[mine], often)) & (self.most[place] >= self.sizes[i]) & (group[other] != group[i])
+        other = np.unique(other[fits])
+        if not len(other):
+            return other
+        self.member[self.gram[self.starts[i]:self.starts[i + 1]]] = True
+        ends = np.cumsum(self.starts[other + 1] - self.starts[other])
+        place = np.arange(ends[-1]) + np.repeat(self.starts[other + 1] - ends, self.starts[other + 1] - self.starts[other])
+        overlap = np.diff(np.r_[0, np.cumsum(self.member[self.gram[place]])[ends - 1]])
+        self.member[self.gram[self.starts[i]:self.starts[i + 1]]] = False
+        return other[links(int(self.sizes[i]), self.sizes[other], overlap)]
+
+
 def _groups(sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """The first member of each one's group, in a block that is joined whole.  One after another, members become pivots and
-    are compared with all, but for those that the largest group holds: each pair of two groups has a member that was one."""
+    are compared with those of other groups, but for those that the largest group holds: each pair of two groups has a member
+    that was one."""
     group, compared = np.arange(len(sets)), np.zeros(len(sets), bool)
-    postings = Postings(sets)
+    if len(sets) == 2:
+        overlap = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return group * 0 if links(int(sizes[0]), sizes[1:], np.array([overlap]))[0] else group
+    prefixes = Prefixes(sizes, sets)
+    turn = np.argsort(sizes - prefixes.shared, kind="stable")      # those with the most shared n-grams link the most
     while True:
-        largest = np.bincount(group, minlength=len(sets)).argmax()
-        waiting = np.flatnonzero(~compared & (group != largest))
+        held = np.bincount(group, minlength=len(sets))
+        largest = held.argmax()
+        waiting = turn[~compared[turn] & (group[turn] != largest)]
         if not len(waiting):
             return group
         # before the largest group is looked for again, as many as would make it anew
         for i in waiting[:max(1, len(waiting) // 8)]:
             if group[i] == largest:
                 continue
-            near = links(int(sizes[i]), sizes, postings.overlap(sets[i]))
-            near[i] = compared[i] = True
-            meets = np.unique(group[near])
-            if len(meets) > 1:
+            compared[i] = True
+            near = prefixes.linked(i, group)
+            if len(near):
+                meets = np.unique(np.r_[group[i], group[near]])
                 group[np.isin(group, meets)] = meets[0]
-                largest = meets[0] if largest in meets else largest
+                held[meets[0]] = held[meets].sum()
+                largest = meets[0] if largest in meets or held[meets[0]] > held[largest] else largest
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -296,24 +364,66 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _join_blocks(blocks: DataFrame) -> DataFrame:
     """blocks: block, node, n, shared; (node, component) of what is linked within them."""
     n = shuffle_partitions(blocks.sparkSession)
-    rows = blocks.select("block", "node", "n", "shared").repartition(n, "block").sortWithinPartitions("block")
+    # by a hash: a repartitioning by the key of the join before would be left out, and a join that turns out small or skewed
+    # while it runs deals a block's rows to several tasks
+    rows = blocks.select("block", "node", "n", "shared").repartition(n, F.xxhash64("block")).sortWithinPartitions("block")
     return rows.mapInArrow(_block_links, "node long, component long")
 
 
-_NEAR = "region long, node long, n long, shared binary, near array<struct<pivot:long,d:double,linked:boolean>>"
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """place, node, n, most (the largest partner, if the place is the first that both share): (node, pivot) of those that
+    pairs of fitting sizes connect in a place, its pivot the smallest node of them.
+
+    A set with n <= most spans the sizes from n to most, and two of them fit if these meet; one with most < n fits those that
+    span from most to n, and no other of its kind."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    place, node, n, most = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) for k in range(4))
+    del held
+    spans = most >= n
+    order = np.lexsort((~spans, np.where(spans, n, most), place))
+    place, node, n, most, spans = (x[order] for x in (place, node, n, most, spans))
+    first = np.r_[True, place[1:] != place[:-1]]
+    # the farthest span of the place so far, this row's own left out
+    reach = np.maximum.accumulate((np.cumsum(first) << 32) + np.where(spans, most, 0))
+    before = np.where(first, 0, np.r_[0, reach[:-1]] & 0xFFFFFFFF)
+    joins = before >= n
+    run = np.cumsum(spans & ~joins)
+    inside = np.flatnonzero(spans | joins)
+    if not len(inside):
+        return
+    run, node = run[inside], node[inside]
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    pivot = np.repeat(np.minimum.reduceat(node, starts), np.diff(np.r_[starts, len(run)]))
+    edges = np.unique(np.stack([node, pivot], 1)[node != pivot], axis=0)
+    for i in range(0, len(edges), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(edges[i:i + 100_000, k]) for k in (0, 1)], names=["node", "pivot"])
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """(node, component) of the sets that places connect; every linked pair is in one component."""
+    left = F.octet_length("shared") / 8 - F.col("at")
+    places = nodes.select("node", "n", "shared", F.posexplode("regions").alias("at", "place"))
+    places = places.select("place", "node", "n", (F.floor(left * (100 + PERCENT) / PERCENT) - F.col("n")).alias("most"))
+    met = places.repartition(shuffle_partitions(nodes.sparkSession), "place").mapInArrow(_meetings, "node long, pivot long")
+    return components(met.distinct())
+
+
+_NEAR = "region long, node long, n long, shared binary, pivot boolean, linked array<long>, to array<long>"
 
 
 def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a cell: its pivots (kind 0), then its documents; a row for each document with its distance to every pivot."""
+    """Rows of a cell: its pivots (kind 0), then its documents; a row for each document with the linked pivots, but one
+    of those that this cell has connected, and with the pivots whose regions may hold a partner."""
     cell, pivots, postings = None, [], None
-    ids = sizes = np.empty(0, np.int64)
+    ids = sizes = group = np.empty(0, np.int64)
     rows: list[tuple] = []
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def made() -> pa.RecordBatch:
-        ends = np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32)
-        near = pa.StructArray.from_arrays([pa.array(np.concatenate([r[k] for r in rows])) for k in (4, 5, 6)], names=["pivot", "d", "linked"])
-        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))),
-                                           pa.ListArray.from_arrays(pa.array(ends), near)], names=["region", "node", "n", "shared", "near"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
+                                          names=["region", "node", "n", "shared", "pivot", "linked", "to"])
     for batch in batches:
         for region, salt, kind, node, n, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if cell != (region, salt):
@@ -324,9 +434,16 @@ def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if postings is None:
                 postings = Postings([p[2] for p in pivots])
-                ids, sizes = np.array([p[0] for p in pivots]), np.array([p[1] for p in pivots])
+                ids, sizes, group = np.array([p[0] for p in pivots]), np.array([p[1] for p in pivots]), np.arange(len(pivots))
             overlap = postings.overlap(one)
-            rows.append((region, node, n, shared, ids, 1 - overlap / (n + sizes - overlap), links(n, sizes, overlap)))
+            met = np.flatnonzero(links(n, sizes, overlap))
+            groups, at = np.unique(group[met], return_index=True)
+            if len(groups) > 1:
+                group[np.isin(group, groups)] = groups[0]
+            d = 1 - overlap / (n + sizes - overlap)
+            chosen = bool((ids == node).any())
+            # a pivot has met all others and goes no further
+            rows.append((region, node, n, shared, chosen, ids[met[at]], None if chosen else ids[d <= d.min() + 2 * DISTANCE + 1e-9]))
             if len(rows) >= 500:
                 yield made()
                 rows = []
@@ -354,15 +471,13 @@ def _split_large(rows: DataFrame, leaf: Callable[[DataFrame], DataFrame]) -> Dat
         cell = F.explode(F.sequence(F.lit(0), cells - 1))
         both = pivots.select("region", cell.alias("salt"), F.lit(0).alias("kind"), "node", "n", "shared").unionByName(
             large.select("region", F.pmod(F.xxhash64("node"), cells).cast("int").alias("salt"), F.lit(1).alias("kind"), "node", "n", "shared"))
-        dealt = both.repartition(2 * shuffle_partitions(rows.sparkSession), "region", "salt").sortWithinPartitions("region", "salt", "kind")
+        dealt = both.repartition("region", "salt").sortWithinPartitions("region", "salt", "kind")
         near = cut(dealt.mapInArrow(_to_pivots, _NEAR))
-        hits = near.select("node", F.explode("near").alias("p")).where("p.linked and p.pivot <> node").select("node", F.col("p.pivot").alias("component"))
+        hits = near.select("node", F.explode("linked").alias("component")).where("node <> component")
         edges = edges.unionByName(hits)
         found = components(edges if found is None else found.unionByName(edges))
         # regions of the pivots, and what the windows send to several
-        own = F.aggregate("near", F.lit(2.0), lambda a, p: F.least(a, p["d"]))
-        rest = near.where(~F.exists("near", lambda p: p["pivot"] == F.col("node"))).withColumn("own", own)
-        rest = rest.select("region", "node", "n", "shared", F.transform(F.filter("near", lambda p: p["d"] <= F.col("own") + 2 * DISTANCE + 1e-9), lambda p: p["pivot"]).alias("to"))
+        rest = near.where(~F.col("pivot")).select("region", "node", "n", "shared", "to")
         spread = rest.groupBy("region").agg((F.sum(F.size("to")) <= 1.25 * F.count(F.lit(1))).alias("parts"))
         stay = F.when(F.col("parts"), F.transform("to", lambda p: F.xxhash64("region", p))).otherwise(F.array("region"))
         rest = rest.join(spread, "region").select(F.explode(stay).alias("region"), "node", "n", "shared")
@@ -382,10 +497,7 @@ def _linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = (sets.where("shared is not null").select("set_key", "doc_id", F.col("n_shingles").alias("n"), "regions", "shared")
              .join(stands.select("set_key", "node"), "set_key").where("doc_id <=> node").dropDuplicates(["set_key"]))
     nodes = cut(nodes.select("set_key", F.xxhash64("set_key").alias("node"), "n", "regions", "shared"))
-    places = nodes.select("node", F.explode("regions").alias("place"))
-    pivots = places.groupBy("place").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("place", "pivot")
-    blocks = components(places.join(pivots, "place").where("node <> pivot").select("node", "pivot").distinct())
-    members = cut(nodes.join(blocks, "node").select(F.col("component").alias("block"), "node", "n", "shared"))
+    members = cut(nodes.join(_blocks(nodes), "node").select(F.col("component").alias("block"), "node", "n", "shared"))
     sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("grams"))
     small = (F.col("members") <= LEAF_DOCUMENTS) & (F.col("grams") <= LEAF_SHINGLES) | (F.col("members") <= 2)
     sized = members.join(sizes.select("block", small.alias("small")), "block")
