@@ -464,9 +464,10 @@ def _split_large(rows: DataFrame, leaf: Callable[[DataFrame], DataFrame]) -> Dat
         # pivots come from the documents that the largest group does not hold yet
         group = large.groupBy("region", "component").agg(F.count(F.lit(1)).alias("held"))
         largest = group.groupBy("region").agg(F.max_by("component", F.struct("held", -F.col("component"))).alias("largest"))
-        pick = Window.partitionBy("region").orderBy(F.col("component") == F.col("largest"), F.xxhash64("node", F.lit(turn)), "node")
-        wanted = F.least(F.lit(PIVOTS_MOST), F.greatest(F.lit(PIVOTS_LEAST), F.col("members") / PIVOTS_SHARE))
-        pivots = large.join(largest, "region").withColumn("rank", F.row_number().over(pick)).where(f"rank <= {PIVOTS_MOST}").where(F.col("rank") <= wanted)
+        pick = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        # a region that pivots did not settle takes four times the share, up to PIVOTS_MOST
+        wanted = F.least(F.lit(PIVOTS_MOST), F.greatest(F.lit(PIVOTS_LEAST), F.col("members") * 4 ** min(turn, 5) / PIVOTS_SHARE))
+        pivots = large.join(largest, "region").where("component <> largest").withColumn("rank", F.row_number().over(pick)).where(f"rank <= {PIVOTS_MOST}").where(F.col("rank") <= wanted)
         cells = F.ceil(F.col("members") / CELL).cast("int")
         cell = F.explode(F.sequence(F.lit(0), cells - 1))
         both = pivots.select("region", cell.alias("salt"), F.lit(0).alias("kind"), "node", "n", "shared").unionByName(
